@@ -212,3 +212,64 @@ def backtest(panel: DataFrame, model: str, train_years: int = 3,
     out = join_actuals(f, valid.select("fold", S.UID, S.DS, S.Y),
                        keys=["fold", S.UID, S.DS])
     return out.select("fold", S.UID, S.DS, "step", "forecast", "actual")
+
+
+# ---------------------------------------------------------------------------
+# In-place scoring: forecasts for the rows that have actuals, from one
+# window pass over the whole panel (no train/test branches, no join).
+
+def score_in_place(panel: DataFrame, model: str, cutoff, h: int,
+                   m: int = 4, window: int = 3, group: list[str] = (),
+                   train_flag: str | None = None) -> DataFrame:
+    """Forecast every cell in (cutoff, cutoff + h quarters] from data at or
+    before the cutoff and pair it with its actual value.
+
+    Result: (*group, unique_id, ds, step, forecast, actual).  Same numbers
+    as ``model(train) |> join_actuals(test)`` but the panel is read once:
+    the look-backs are RANGE frames on the quarter index, so a forecast can
+    only see quarters at or before the cutoff.  ``train_flag`` (a boolean
+    column) further restricts which rows count as training data, as the
+    back-test folds need.
+    """
+    group = list(group)
+    c = _date(cutoff)
+    w = Window.partitionBy(*group, S.UID).orderBy("_qi")
+    df = (panel.withColumn("_qi", quarter_index(S.DS))
+          .withColumn("step", F.col("_qi") - quarter_index(c)))
+    is_train = F.col("step") <= 0
+    if train_flag is not None:
+        is_train = is_train & F.col(train_flag)
+    ty = F.when(is_train, F.col(S.Y))
+    k = F.ceil(F.col("step") / m)
+
+    def back(q: int) -> Column:
+        return F.first(ty).over(w.rangeBetween(-q, -q))
+
+    reps = max(1, math.ceil(h / m))
+    if model == "naive":
+        fcol = F.last(ty, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    elif model == "seasonal_naive":
+        fcol = None
+        for j in range(1, reps + 1):
+            v = back(m * j)
+            fcol = F.when(k == j, v) if fcol is None else fcol.when(k == j, v)
+    elif model == "seasonal_window_average":
+        n_train = F.count(ty).over(Window.partitionBy(*group, S.UID))
+        fcol = None
+        for j in range(1, reps + 1):
+            vals = [back(m * (j + i)) for i in range(window)]
+            tot = sum((F.coalesce(v, F.lit(0.0)) for v in vals[1:]),
+                      F.coalesce(vals[0], F.lit(0.0)))
+            cnt = sum((v.isNotNull().cast("int") for v in vals[1:]),
+                      vals[0].isNotNull().cast("int"))
+            v = F.when(cnt > 0, tot / cnt)
+            fcol = F.when(k == j, v) if fcol is None else fcol.when(k == j, v)
+        fcol = F.when(n_train >= m * window, fcol)
+    else:
+        raise ValueError(f"unknown model {model!r}")
+    out = (df.withColumn("forecast", fcol)
+           .filter((F.col("step") >= 1) & (F.col("step") <= h)
+                   & F.col(S.Y).isNotNull() & F.col("forecast").isNotNull()))
+    return out.select(*group, S.UID, S.DS, "step", "forecast",
+                      F.col(S.Y).alias("actual"))

@@ -16,10 +16,10 @@ H_TEST = 8  # 2000-Q1 .. 2001-Q4
 def seasonal_naive_scores(spark, sf_dir):
     """Flagship: coarse panel -> split -> seasonal naive (m=4) -> actuals ->
     RMSE / Log-RMSE / SMAPE / WMAPE per horizon."""
-    train, test = P.split_train_test(P.coarse_panel(spark, sf_dir))
-    f = fc.seasonal_naive(train, P.TRAIN_END, H_TEST, m=4, level=False)
-    scored = fc.join_actuals(f, test).withColumn("model", F.lit("seasonal_naive")) \
-        .withColumnRenamed("step", "horizon")
+    panel = P.coarse_panel(spark, sf_dir)
+    scored = (fc.score_in_place(panel, "seasonal_naive", P.TRAIN_END, H_TEST)
+              .withColumn("model", F.lit("seasonal_naive"))
+              .withColumnRenamed("step", "horizon"))
     return M.compute_metrics(scored, by=("model", "horizon"), digits=4)
 
 
