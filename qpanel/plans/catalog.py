@@ -24,4 +24,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from qpanel.plans import queries_forecast  # noqa: F401
+    from qpanel.plans import queries_forecast, queries_prepare  # noqa: F401
