@@ -60,3 +60,15 @@ def metric_cols(a: str = "actual", f: str = "forecast", digits: int = 4) -> str:
   round(sqrt(avg(pow(ln(greatest({a}, 1e-6)) - ln(greatest({f}, 1e-6)), 2))), {digits}) AS log_rmse,
   round(avg(2 * abs({f} - {a}) / (abs({a}) + abs({f}) + 1e-6)) * 100, {digits}) AS smape,
   round(sum(abs({a} - {f})) / nullif(sum({a}), 0), {digits}) AS wmape"""
+
+
+def r(expr: str, digits: int = 4) -> str:
+    """round() that also turns -0.0 into 0.0 (matches Spark's round)."""
+    return f"(round({expr}, {digits}) + 0.0)"
+
+
+def rounded_select(cols: list[tuple[str, bool]], src: str, digits: int = 4) -> str:
+    """SELECT with every double column rounded; cols = (name, is_double)."""
+    parts = [f'{r(chr(34) + n + chr(34), digits)} AS "{n}"' if d else f'"{n}"'
+             for n, d in cols]
+    return f"SELECT {', '.join(parts)} FROM {src}"
