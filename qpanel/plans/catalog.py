@@ -24,4 +24,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from qpanel.plans import queries_features, queries_forecast, queries_prepare  # noqa: F401
+    from qpanel.plans import (  # noqa: F401
+        queries_features, queries_forecast, queries_impute, queries_prepare, queries_profile)
