@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index, quarter_label
-from qpanel.plans.ordered import ecdf_distances
+from qpanel.plans.ordered import cut_lineage, ecdf_distances
 
 
 def calendar_bounds(panel: DataFrame, ds: str = S.DS):
@@ -150,27 +150,36 @@ def mask_cells(dense: DataFrame, value: str = S.Y, key: str = S.UID,
 def score_method(filled: DataFrame, method: str, value: str = S.Y) -> DataFrame:
     """I7-I9 for one method: MAE and RMSE on hidden cells, KS and
     Wasserstein distance between the original known values and the
-    filled panel's values."""
-    f = filled.withColumn(value, F.when(~F.isnan(value), F.col(value)))
-    hidden = f.filter(F.col("hidden") & F.col(value).isNotNull())
-    err = hidden.agg(F.avg(F.abs(F.col(value) - F.col("truth"))).alias("mae"),
-                     F.sqrt(F.avg(F.pow(F.col(value) - F.col("truth"), 2))).alias("rmse"),
-                     F.count(F.lit(1)).alias("n_hidden")).first()  # one scalar row
-    dist = ecdf_distances(f.select(F.col("truth").alias("v")).filter(F.col("v").isNotNull()),
-                          f.select(F.col(value).alias("v")).filter(F.col("v").isNotNull()), "v")
+    filled panel's values.
+
+    The filled panel is checkpointed once (it feeds two jobs); error
+    statistics and both sample sizes come from one aggregate.
+    """
+    f = cut_lineage(filled.select("hidden", "truth",
+                                  F.when(~F.isnan(value), F.col(value)).alias("v")))
+    hid = F.col("hidden") & F.col("v").isNotNull()
+    e = F.col("v") - F.col("truth")
+    st = f.agg(F.avg(F.when(hid, F.abs(e))).alias("mae"),
+               F.sqrt(F.avg(F.when(hid, F.pow(e, 2)))).alias("rmse"),
+               F.count_if(hid).alias("n_hidden"),
+               F.count("truth").alias("n1"), F.count("v").alias("n2")).first()
+    dist = ecdf_distances(f.select(F.col("truth").alias("x")),
+                          f.select(F.col("v").alias("x")), "x",
+                          float(st["n1"]), float(st["n2"]))
     return dist.select(F.lit(method).alias("method"),
-                       F.lit(err["mae"]).cast("double").alias("mae"),
-                       F.lit(err["rmse"]).cast("double").alias("rmse"),
-                       F.lit(err["n_hidden"]).cast("long").alias("n_hidden"),
+                       F.lit(st["mae"]).cast("double").alias("mae"),
+                       F.lit(st["rmse"]).cast("double").alias("rmse"),
+                       F.lit(st["n_hidden"]).cast("long").alias("n_hidden"),
                        "ks", "wasserstein")
 
 
 def compare_imputers(dense_masked: DataFrame, methods=("zeros", "ffill", "linear"),
                      value: str = S.Y) -> DataFrame:
-    """One score row per method on the same masked panel."""
+    """One score row per method on the same masked panel, which is
+    checkpointed once and shared by every method."""
+    base = cut_lineage(dense_masked)
     out = None
     for m in methods:
-        s = score_method(METHODS[m](dense_masked, value=value) if m != "zeros"
-                         else impute_zeros(dense_masked, value), m, value)
+        s = score_method(METHODS[m](base, value=value), m, value)
         out = s if out is None else out.unionByName(s)
     return out

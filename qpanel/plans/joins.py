@@ -4,25 +4,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which a dimension-like side is shuffled instead of broadcast.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of ``df`` (no job is run).
+
+    For a file scan this is the on-disk size scaled to the selected
+    columns, a sound upper bound for anything derived from it by filters,
+    projections and key lookups.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's broadcast threshold in bytes (-1 disables)."""
+    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    v = v.strip().lower()
+    mult = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    if v and v[-1] == "b" and v[-2:-1] in mult and v[-2:-1] != "b":
+        v = v[:-1]
+    if v and v[-1] in mult:
+        return int(float(v[:-1]) * mult[v[-1]])
+    return int(v)
 
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
 
-    Runs ``limit(max_rows + 1).count()``: a bounded job that stops reading
-    as soon as the bound is exceeded, so it is cheap even on a huge input.
+def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None,
+                       max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only when the side is proven small.
+
+    ``probe`` is the base scan ``df`` was derived from (its estimate bounds
+    ``df``); without it ``df``'s own estimate is used.  Above the limit the
+    plain DataFrame is returned: Catalyst plans a sort-merge join, and AQE
+    may still switch to a broadcast once the real shuffle size is known.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    limit = broadcast_limit(df) if max_bytes is None else max_bytes
+    if limit < 0:
+        return df
+    size = estimated_bytes(probe if probe is not None else df)
+    return F.broadcast(df) if size <= limit else df
 
 
-def broadcast_if_small(df: DataFrame,
-                       max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise the
-    plain DataFrame, leaving Catalyst/AQE a sort-merge (or a runtime
-    broadcast when the shuffled side turns out small)."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
+def bounded_rows(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (a bounded job:
+    ``limit(max_rows + 1).count()`` stops reading past the bound)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def fixed_small(df: DataFrame) -> DataFrame:

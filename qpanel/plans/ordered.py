@@ -85,7 +85,8 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     return v_lo + (v_hi - v_lo) * (pos - lo)
 
 
-def ecdf_distances(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
+def ecdf_distances(a: DataFrame, b: DataFrame, col: str,
+                   n1: float | None = None, n2: float | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and 1-Wasserstein distance
     between the values of ``col`` in ``a`` and ``b`` (I8, I9).
 
@@ -96,8 +97,9 @@ def ecdf_distances(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
             .unionByName(b.select(F.col(col).alias("v"), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
             .filter(F.col("v").isNotNull() & ~F.isnan("v"))
             .groupBy("v").agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2")))
-    tot = both.agg(F.sum("n1"), F.sum("n2")).first()
-    n1, n2 = float(tot[0] or 0), float(tot[1] or 0)
+    if n1 is None or n2 is None:
+        tot = both.agg(F.sum("n1"), F.sum("n2")).first()
+        n1, n2 = float(tot[0] or 0), float(tot[1] or 0)
     cum = global_cumulative(both, "v", ["n1", "n2"])
     d = F.abs(F.col("cum_n1") / F.lit(n1) - F.col("cum_n2") / F.lit(n2))
     return cum.agg(F.max(d).alias("ks"),

@@ -11,7 +11,8 @@
 Plan shape: lineitem and orders are the only large inputs; they meet in
 one sort-merge join on the order key (AQE splits a skewed order key).
 Supplier and customer are first reduced to key -> name maps; each map is
-broadcast only after a bounded row count proves it small.  The final
+broadcast only when the optimizer's size estimate of its base scan (an
+upper bound for the map) is under the session's broadcast threshold.  The final
 aggregate runs partial (map-side) before its shuffle, so a hot
 (rep, cp, basis, quarter) group never reaches one task as raw rows.
 """
@@ -45,7 +46,7 @@ def supplier_geo(spark, sf_dir, level) -> DataFrame:
     geo = _geo(spark, sf_dir, level)
     m = (sup.join(fixed_small(geo), sup.s_nationkey == geo.n_nationkey)
          .select("s_suppkey", F.col("geo").alias(S.REP)))
-    return broadcast_if_small(m)
+    return broadcast_if_small(m, probe=sup)
 
 
 def customer_geo(spark, sf_dir, level) -> DataFrame:
@@ -53,7 +54,7 @@ def customer_geo(spark, sf_dir, level) -> DataFrame:
     geo = _geo(spark, sf_dir, level)
     m = (cus.join(fixed_small(geo), cus.c_nationkey == geo.n_nationkey)
          .select("c_custkey", F.col("geo").alias(S.CP)))
-    return broadcast_if_small(m)
+    return broadcast_if_small(m, probe=cus)
 
 
 def bank_type_expr(priority_col: str = "o_orderpriority"):

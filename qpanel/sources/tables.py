@@ -10,8 +10,19 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations"]
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
-    """``spark.read.parquet`` of one table; ``columns`` prunes the scan."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """``spark.read.parquet`` of one table; ``columns`` prunes the scan.
+
+    The (lazy) relation is reused per session and path so that building a
+    plan that mentions a table several times lists its files once.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark._jsparkSession), path)
+    df = _READS.get(key)
+    if df is None:
+        df = _READS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
