@@ -26,4 +26,4 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from qpanel.plans import (  # noqa: F401
         queries_evaluate, queries_features, queries_forecast, queries_impute, queries_models,
-        queries_prepare, queries_profile)
+        queries_prepare, queries_profile, queries_trees)
