@@ -122,11 +122,21 @@ def impute_poly(df: DataFrame, order: int = 3, value: str = S.Y, key: str = S.UI
     return df.groupBy(key).applyInPandas(fn, schema=df.schema)
 
 
+def _knn(k):
+    def run(df, value=S.Y):
+        from qpanel.operators.knn import impute_knn
+        cols = [c for c in df.columns if c not in (S.UID, S.DS, value)]
+        filled = impute_knn(df.select(S.UID, S.DS, value), k=k, value=value)
+        return df.drop(value).join(filled, [S.UID, S.DS]).select(*df.columns) if cols else filled
+    return run
+
+
 METHODS = {
     "zeros": impute_zeros,
     "ffill": impute_ffill,
     "linear": impute_linear,
     "poly": impute_poly,
+    **{f"knn_{k}": _knn(k) for k in (1, 3, 5, 7, 9)},
 }
 
 

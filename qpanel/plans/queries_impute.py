@@ -101,3 +101,69 @@ def imputation_scores_poly(spark, sf_dir):
 
 
 register("imputation_scores_poly")(imputation_scores_poly)
+
+
+def _knn_sql(src: str, k: int, nq: int = 28) -> str:
+    """CTEs computing the KNN fill of table ``src`` (unique_id, ds, y):
+    result CTE ``knn`` (unique_id, ds, y_filled)."""
+    return f"""kst AS (SELECT unique_id, avg(y) AS mu,
+       CASE WHEN stddev_pop(y) IS NULL OR stddev_pop(y) = 0 THEN 1.0 ELSE stddev_pop(y) END AS sd
+       FROM {src} GROUP BY 1),
+kz AS (SELECT s.unique_id, s.ds, s.y, (s.y - kst.mu) / kst.sd AS z, kst.mu, kst.sd
+       FROM {src} s JOIN kst USING (unique_id)),
+kpr AS (SELECT a.unique_id AS i, b.unique_id AS j, sqrt({nq}.0 / count(*) * sum(pow(a.z - b.z, 2))) AS dist
+        FROM kz a JOIN kz b ON a.ds = b.ds AND a.unique_id <> b.unique_id
+        WHERE a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY 1, 2),
+kcand AS (SELECT c.unique_id AS i, c.ds, p.j, p.dist, d.z AS dz
+          FROM kz c JOIN kpr p ON p.i = c.unique_id
+          JOIN kz d ON d.unique_id = p.j AND d.ds = c.ds AND d.z IS NOT NULL
+          WHERE c.z IS NULL),
+ktop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, ds ORDER BY dist, j) AS rn FROM kcand)
+         WHERE rn <= {k}),
+kfill AS (SELECT i AS unique_id, ds,
+          CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) = 1 THEN avg(dz) FILTER (WHERE dist = 0)
+               ELSE sum((1.0 / dist) * dz) / sum(1.0 / dist) END AS zfill FROM ktop GROUP BY 1, 2),
+kcm AS (SELECT ds, avg(z) AS zmean FROM kz GROUP BY ds),
+knn AS (SELECT kz.unique_id, kz.ds,
+        CASE WHEN kz.y IS NOT NULL THEN kz.y ELSE coalesce(f.zfill, kcm.zmean) * kz.sd + kz.mu END AS y_filled
+        FROM kz LEFT JOIN kfill f USING (unique_id, ds) LEFT JOIN kcm USING (ds))"""
+
+
+def imputed_knn(spark, sf_dir):
+    """k=5 nearest series (inverse distance) on the densified fine panel."""
+    from qpanel.operators.knn import impute_knn
+    return round_doubles(impute_knn(_dense(spark, sf_dir).select(S.UID, S.DS, S.Y), k=5), 4)
+
+
+register("imputed_knn", f"""{_DENSE_SQL},
+src AS (SELECT unique_id, ds, y FROM dense),
+{_knn_sql('src', 5)}
+SELECT unique_id, ds, {r('y_filled')} AS y FROM knn""")(imputed_knn)
+
+
+def imputation_scores_knn(spark, sf_dir):
+    """I5 + I7-I9: KNN (k=5) scored on the md5-hidden cells."""
+    s = I.compare_imputers(_masked(spark, sf_dir), ("knn_5",))
+    return round_doubles(s, 4)
+
+
+register("imputation_scores_knn", f"""{_DENSE_SQL},
+masked AS (SELECT unique_id, ds, y AS truth,
+  (y IS NOT NULL AND substr(md5(unique_id || '|' || year(ds) || '-Q' || quarter(ds)), 1, 2) < '1a') AS hidden
+  FROM dense),
+m AS (SELECT *, CASE WHEN hidden THEN NULL ELSE truth END AS y FROM masked),
+{_knn_sql('m', 5)},
+filled AS (SELECT 'knn_5' AS method, m.truth, m.hidden, k.y_filled AS v FROM m JOIN knn k USING (unique_id, ds)),
+err AS (SELECT method, avg(abs(v - truth)) AS mae, sqrt(avg(pow(v - truth, 2))) AS rmse,
+               count(*) AS n_hidden FROM filled WHERE hidden AND v IS NOT NULL GROUP BY method),
+vals AS (SELECT method, truth AS x, 1 AS a, 0 AS b FROM filled WHERE truth IS NOT NULL
+         UNION ALL SELECT method, v, 0, 1 FROM filled WHERE v IS NOT NULL),
+agg AS (SELECT method, x, sum(a) AS n1, sum(b) AS n2 FROM vals GROUP BY method, x),
+cum AS (SELECT method, x,
+          sum(n1) OVER (PARTITION BY method ORDER BY x) / sum(n1) OVER (PARTITION BY method) AS f1,
+          sum(n2) OVER (PARTITION BY method ORDER BY x) / sum(n2) OVER (PARTITION BY method) AS f2,
+          lead(x) OVER (PARTITION BY method ORDER BY x) AS nx FROM agg),
+dist AS (SELECT method, max(abs(f1 - f2)) AS ks,
+                coalesce(sum(abs(f1 - f2) * (nx - x)), 0) AS wasserstein FROM cum GROUP BY method)
+SELECT method, {r('mae')} AS mae, {r('rmse')} AS rmse, n_hidden, {r('ks')} AS ks,
+       {r('wasserstein')} AS wasserstein FROM err JOIN dist USING (method)""")(imputation_scores_knn)
