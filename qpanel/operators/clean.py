@@ -161,14 +161,16 @@ def pivot_bank_types(long_df: DataFrame, keys, bank_col: str = S.BANK_TYPE,
                      value_col: str = "exposure", types=S.BANK_TYPES) -> DataFrame:
     """Sum per key x bank type, one column per type, absent -> 0.
 
-    The pivot list is fixed, so no distinct-values job is run and a missing
-    bank type yields a 0 column instead of an error (Q16).  Rows whose key
-    or bank type is NULL are dropped first (Q2).
+    The type list is fixed, so the pivot is one aggregate of conditional
+    sums (a single shuffle, no distinct-values job); a missing bank type
+    yields a 0 column instead of an error (Q16).  Rows whose key or bank
+    type is NULL are dropped first (Q2).
     """
     keys = list(keys)
     df = long_df.dropna(subset=keys).filter(F.col(bank_col).isin(list(types)))
-    out = df.groupBy(*keys).pivot(bank_col, list(types)).agg(F.sum(value_col))
-    return out.na.fill(0.0, subset=list(types))
+    return df.groupBy(*keys).agg(*[
+        F.coalesce(F.sum(F.when(F.col(bank_col) == t, F.col(value_col))), F.lit(0.0)).alias(t)
+        for t in types])
 
 
 def consolidate(df: DataFrame, b="4B", r="4R", c="4C", o="4O",

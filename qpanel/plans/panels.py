@@ -81,7 +81,11 @@ def exposures(spark: SparkSession, sf_dir: str, level: str = "region",
     orders = read_table(spark, sf_dir, "orders", ocols)
     cmap = customer_geo(spark, sf_dir, level)
     smap = supplier_geo(spark, sf_dir, level)
-    orders_cp = orders.join(cmap, orders.o_custkey == cmap.c_custkey)
+    # orders -> counterparty: broadcast only when the orders scan itself is
+    # under the threshold; otherwise lineitem and orders meet in a
+    # sort-merge join on the order key (AQE may still demote it at run time)
+    orders_cp = broadcast_if_small(orders.join(cmap, orders.o_custkey == cmap.c_custkey),
+                                   probe=orders)
     lines = (li.join(orders_cp, li.l_orderkey == orders_cp.o_orderkey)
              .join(smap, li.l_suppkey == smap.s_suppkey))
     group = [S.REP, S.CP, F.col("l_returnflag").alias(S.BASIS)]

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks, triggers or streaming state:
+every input is a finished file (see README, "Not built").  Its only
+sliding-window logic, the rolling back-test, is a batch job
+(``qpanel.operators.forecast.backtest``).
+"""
