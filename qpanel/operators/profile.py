@@ -35,22 +35,41 @@ def column_values(df: DataFrame, cols) -> DataFrame:
         .unpivot([], cols, "column", "value")
 
 
+# Hash buckets per column for the two-level top-k below.
+TOPK_BUCKETS = 64
+
+
+def top_k_per_group(df: DataFrame, group: str, order, k: int,
+                    buckets: int = TOPK_BUCKETS, salt_col: str = "value") -> DataFrame:
+    """Top ``k`` rows per ``group`` by ``order`` without one task per group:
+    first the top k inside each (group, hash bucket of ``salt_col``), then
+    the top k of those at most k x buckets survivors.  Adds ``rank``."""
+    b = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(buckets))
+    w1 = Window.partitionBy(group, "_b").orderBy(*order)
+    pre = (df.withColumn("_b", b).withColumn("_r1", F.row_number().over(w1))
+           .filter(F.col("_r1") <= k).drop("_r1", "_b"))
+    w2 = Window.partitionBy(group).orderBy(*order)
+    return pre.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
+
+
 def column_profile(df: DataFrame, cols, top: int = 10, all_if_at_most: int = 20):
-    """A3 + T1: per column non-null and distinct counts, and the top values.
+    """A3 + T1: per column non-null and distinct counts, and the top values
+    (all of them when the column has at most ``all_if_at_most``).
 
     Returns (summary, top_values).  Value counts are a partial aggregate;
-    ranking is a window per column whose partition holds one row per
-    distinct value (bounded by the column's cardinality, not by rows).
+    the ranking is a two-level top-k, so no task holds all distinct values
+    of a high-cardinality column.
     """
     cv = column_values(df, cols)
     counts = cv.filter(F.col("value").isNotNull()).groupBy("column", "value") \
         .agg(F.count(F.lit(1)).alias("n"))
     summary = counts.groupBy("column").agg(F.sum("n").alias("non_null"),
                                            F.count(F.lit(1)).alias("unique_count"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    ranked = counts.withColumn("rank", F.row_number().over(w)) \
-        .withColumn("_u", F.count(F.lit(1)).over(Window.partitionBy("column")))
-    topv = ranked.filter((F.col("_u") <= all_if_at_most) | (F.col("rank") <= top)).drop("_u")
+    k = max(top, all_if_at_most)
+    ranked = top_k_per_group(counts, "column", [F.desc("n"), F.asc("value")], k)
+    topv = (ranked.join(summary.select("column", "unique_count"), "column")
+            .filter((F.col("unique_count") <= all_if_at_most) | (F.col("rank") <= top))
+            .select("column", "value", "n", "rank"))
     return summary, topv
 
 
@@ -143,21 +162,20 @@ def histogram(df: DataFrame, value: str = S.Y, bins: int = 50,
 def unique_value_summary(df: DataFrame, cols, numeric_cols=(), max_list: int = 250,
                          max_distinct: int = 1000) -> DataFrame:
     """Per column, numeric -> 'n instances'; fewer than ``max_distinct``
-    distinct values -> the first ``max_list`` (sorted); else a count text."""
+    distinct values -> the first ``max_list`` (sorted); else a count text.
+    The listed values come from a two-level top-k (bounded per task)."""
     cv = column_values(df, cols).filter(F.col("value").isNotNull())
     d = cv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("column").orderBy("value")
-    d = d.withColumn("_r", F.row_number().over(w))
     g = d.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"),
-                                F.sum("_n").alias("instances"),
-                                F.sort_array(F.collect_list(F.when(F.col("_r") <= max_list,
-                                                                   F.col("value")))).alias("_vals"))
+                                F.sum("_n").alias("instances"))
+    first = (top_k_per_group(d, "column", [F.asc("value")], max_list)
+             .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("_vals")))
     num = F.col("column").isin(list(numeric_cols)) if numeric_cols else F.lit(False)
-    return g.select("column", "distinct_count",
-                    F.when(num, F.format_string("%d instances", "instances"))
-                    .when(F.col("distinct_count") < max_distinct, F.array_join("_vals", ", "))
-                    .otherwise(F.format_string("%d unique values", "distinct_count"))
-                    .alias("summary"))
+    return g.join(first, "column", "left").select(
+        "column", "distinct_count",
+        F.when(num, F.format_string("%d instances", "instances"))
+        .when(F.col("distinct_count") < max_distinct, F.array_join("_vals", ", "))
+        .otherwise(F.format_string("%d unique values", "distinct_count")).alias("summary"))
 
 
 def distribution_summary(df: DataFrame, value: str = S.Y, median=None) -> DataFrame:

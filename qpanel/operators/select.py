@@ -15,7 +15,8 @@ def first_n_series(panel: DataFrame, n: int, key: str = S.UID) -> DataFrame:
     distinct keys: each task keeps its own n, one merge), then a left-semi
     join keeps their rows."""
     keys = panel.select(key).distinct().orderBy(key).limit(n)
-    return panel.join(F.broadcast(keys), key, "left_semi")
+    # the key list has at most n rows: broadcast it only when n is small
+    return panel.join(F.broadcast(keys) if n <= 1_000_000 else keys, key, "left_semi")
 
 
 def hash_sample(df: DataFrame, fraction_hex: str = "1a", salt: str = "sample",

@@ -37,7 +37,8 @@ e AS (SELECT * FROM e0 WHERE unique_id IN (SELECT unique_id FROM e0 GROUP BY 1 H
 
 def decomposition_variability(spark, sf_dir):
     """std(trend) + std(resid) of each series' data up to 1998."""
-    v = MD.composite_variability(P.coarse_panel(spark, sf_dir), EARLY, min_points=8)
+    # only quarters up to the cutoff matter: bound the ship date at the scan
+    v = MD.composite_variability(P.coarse_panel(spark, sf_dir, end=EARLY), EARLY, min_points=8)
     return round_doubles(v, 2)
 
 
