@@ -184,12 +184,19 @@ def score_method(filled: DataFrame, method: str, value: str = S.Y) -> DataFrame:
 
 
 def compare_imputers(dense_masked: DataFrame, methods=("zeros", "ffill", "linear"),
-                     value: str = S.Y) -> DataFrame:
+                     value: str = S.Y, timed: bool = False) -> DataFrame:
     """One score row per method on the same masked panel, which is
-    checkpointed once and shared by every method."""
+    checkpointed once and shared by every method.  ``timed`` adds
+    ``time_sec``: wall time of filling and materialising the method's
+    panel (its checkpoint) plus scoring it."""
+    import time
     base = cut_lineage(dense_masked)
     out = None
     for m in methods:
+        t0 = time.perf_counter()
         s = score_method(METHODS[m](base, value=value), m, value)
+        if timed:
+            s = cut_lineage(s)
+            s = s.withColumn("time_sec", F.lit(round(time.perf_counter() - t0, 3)))
         out = s if out is None else out.unionByName(s)
     return out

@@ -73,6 +73,17 @@ def column_profile(df: DataFrame, cols, top: int = 10, all_if_at_most: int = 20)
     return summary, topv
 
 
+def profile_with_coverage(summary: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Per-quarter reporter / counterparty / pair counts looked up into
+    the column profile by column name (quarter columns are 'YYYY-Qn');
+    descriptor columns get NULL counts."""
+    cov = coverage.select(F.format_string("%d-Q%d", "year", "quarter").alias("column"),
+                          F.col("n_reporters").alias("num_reporters"),
+                          F.col("n_counterparties").alias("num_counterparties"),
+                          F.col("n_pairs").alias("num_pairs"))
+    return summary.join(cov, "column", "left")
+
+
 def coverage_by_quarter(panel: DataFrame, a: str = S.REP, b: str = S.CP,
                         ds: str = S.DS) -> DataFrame:
     """Distinct reporters, counterparties and pairs per

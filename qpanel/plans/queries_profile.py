@@ -216,3 +216,27 @@ register("winsorized_panel", f"""{FINE}, c AS (SELECT quantile_cont(y, 0.99) AS
 SELECT unique_id, ds, {r('greatest(least(y, cap), 0)', 6)} AS exposure,
        {r('ln(1 + greatest(least(y, cap), 0))', 6)} AS y_log
 FROM panel, c WHERE y IS NOT NULL""")(winsorized_panel)
+
+
+def column_profile_with_coverage(spark, sf_dir):
+    """A3 + J10: profile of descriptor and quarter columns of the claims
+    table, with the fine panel's per-quarter coverage looked up by name."""
+    from qpanel.plans.queries_prepare import QUARTERS
+    summ, _ = PR.column_profile(claims_wide(spark, sf_dir), DESCRIPTORS + QUARTERS)
+    return PR.profile_with_coverage(summ, PR.coverage_by_quarter(P.fine_panel(spark, sf_dir)))
+
+
+def _cov_sql():
+    from qpanel.plans.queries_prepare import QUARTERS
+    cv = " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST("{c}" AS VARCHAR) AS value FROM w"""
+                            for c in DESCRIPTORS + QUARTERS)
+    return f"""WITH w AS ({_CLAIMS_SQL}), cv AS ({cv}),
+s AS (SELECT "column", count(value) AS non_null, count(DISTINCT value) AS unique_count FROM cv GROUP BY 1),
+panel AS ({panel_sql('nation')}),
+c AS (SELECT printf('%d-Q%d', year(ds), quarter(ds)) AS "column", count(DISTINCT rep) AS num_reporters,
+             count(DISTINCT cp) AS num_counterparties, count(DISTINCT (rep, cp)) AS num_pairs
+      FROM panel GROUP BY ds)
+SELECT s.*, num_reporters, num_counterparties, num_pairs FROM s LEFT JOIN c USING ("column")"""
+
+
+register("column_profile_with_coverage", _cov_sql())(column_profile_with_coverage)

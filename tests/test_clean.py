@@ -79,3 +79,14 @@ def test_quarter_column_rules(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0, 4.0)], "id int, `2005-Q1` double, `2005-Q3 ` double, `1999` double")
     assert C.quarter_columns(df, "strict") == ["2005-Q1"]
     assert C.quarter_columns(C.trim_columns(df), "suffix") == ["2005-Q1", "2005-Q3"]
+
+
+def test_filter_codes_and_required_columns(spark):
+    df = spark.createDataFrame([("A", "4B"), ("A", "4R"), ("B", "4B")], "L_REP_CTY string, CBS_BANK_TYPE string")
+    assert C.filter_codes(df, {"L_REP_CTY": "A", "CBS_BANK_TYPE": "4B"}).count() == 1
+    C.require_columns(df, ["L_REP_CTY"])
+    try:
+        C.require_columns(df, ["L_REP_CTY", "Counterparty country"])
+        raise AssertionError("expected ValueError")
+    except ValueError as e:
+        assert "Counterparty country" in str(e)

@@ -86,3 +86,19 @@ def test_collect_runtimes_layouts(spark):
     g4 = CP.runtime_by_epoch(rt, ["lstm1"]).orderBy("epochs").collect()
     # block runs also carry 'epochs=' in their stage, as in the reference
     assert [(r["epochs"], r["lstm1"]) for r in g4] == [(50, 30.0), (100, 60.0), (200, None)]
+
+
+def test_save_fitted_model(spark):
+    from pyspark.ml.regression import LinearRegressionModel
+
+    from qpanel.operators.models import fit_window_regression
+    d = tempfile.mkdtemp(prefix="qpanel-model-", dir="/tmp")
+    w = spark.createDataFrame([([float(i), float(i + 1)], float(i + 2)) for i in range(10)],
+                              "x array<double>, target double")
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    m = LinearRegression().fit(w.select(array_to_vector("x").alias("features"), F.col("target").alias("label")))
+    FS.save_model(m, f"{d}/lr")
+    assert LinearRegressionModel.load(f"{d}/lr").numFeatures == 2
+    b0, b = fit_window_regression(w)
+    assert len(b) == 2
