@@ -28,30 +28,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def global_cumulative(df: DataFrame, order_col: str, weights: list[str],
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, group: str | None = None) -> DataFrame:
     """Adds ``cum_<w>`` (inclusive running sum of each weight in ascending
-    ``order_col`` order) and ``next_value`` (the following distinct value,
-    NULL for the last).  ``order_col`` values must be distinct."""
+    ``order_col`` order) and ``next_value`` (the following value, NULL for
+    the last).  With ``group`` the sums restart per group (the group must
+    be small in number, e.g. a method name); (group, order_col) must be
+    distinct."""
     spark: SparkSession = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    srt = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    keys = ([group] if group else []) + [order_col]
+    srt = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id()))
     srt = cut_lineage(srt)
-    tot = srt.groupBy("_pid").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights],
-                                  F.min(order_col).alias("_first"))
-    # one row per partition: a single-task window here is bounded by n
-    wp = Window.orderBy("_pid")
+    gcols = [group] if group else []
+    tot = srt.groupBy("_pid", *gcols).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights],
+                                          F.min(order_col).alias("_first"))
+    # one row per (partition, group): windows here are bounded by that count
+    wp = Window.partitionBy(*gcols).orderBy("_pid")
     before = wp.rowsBetween(Window.unboundedPreceding, -1)
     after = wp.rowsBetween(1, Window.unboundedFollowing)
-    off = tot.select("_pid",
+    off = tot.select("_pid", *gcols,
                      *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
                        for w in weights],
                      F.first("_first", ignorenulls=True).over(after).alias("_next_first"))
-    wl = Window.partitionBy("_pid").orderBy(order_col)
+    wl = Window.partitionBy("_pid", *gcols).orderBy(order_col)
     local = srt.select("*", *[F.sum(w).over(wl.rowsBetween(Window.unboundedPreceding, 0))
                               .alias(f"_l_{w}") for w in weights],
                        F.lead(order_col).over(wl).alias("_lead"))
-    out = local.join(F.broadcast(off), "_pid")
+    out = local.join(F.broadcast(off), ["_pid", *gcols])
     return out.select(*df.columns,
                       *[(F.col(f"_o_{w}") + F.col(f"_l_{w}")).alias(f"cum_{w}") for w in weights],
                       F.coalesce("_lead", "_next_first").alias("next_value"))
@@ -112,3 +116,21 @@ def global_rank(df: DataFrame, col: str) -> DataFrame:
     vals = df.select(col).distinct().withColumn("_one", F.lit(1))
     cum = global_cumulative(vals, col, ["_one"])
     return cum.select(col, F.col("cum__one").alias("rank"))
+
+
+def ecdf_distances_by(df: DataFrame, group: str, a: str, b: str, totals: dict) -> DataFrame:
+    """KS and W1 between columns ``a`` and ``b`` of ``df`` for every value of
+    ``group`` in one pass; ``totals`` maps group -> (n_a, n_b).  One row per
+    group: (group, ks, wasserstein)."""
+    both = (df.select(group, F.col(a).alias("v"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+            .unionByName(df.select(group, F.col(b).alias("v"), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+            .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+            .groupBy(group, "v").agg(F.sum("_a").alias("n1"), F.sum("_b").alias("n2")))
+    cum = global_cumulative(both, "v", ["n1", "n2"], group=group)
+    tot = df.sparkSession.createDataFrame(
+        [(g, float(x), float(y)) for g, (x, y) in totals.items()], f"{group} string, _N1 double, _N2 double")
+    d = F.abs(F.col("cum_n1") / F.col("_N1") - F.col("cum_n2") / F.col("_N2"))
+    return (cum.join(F.broadcast(tot), group)
+            .groupBy(group).agg(F.max(d).alias("ks"),
+                                F.coalesce(F.sum(d * (F.col("next_value") - F.col("v"))), F.lit(0.0))
+                                .alias("wasserstein")))
