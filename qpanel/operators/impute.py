@@ -33,7 +33,10 @@ def densify(panel: DataFrame, keys=(S.UID,), start=None, end=None,
             ds: str = S.DS, value: str = S.Y) -> DataFrame:
     """All series x all quarters in [start, end]; gaps become NULL rows.
 
-    ``keys`` are the columns identifying a series (all are carried).
+    ``keys`` are the columns identifying a series (all are carried).  One
+    aggregate per series gathers its known (quarter -> value) pairs (at
+    most one per calendar quarter, so bounded) and a generator emits the
+    full calendar: one shuffle, no join, no cross join.
     """
     keys = list(keys)
     if start is None or end is None:
@@ -42,12 +45,15 @@ def densify(panel: DataFrame, keys=(S.UID,), start=None, end=None,
     start_c = F.to_date(F.lit(str(start)))
     n = (int(str(end)[:4]) * 4 + (int(str(end)[5:7]) - 1) // 3) - \
         (int(str(start)[:4]) * 4 + (int(str(start)[5:7]) - 1) // 3) + 1
-    series = panel.select(*keys).distinct()
-    cal = series.select(*keys, F.explode(F.transform(
+    q0 = quarter_index(start_c)
+    per = (panel.groupBy(*keys)
+           .agg(F.map_from_entries(F.collect_list(F.struct(
+               (quarter_index(ds) - q0).cast("int"), F.col(value)))).alias("_known")))
+    cal = per.select(*keys, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.last_day(F.add_months(start_c, i * 3)))).alias(ds))
-    known = panel.select(*keys, ds, value)
-    return cal.join(known, keys + [ds], "left")
+        lambda i: F.struct(F.last_day(F.add_months(start_c, i * 3)).alias(ds),
+                           F.col("_known")[i].alias(value)))).alias("_i", "_c"))
+    return cal.select(*keys, F.col(f"_c.{ds}").alias(ds), F.col(f"_c.{value}").alias(value))
 
 
 def _w(key=S.UID, ds=S.DS):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_end
 from qpanel.plans.joins import broadcast_if_small, fixed_small
+from qpanel.plans.ordered import cut_lineage
 from qpanel.sources.tables import read_table
 
 
@@ -142,3 +143,12 @@ def split_train_test(panel: DataFrame, train_end: str = TRAIN_END,
     test = panel.filter((d >= F.to_date(F.lit(test_start))) &
                         (d <= F.to_date(F.lit(test_end))))
     return train, test
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Materialise an input that several branches of one query read (the
+    panel, the claims table): the raw tables are scanned and joined once
+    and every branch reads the checkpoint (reliable storage in
+    ``spark.checkpoint.dir``), instead of one scan per branch, which is
+    what Catalyst plans once column pruning makes the branches differ."""
+    return cut_lineage(df)

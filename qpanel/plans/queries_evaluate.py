@@ -20,7 +20,7 @@ H = 8
 
 def predictions(spark, sf_dir):
     """In-place scored rows of every model, stacked with ``model``."""
-    panel = P.coarse_panel(spark, sf_dir)
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
     parts = {m: fc.score_in_place(panel, m, P.TRAIN_END, H) for m in MODELS}
     return CP.stack_predictions(parts).withColumnRenamed("step", "horizon")
 

@@ -33,7 +33,7 @@ _W = "PARTITION BY unique_id ORDER BY ds"
 
 
 def _prepared(spark, sf_dir):
-    return FE.prepare_log(P.coarse_panel(spark, sf_dir)).drop(S.Y)
+    return FE.prepare_log(P.shared(P.coarse_panel(spark, sf_dir))).drop(S.Y)
 
 
 def features_full(spark, sf_dir):
@@ -168,7 +168,7 @@ SELECT unique_id, ds, {r('y')} AS y, {r(f'''(lag(y, 2) OVER ({_W}) / 2 + lag(y,
 
 def series_scaling(spark, sf_dir):
     """K6 + K7: per-series z-score fitted on train, applied to test."""
-    train, test = P.split_train_test(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
     sc, _, te = FE.scale_series(train, test)
     return round_doubles(te.select(S.UID, S.DS, "mu", "sigma", "is_constant", "z"), D, STD_COLS)
 

@@ -89,7 +89,7 @@ MODELS = ["naive", "seasonal_naive", "seasonal_window_average"]
 def backtest_scores(spark, sf_dir):
     """3-year train / 1-year validation folds over the whole panel;
     WMAPE (absolute denominator) per model and fold, and per model."""
-    panel = P.coarse_panel(spark, sf_dir)
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
     out = None
     for m in MODELS:
         b = fc.backtest(panel, m, train_years=3, test_years=1).withColumn("model", F.lit(m))
@@ -131,7 +131,7 @@ FROM bt GROUP BY GROUPING SETS ((model, fold), (model))""")(backtest_scores)
 
 def backtest_wmape_by_date(spark, sf_dir):
     """Seasonal-naive back-test WMAPE per validation quarter."""
-    b = fc.backtest(P.coarse_panel(spark, sf_dir), "seasonal_naive")
+    b = fc.backtest(P.shared(P.coarse_panel(spark, sf_dir)), "seasonal_naive")
     return M.metrics_by_period(b, by=("fold", S.DS), digits=4)
 
 

@@ -15,7 +15,7 @@ _W = "PARTITION BY unique_id ORDER BY ds"
 
 
 def _dense(spark, sf_dir):
-    return I.densify(P.fine_panel(spark, sf_dir))
+    return I.densify(P.shared(P.fine_panel(spark, sf_dir)))
 
 
 def dense_panel(spark, sf_dir):

@@ -20,7 +20,7 @@ COARSE = f"WITH panel AS ({panel_sql('region')})"
 
 def first_series(spark, sf_dir):
     """The first 200 series (by id) of the fine panel."""
-    return round_doubles(SL.first_n_series(P.fine_panel(spark, sf_dir), 200)
+    return round_doubles(SL.first_n_series(P.shared(P.fine_panel(spark, sf_dir)), 200)
                          .select(S.UID, S.DS, S.Y), 4)
 
 
@@ -51,7 +51,7 @@ FROM (SELECT DISTINCT unique_id FROM panel)""")(series_block_ids)
 
 def time_series_folds(spark, sf_dir):
     """M2: 5 splits = ntile(6) over the distinct quarters; rows per tile."""
-    t = TR.time_series_split(P.fine_panel(spark, sf_dir), 5)
+    t = TR.time_series_split(P.shared(P.fine_panel(spark, sf_dir)), 5)
     return t.groupBy("tile").agg(F.count(F.lit(1)).alias("cells"), F.min(S.DS).alias("first_ds"),
                                  F.max(S.DS).alias("last_ds"))
 
@@ -77,7 +77,7 @@ FROM panel GROUP BY unique_id""")(series_value_arrays)
 def forecast_alignment(spark, sf_dir):
     """Actuals of 2001 outer-aligned with seasonal-naive forecasts made
     at the end of 2000 for 2001-2002."""
-    panel = P.coarse_panel(spark, sf_dir)
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
     f = fc.seasonal_naive(panel, "2000-12-31", 8, level=False)
     a = panel.filter(F.year(S.DS) == 2001)
     return round_doubles(SL.align(a, f), 4)
@@ -95,7 +95,7 @@ FROM a FULL OUTER JOIN f ON a.unique_id = f.unique_id AND a.ds = f.ds""")(foreca
 def history_with_predictions(spark, sf_dir):
     """1995-1999 history plus seasonal-naive predictions for
     2000-2001, one row per (series, quarter)."""
-    panel = P.coarse_panel(spark, sf_dir)
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
     train, _ = P.split_train_test(panel)
     f = fc.seasonal_naive(train, P.TRAIN_END, 8, level=False)
     h = SL.history_union(train, f)

@@ -38,7 +38,7 @@ e AS (SELECT * FROM e0 WHERE unique_id IN (SELECT unique_id FROM e0 GROUP BY 1 H
 def decomposition_variability(spark, sf_dir):
     """std(trend) + std(resid) of each series' data up to 1998."""
     # only quarters up to the cutoff matter: bound the ship date at the scan
-    v = MD.composite_variability(P.coarse_panel(spark, sf_dir, end=EARLY), EARLY, min_points=8)
+    v = MD.composite_variability(P.shared(P.coarse_panel(spark, sf_dir, end=EARLY)), EARLY, min_points=8)
     return round_doubles(v, 2)
 
 
@@ -49,7 +49,7 @@ FROM dec GROUP BY unique_id""")(decomposition_variability)
 
 def top_variable_decomposition(spark, sf_dir):
     """F8: full decomposition of the most variable series."""
-    d = MD.top_variable_decomposition(P.coarse_panel(spark, sf_dir), EARLY)
+    d = MD.top_variable_decomposition(P.shared(P.coarse_panel(spark, sf_dir)), EARLY)
     return round_doubles(d.select(S.UID, S.DS, S.Y, "trend", "seasonal", "resid"), 2)
 
 
@@ -70,7 +70,7 @@ def _score(f, test, model):
 
 def ar_forecast_scores(spark, sf_dir):
     """per-series seasonal AR (AICc order), scored per horizon."""
-    train, test = P.split_train_test(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
     f = MD.forecast_ar_per_series(train, H)
     return _score(f, test, "arima")
 
@@ -80,7 +80,7 @@ register("ar_forecast_scores")(ar_forecast_scores)
 
 def ar_fit_report(spark, sf_dir):
     """fit status of every series of the fine panel (gappy, short)."""
-    train, test = P.split_train_test(P.fine_panel(spark, sf_dir))
+    train, test = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
     f = MD.forecast_ar_per_series(train, H)
     return MD.series_fit_report(f, test).groupBy("status").agg(F.count(F.lit(1)).alias("series"))
 
@@ -90,7 +90,7 @@ register("ar_fit_report")(ar_fit_report)
 
 def recursive_linear_scores(spark, sf_dir):
     """one linear model on all scaled windows of 4, fed back 8 times."""
-    train, test = P.split_train_test(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
     f, _ = MD.recursive_linear_forecast(train, H, n_steps=4)
     return _score(f, test, "linear_recursive")
 
@@ -100,7 +100,7 @@ register("recursive_linear_scores")(recursive_linear_scores)
 
 def block_var_scores(spark, sf_dir):
     """F14 + K8: ridge VAR per block of 8 series, scored per horizon."""
-    train, test = P.split_train_test(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
     f = MD.forecast_blocks(train, H, block_size=8)
     return _score(f, test, "block_var_8")
 

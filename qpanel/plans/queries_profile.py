@@ -25,12 +25,12 @@ dense AS (SELECT c.*, p.y FROM cal c LEFT JOIN panel p USING (unique_id, ds))"""
 
 
 def _dense(spark, sf_dir):
-    return I.densify(P.fine_panel(spark, sf_dir), keys=[S.UID, S.REP, S.CP, S.BASIS])
+    return I.densify(P.shared(P.fine_panel(spark, sf_dir)), keys=[S.UID, S.REP, S.CP, S.BASIS])
 
 
 def country_counts(spark, sf_dir):
     """A2 + J4 on the claims table."""
-    return PR.country_counts(claims_wide(spark, sf_dir))
+    return PR.country_counts(P.shared(claims_wide(spark, sf_dir)))
 
 
 register("country_counts", f"""WITH w AS ({_CLAIMS_SQL}),
@@ -58,7 +58,7 @@ FROM cv GROUP BY 1""")(column_profile_summary)
 
 def column_top_values(spark, sf_dir):
     """Top values per column (all when <= 20 distinct, else 10)."""
-    _, t = PR.column_profile(claims_wide(spark, sf_dir), DESCRIPTORS)
+    _, t = PR.column_profile(P.shared(claims_wide(spark, sf_dir)), DESCRIPTORS)
     return t
 
 
@@ -71,7 +71,7 @@ SELECT "column", value, n, rank FROM k WHERE u <= 20 OR rank <= 10""")(column_to
 
 def unique_value_summary(spark, sf_dir):
     """Per descriptor column, its sorted values or a count text."""
-    return PR.unique_value_summary(claims_wide(spark, sf_dir), DESCRIPTORS)
+    return PR.unique_value_summary(P.shared(claims_wide(spark, sf_dir)), DESCRIPTORS)
 
 
 register("unique_value_summary", f"""WITH w AS ({_CLAIMS_SQL}), cv AS ({_CV}),
@@ -222,7 +222,7 @@ def column_profile_with_coverage(spark, sf_dir):
     """A3 + J10: profile of descriptor and quarter columns of the claims
     table, with the fine panel's per-quarter coverage looked up by name."""
     from qpanel.plans.queries_prepare import QUARTERS
-    summ, _ = PR.column_profile(claims_wide(spark, sf_dir), DESCRIPTORS + QUARTERS)
+    summ, _ = PR.column_profile(P.shared(claims_wide(spark, sf_dir)), DESCRIPTORS + QUARTERS)
     return PR.profile_with_coverage(summ, PR.coverage_by_quarter(P.fine_panel(spark, sf_dir)))
 
 

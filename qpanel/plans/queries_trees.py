@@ -16,7 +16,7 @@ PARAMS = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
 
 
 def _frame(spark, sf_dir):
-    prep = FE.prepare_log(P.coarse_panel(spark, sf_dir))
+    prep = FE.prepare_log(P.shared(P.coarse_panel(spark, sf_dir)))
     return TR.model_frame(prep)
 
 
@@ -36,7 +36,7 @@ register("gbt_test_scores")(gbt_test_scores)
 
 def gbt_recursive_scores(spark, sf_dir):
     """recursive 8-quarter forecast from the 1995-1999 history."""
-    prep = FE.prepare_log(P.coarse_panel(spark, sf_dir))
+    prep = FE.prepare_log(P.shared(P.coarse_panel(spark, sf_dir)))
     fr = TR.model_frame(prep)
     fit = fr.filter(F.year(S.DS) <= 1999).withColumn("is_valid", F.year(S.DS) == 1999)
     model = TR.fit_gbt(fit, PARAMS, valid_flag="is_valid")
