@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index, quarter_label
 from qpanel.plans.ordered import cut_lineage, ecdf_distances, ecdf_distances_by
+from qpanel.plans.series_map import map_series
 
 
 def calendar_bounds(panel: DataFrame, ds: str = S.DS):
@@ -95,14 +96,14 @@ def impute_linear(df: DataFrame, value: str = S.Y, key: str = S.UID,
     return df.withColumn(value, filled).drop("_v0", "_q0", "_v1", "_q1")
 
 
-def _poly_fill_group(order: int, key: str, ds: str, value: str):
+def _poly_fill_series(order: int, value: str):
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ds).reset_index(drop=True)
         y = pdf[value].to_numpy(dtype=float)
         known = ~np.isnan(y)
-        if known.all() or not known.any():
-            pdf[value] = np.where(known, y, 0.0)
+        if known.all():
             return pdf
+        if not known.any():
+            return pdf.assign(**{value: 0.0})
         x = np.arange(len(y), dtype=float)
         if known.sum() >= order + 1:
             # centred and scaled axis keeps the normal equations well posed
@@ -111,8 +112,7 @@ def _poly_fill_group(order: int, key: str, ds: str, value: str):
             y = np.where(known, y, np.polyval(coef, (x - c) / s))
         else:
             y = np.interp(x, x[known], y[known])
-        pdf[value] = y
-        return pdf
+        return pdf.assign(**{value: y})
     return fill
 
 
@@ -121,11 +121,10 @@ def impute_poly(df: DataFrame, order: int = 3, value: str = S.Y, key: str = S.UI
     """I4: per-series least-squares polynomial through the known quarters
     (>= order+1 known), else linear; a series with no value becomes 0.
 
-    ``applyInPandas`` grouped by series: one series (at most one row per
-    quarter) per call, so a Python worker never holds more than a series.
+    Runs as a per-series map (``plans.series_map``): whole series, sorted
+    by date, many series per Python call.
     """
-    fn = _poly_fill_group(order, key, ds, value)
-    return df.groupBy(key).applyInPandas(fn, schema=df.schema)
+    return map_series(df, key, [ds], _poly_fill_series(order, value), df.schema)
 
 
 def _knn(k):

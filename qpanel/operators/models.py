@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index
 from qpanel.plans.ordered import global_rank
+from qpanel.plans.series_map import map_series
 
 
 # ---------------------------------------------------------------------------
@@ -126,8 +127,8 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
                            min_points: int = 12, key: str = S.UID, ds: str = S.DS,
                            value: str = S.Y) -> DataFrame:
     """one seasonal autoregression per series (lag-m differencing,
-    AR(p <= max_p) by AICc), all series in parallel, one series per
-    Python call.  Interior gaps are filled linearly on the quarter axis.
+    AR(p <= max_p) by AICc), all series in parallel; each fit sees one
+    whole series (per-series map, many series per Python call).  Interior gaps are filled linearly on the quarter axis.
     Every series returns h rows; short or failing series carry a NULL
     forecast and their ``status`` (F6) instead of being dropped.
     Output steps are counted from each series' own last quarter."""
@@ -152,7 +153,7 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
             return pd.DataFrame({key: uid, "step": steps, "forecast": np.nan,
                                  "order_p": None, "status": st}).astype({"order_p": "Int32"})
     base = train.select(key, quarter_index(ds).alias("_qi"), F.col(value).cast("double").alias(value))
-    out = base.groupBy(key).applyInPandas(fit, AR_SCHEMA)
+    out = map_series(base, key, ["_qi"], fit, AR_SCHEMA)
     last = train.groupBy(key).agg(F.max(ds).alias("_last"))
     return (out.join(last, key)
             .withColumn(ds, F.last_day(F.add_months("_last", F.col("step") * 3)))

@@ -162,3 +162,23 @@ def test_global_rank_dense(spark):
     df = spark.createDataFrame([(k,) for k in ["b", "a", "c", "a", "d"]], "k string")
     assert sorted(tuple(r) for r in global_rank(df, "k").collect()) == \
         [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+
+
+def test_map_series_carries_series_across_batches(spark):
+    import pandas as pd
+
+    from qpanel.plans.series_map import map_series
+    rows = [(f"s{i % 7}", j, float(j)) for i in range(7) for j in range(i + 3)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+
+    def fn(pdf):
+        assert pdf["k"].nunique() == 1 and list(pdf["t"]) == sorted(pdf["t"])
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n": [len(pdf)], "tot": [pdf["v"].sum()]})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = {r["k"]: (r["n"], r["tot"]) for r in
+               map_series(df, "k", ["t"], fn, "k string, n long, tot double", partitions=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert out == {f"s{i}": (i + 3, float(sum(range(i + 3)))) for i in range(7)}
