@@ -184,3 +184,39 @@ SELECT unique_id, CAST(last_day(DATE '{FUTURE_CUTOFF}' + to_months(3 * s)) AS DA
        {r(f'forecast - {fc.Z90} * sigma * sqrt(s)')} AS lo_90,
        {r(f'forecast + {fc.Z90} * sigma * sqrt(s)')} AS hi_90
 FROM l JOIN sig USING (unique_id), range(1, 9) t(s)""")(future_naive)
+
+
+def future_swa_intervals(spark, sf_dir):
+    """F3 with split-conformal 90 % intervals: seasonal window average for
+    the 8 quarters after the data, widths from two back-test windows."""
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
+    f = fc.seasonal_window_average(panel, FUTURE_CUTOFF, 8)
+    w = fc.conformal_intervals(panel, "seasonal_window_average", FUTURE_CUTOFF, 8)
+    return round_doubles(fc.with_intervals(f, w), 4)
+
+
+_SWA_WIN = """sw{k} AS (
+  SELECT t.unique_id, t.step, abs(t.y - avg(b.y)) AS err
+  FROM (SELECT *, qi - {qc} AS step FROM p) t
+  JOIN p b ON b.unique_id = t.unique_id AND b.qi <= {qc} AND b.y IS NOT NULL
+   AND b.qi IN (t.qi - 4 * CAST(ceil(t.step / 4.0) AS INTEGER),
+                t.qi - 4 * CAST(ceil(t.step / 4.0) AS INTEGER) - 4,
+                t.qi - 4 * CAST(ceil(t.step / 4.0) AS INTEGER) - 8)
+  WHERE t.step BETWEEN 1 AND 8 AND t.y IS NOT NULL
+    AND t.unique_id IN (SELECT unique_id FROM p WHERE qi <= {qc} GROUP BY 1 HAVING count(y) >= 12)
+  GROUP BY t.unique_id, t.step, t.y)"""
+
+register("future_swa_intervals", f"""WITH panel AS ({panel_sql('region')}), {_PF},
+n AS (SELECT unique_id FROM p GROUP BY 1 HAVING count(y) >= 12),
+s AS (SELECT unique_id, qi % 4 AS season, avg(y) AS f FROM p
+      WHERE ds > DATE '1998-12-31' AND unique_id IN (SELECT unique_id FROM n) GROUP BY ALL),
+f AS (SELECT unique_id, CAST(s AS INTEGER) AS step,
+             CAST(last_day(DATE '{FUTURE_CUTOFF}' + to_months(3 * s)) AS DATE) AS ds
+      FROM n, range(1, 9) t(s)),
+{_SWA_WIN.format(k=1, qc=qidx("DATE '1999-12-31'"))},
+{_SWA_WIN.format(k=2, qc=qidx("DATE '1997-12-31'"))},
+w AS (SELECT unique_id, step, quantile_cont(err, 0.9) AS hw
+      FROM (SELECT * FROM sw1 UNION ALL SELECT * FROM sw2) GROUP BY ALL)
+SELECT f.unique_id, f.step, f.ds, {r('s.f')} AS forecast, {r('s.f - w.hw')} AS lo_90, {r('s.f + w.hw')} AS hi_90
+FROM f JOIN s ON s.unique_id = f.unique_id AND s.season = {qidx('f.ds')} % 4
+LEFT JOIN w ON w.unique_id = f.unique_id AND w.step = f.step""")(future_swa_intervals)

@@ -40,7 +40,7 @@ def read_long(spark: SparkSession, path: str) -> DataFrame:
     """Long panel CSV (ds, unique_id, y) with ds parsed as a date."""
     schema = "ds string, unique_id string, y double"
     df = spark.read.option("header", True).schema(schema).csv(path)
-    return df.select(F.to_date("ds").alias(S.DS), S.UID, finite_or_null(S.Y).alias(S.Y))
+    return df.select(F.expr("try_cast(ds AS DATE)").alias(S.DS), S.UID, finite_or_null(S.Y).alias(S.Y))
 
 
 # ---------------------------------------------------------------------------
@@ -85,7 +85,8 @@ def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_"
                 return a
         raise KeyError(f"no {what} column in {path}; columns are {cols}")
     a, f = pick(act, "actual"), pick(fc, "forecast")
-    ds = F.to_date(F.col(date_col)) if kind == "date" else _quarter_text_end(date_col)
+    ds = (F.expr(f"try_cast(`{date_col}` AS DATE)") if kind == "date"
+          else _quarter_text_end(date_col))  # bad text -> NULL, never an ANSI error
     if ids:
         missing = [c for c in ids if c not in cols]
         if missing:
