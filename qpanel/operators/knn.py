@@ -71,24 +71,38 @@ def _tile_candidates(k: int, n_quarters: int):
 
 def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
                ds: str = S.DS, value: str = S.Y) -> DataFrame:
-    """I5 on a densified panel (key, ds, value); returns it with the gaps
-    filled."""
-    q0 = dense.agg(F.min(quarter_index(ds))).first()[0]
-    nq = dense.agg(F.max(quarter_index(ds))).first()[0] - q0 + 1
-    d = dense.select(key, ds, (quarter_index(ds) - q0).cast("int").alias("qpos"),
-                     F.col(value).cast("double").alias(value))
-    st = d.groupBy(key).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("_sd"))
-    st = st.select(key, "mu", F.when(F.col("_sd").isNull() | (F.col("_sd") == 0), 1.0)
-                   .otherwise(F.col("_sd")).alias("sd"))
-    z = d.join(st, key).withColumn("z", (F.col(value) - F.col("mu")) / F.col("sd"))
-    z = cut_lineage(z)
-    vec = (z.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("qpos", "z"))).alias("_s"))
-           .select(F.col(key).alias("uid"), F.col("_s")["z"].alias("z"),
-                   F.exists(F.col("_s")["z"], lambda v: v.isNull()).alias("has_gap")))
-    rk = global_rank(vec.select("uid"), "uid")
-    nb = int(-(-rk.count() // block))
-    vec = cut_lineage(vec.join(rk, "uid").withColumn("blk", F.floor((F.col("rank") - 1) / block)
-                                                     .cast("int")).drop("rank"))
+    """I5 on a panel (key, ds, value); returns every series on the full
+    calendar with its gaps filled.
+
+    Deterministic whatever the partitioning: each series' statistics are
+    computed from its date-ordered value array, and each cell's donors are
+    combined in (distance, donor id) order.
+    """
+    d0, q0, q1 = dense.agg(F.min(ds), F.min(quarter_index(ds)), F.max(quarter_index(ds))).first()
+    nq = q1 - q0 + 1
+    start = F.to_date(F.lit(str(d0)))
+    known = dense.filter(F.col(value).isNotNull()).select(
+        key, (quarter_index(ds) - q0).cast("int").alias("qpos"), F.col(value).cast("double").alias("_y"))
+    # one row per series: values on the calendar, mean and population std
+    per = (dense.select(key).distinct()
+           .join(known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("qpos", "_y")))
+                                        .alias("_m")), key, "left"))
+    yv = F.transform(F.sequence(F.lit(0), F.lit(nq - 1)), lambda i: F.col("_m")[i])
+    per = per.withColumn("yv", yv).withColumn("_k", F.filter("yv", lambda v: v.isNotNull()))
+    n = F.size("_k").cast("double")
+    mu = F.try_divide(F.aggregate("_k", F.lit(0.0), lambda a, v: a + v), n)
+    per = per.withColumn("mu", mu)
+    var = F.try_divide(F.aggregate("_k", F.lit(0.0),
+                                   lambda a, v: a + (v - F.col("mu")) * (v - F.col("mu"))), n)
+    per = (per.withColumn("sd", F.when(var.isNull() | (var == 0), F.lit(1.0)).otherwise(F.sqrt(var)))
+           .withColumn("z", F.transform("yv", lambda v: (v - F.col("mu")) / F.col("sd")))
+           .select(F.col(key).alias("uid"), "yv", "mu", "sd", "z",
+                   F.exists("yv", lambda v: v.isNull()).alias("has_gap")))
+    per = cut_lineage(per)
+    rk = global_rank(per.select("uid"), "uid")
+    nb = max(1, int(-(-rk.count() // block)))
+    vec = cut_lineage(per.join(rk, "uid").withColumn(
+        "blk", F.floor((F.col("rank") - 1) / block).cast("int")).drop("rank"))
     # tiles: targets replicated over donor blocks, donors over target blocks
     tgt = (vec.filter("has_gap").select("uid", "z", F.col("blk").alias("tb"),
                                         F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("db")))
@@ -98,14 +112,27 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
             .applyInPandas(_tile_candidates(k, nq), CAND_SCHEMA))
     w = Window.partitionBy("target", "qpos").orderBy("dist", "donor")
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
-    zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("target", "qpos"))
-    wt = F.when(zero == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
-    fill = (top.withColumn("_w", wt)
-            .groupBy("target", "qpos").agg((F.sum(F.col("_w") * F.col("dz")) / F.sum("_w")).alias("zfill")))
-    colmean = z.groupBy("qpos").agg(F.avg("z").alias("zmean"))
-    out = (z.join(fill.withColumnRenamed("target", key), [key, "qpos"], "left")
-           .join(F.broadcast(colmean), "qpos", "left")
-           .withColumn(value, F.when(F.col(value).isNotNull(), F.col(value))
-                       .otherwise(F.coalesce("zfill", "zmean") * F.col("sd") + F.col("mu"))))
-    keep = [c for c in dense.columns]
-    return out.select(*keep)
+    # each cell's <= k donors, combined in (distance, id) order
+    cells = (top.groupBy("target", "qpos")
+             .agg(F.sort_array(F.collect_list(F.struct("dist", "donor", "dz"))).alias("c")))
+    zero = F.filter("c", lambda x: x["dist"] == 0)
+    inv = F.aggregate("c", F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den")),
+                      lambda acc, x: F.struct((acc["num"] + F.try_divide(x["dz"], x["dist"])).alias("num"),
+                                              (acc["den"] + F.try_divide(F.lit(1.0), x["dist"])).alias("den")),
+                      lambda acc: F.try_divide(acc["num"], acc["den"]))
+    exact = F.try_divide(F.aggregate(zero, F.lit(0.0), lambda a, x: a + x["dz"]), F.size(zero))
+    cells = cells.select("target", "qpos", F.when(F.size(zero) > 0, exact).otherwise(inv).alias("zf"))
+    fills = cells.groupBy(F.col("target").alias("uid")).agg(
+        F.map_from_entries(F.collect_list(F.struct("qpos", "zf"))).alias("_f"))
+    # per-quarter mean of the known z values (no donor at all): <= nq scalars
+    cm = dict(vec.select(F.posexplode("z").alias("q", "zz")).filter(F.col("zz").isNotNull())
+              .groupBy("q").agg(F.avg("zz").alias("m")).collect())
+    colmean = F.array(*[F.lit(cm.get(i)).cast("double") for i in range(nq)])
+    out = (vec.join(fills, "uid", "left")
+           .select("uid", "mu", "sd", "_f", F.posexplode("yv").alias("qpos", "_yv")))
+    filled = F.coalesce(F.col("_yv"),
+                        F.coalesce(F.col("_f")[F.col("qpos")], colmean[F.col("qpos")]) * F.col("sd")
+                        + F.col("mu"))
+    return out.select(F.col("uid").alias(key),
+                      F.last_day(F.add_months(start, F.col("qpos") * 3)).alias(ds),
+                      filled.alias(value))

@@ -182,3 +182,26 @@ def test_map_series_carries_series_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert out == {f"s{i}": (i + 3, float(sum(range(i + 3)))) for i in range(7)}
+
+
+def test_imputation_invariants(spark):
+    """No NULL left, known cells unchanged, same result at 1 and 7 partitions."""
+    rng = np.random.default_rng(11)
+    series = {}
+    for i in range(12):
+        v = list(rng.normal(50, 10, 16).round(3))
+        for j in rng.choice(16, 5, replace=False):
+            v[j] = None
+        series[f"s{i:02d}"] = v
+    series["empty"] = [None] * 16
+    dense = panel(spark, series)
+    known = {(r[S.UID], r[S.DS]): r[S.Y] for r in dense.collect() if r[S.Y] is not None}
+    for name in ["zeros", "ffill", "linear", "poly", "knn_3"]:
+        fn = I.METHODS[name]
+        a = fn(dense.repartition(1)).collect()
+        b = fn(dense.repartition(7)).collect()
+        assert sorted(a) == sorted(b), name
+        got = {(r[S.UID], r[S.DS]): r[S.Y] for r in a}
+        assert all(abs(got[k] - v) < 1e-9 for k, v in known.items()), name
+        nonempty = [v for (u, _), v in got.items() if u != "empty"]
+        assert all(v is not None for v in nonempty), name
