@@ -9,8 +9,9 @@ the data grows.
 Means over coarse groups (counterparty x quarter-of-year, period,
 quarter label) are NOT windows: a window partitioned by a low-cardinality
 key would send a hot counterparty to one task.  They are partial
-aggregates joined back on the group key; the aggregate is tiny (groups,
-not rows) and AQE turns the join into a broadcast at run time.
+aggregates joined back on the group key; the aggregate (groups, not rows)
+is materialised, counted and broadcast when the count proves it small, so
+the feature rows are not shuffled again by counterparty.
 """
 from __future__ import annotations
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index
 from qpanel.functions.numeric import clip, finite_or_null, safe_div
+from qpanel.plans.joins import broadcast_bounded
 
 
 def series_window(key: str = S.UID, order: str = S.DS):
@@ -85,8 +87,8 @@ def panel_features(df: DataFrame, value: str = "exposure", lags=(1, 2, 3, 4, 8),
     })
     out = df.select("*", *[c.alias(n) for n, c in cols.items()])
     out = cyclic_quarter(out, "qnum")
-    season = (df.groupBy(cp, F.quarter(order).alias("qnum"))
-              .agg(F.avg(value).alias("ctrpty_quarter_season")))
+    season = broadcast_bounded(df.groupBy(cp, F.quarter(order).alias("qnum"))
+                               .agg(F.avg(value).alias("ctrpty_quarter_season")))
     out = out.join(season, [cp, "qnum"], "left")
     return out.withColumn("ctrpty_quarter_anom", x - F.col("ctrpty_quarter_season"))
 
@@ -114,8 +116,8 @@ def panel_features_short(df: DataFrame, value: str = "exposure", lags=(1, 2, 3,
         "qnum": F.quarter(order),
     })
     out = cyclic_quarter(df.select("*", *[c.alias(n) for n, c in cols.items()]))
-    per_period = df.groupBy(order).agg(F.avg(value).alias("_period_mean"))
-    per_cp = df.groupBy(cp, order).agg(F.avg(value).alias("ctrpty_avg"))
+    per_period = broadcast_bounded(df.groupBy(order).agg(F.avg(value).alias("_period_mean")))
+    per_cp = broadcast_bounded(df.groupBy(cp, order).agg(F.avg(value).alias("ctrpty_avg")))
     out = out.join(per_period, order, "left").join(per_cp, [cp, order], "left")
     # The quarter label holds the year, so its mean is the period mean
     return (out.withColumn("seasonal_anom", x - F.col("_period_mean"))
@@ -141,7 +143,7 @@ def panel_features_more(df: DataFrame, value: str = "exposure", win: int = 4,
         f"miss_count_{win}": F.sum(x.isNull().cast("int")).over(last),
     }
     out = df1.select("*", *[c.alias(k) for k, c in cols.items()]).drop("_t")
-    per_period = df.groupBy(order).agg(F.avg(value).alias("_pm"))
+    per_period = broadcast_bounded(df.groupBy(order).agg(F.avg(value).alias("_pm")))
     return (out.join(per_period, order, "left")
             .withColumn("dev_from_period_mean", x - F.col("_pm")).drop("_pm"))
 

@@ -31,23 +31,36 @@ def seasonal_decompose(panel: DataFrame, m: int = 4, key: str = S.UID, ds: str =
                        value: str = S.Y) -> DataFrame:
     """Adds trend, seasonal, resid.  Trend: centred 2 x m moving average
     (NULL within m/2 of either end); seasonal: mean detrended value of the
-    season minus the mean of the m season means; resid: the rest."""
+    season minus the mean of the m season means; resid: the rest.
+
+    Everything is per series: the ordered window (trend) and the unordered
+    one (season means) share the series partitioning, so there is one
+    exchange and no join.
+    """
     if m % 2:
         raise ValueError("even seasonal period expected")
     w = Window.partitionBy(key).orderBy(ds)
+    wp = Window.partitionBy(key)
     x = F.col(value)
     half = m // 2
     terms = ([F.lag(x, half).over(w) / 2] + [F.lag(x, k).over(w) for k in range(half - 1, 0, -1)]
              + [x] + [F.lead(x, k).over(w) for k in range(1, half)] + [F.lead(x, half).over(w) / 2])
     trend = sum(terms[1:], terms[0]) / m
-    season = F.pmod(quarter_index(ds), F.lit(m))
-    d = panel.withColumn("trend", trend).withColumn("_season", season)
-    means = (d.groupBy(key, "_season").agg(F.avg(F.col(value) - F.col("trend")).alias("_sm"))
-             .withColumn("_sm", F.col("_sm") - F.avg("_sm").over(Window.partitionBy(key))))
-    out = d.join(means, [key, "_season"], "left")
-    return (out.withColumn("seasonal", F.col("_sm"))
+    d = (panel.withColumn("trend", trend)
+         .withColumn("_season", F.pmod(quarter_index(ds), F.lit(m)))
+         .withColumn("_detr", x - F.col("trend")))
+    means = [F.avg(F.when(F.col("_season") == s, F.col("_detr"))).over(wp) for s in range(m)]
+    d = d.select("*", *[c.alias(f"_sm{s}") for s, c in enumerate(means)])
+    present = [F.col(f"_sm{s}") for s in range(m)]
+    n_present = sum((c.isNotNull().cast("int") for c in present[1:]), present[0].isNotNull().cast("int"))
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in present[1:]), F.coalesce(present[0], F.lit(0.0)))
+    mine = F.col("_sm0")
+    for s in range(1, m):
+        mine = F.when(F.col("_season") == s, F.col(f"_sm{s}")).otherwise(mine)
+    seasonal = mine - F.try_divide(total, n_present)
+    return (d.withColumn("seasonal", seasonal)
             .withColumn("resid", x - F.col("trend") - F.col("seasonal"))
-            .drop("_season", "_sm"))
+            .drop("_season", "_detr", *[f"_sm{s}" for s in range(m)]))
 
 
 def composite_variability(panel: DataFrame, cutoff: str, min_points: int = 8, m: int = 4,

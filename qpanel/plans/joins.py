@@ -53,3 +53,13 @@ def fixed_small(df: DataFrame) -> DataFrame:
     """Broadcast a side whose size is fixed by construction (region,
     nation, a calendar of quarters, a horizon or fold table)."""
     return F.broadcast(df)
+
+
+def broadcast_bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """For small derived tables (group means, per-period statistics):
+    materialise once into the checkpoint folder, count, and broadcast only
+    when the count proves it small; above the bound the plain (already
+    computed) table is returned and the join shuffles as usual."""
+    from qpanel.plans.ordered import cut_lineage
+    m = cut_lineage(df)
+    return F.broadcast(m) if m.count() <= max_rows else m
