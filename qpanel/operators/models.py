@@ -133,7 +133,12 @@ def _sar_forecast(y: np.ndarray, m: int, p: int, coef: np.ndarray, h: int) -> np
 AR_SCHEMA = T.StructType([
     T.StructField(S.UID, T.StringType()), T.StructField("step", T.IntegerType()),
     T.StructField("forecast", T.DoubleType()), T.StructField("order_p", T.IntegerType()),
-    T.StructField("status", T.StringType())])
+    T.StructField("status", T.StringType()), T.StructField("_last_qi", T.IntegerType())])
+
+
+def _quarter_end_of_index(qi):
+    """Quarter-end date of a quarter index (year * 4 + quarter - 1)."""
+    return F.last_day(F.make_date((qi / 4).cast("int"), (F.pmod(qi, F.lit(4)) + 1) * 3, F.lit(1)))
 
 
 def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
@@ -147,6 +152,7 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
     Output steps are counted from each series' own last quarter."""
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         uid = pdf[key].iloc[0]
+        last_qi = np.int32(pdf["_qi"].max())
         pdf = pdf.dropna(subset=[value]).sort_values("_qi")
         steps = np.arange(1, h + 1, dtype=np.int32)
         try:
@@ -160,18 +166,17 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
             if not np.all(np.isfinite(fc)):
                 raise ValueError("failed")
             return pd.DataFrame({key: uid, "step": steps, "forecast": fc,
-                                 "order_p": np.int32(p), "status": "ok"})
+                                 "order_p": np.int32(p), "status": "ok", "_last_qi": last_qi})
         except Exception as e:  # noqa: BLE001 - reported per series
             st = str(e) if str(e) in ("too_short", "failed") else "failed"
             return pd.DataFrame({key: uid, "step": steps, "forecast": np.nan,
-                                 "order_p": None, "status": st}).astype({"order_p": "Int32"})
+                                 "order_p": None, "status": st,
+                                 "_last_qi": last_qi}).astype({"order_p": "Int32"})
     base = train.select(key, quarter_index(ds).alias("_qi"), F.col(value).cast("double").alias(value))
     out = map_series(base, key, ["_qi"], fit, AR_SCHEMA)
-    last = train.groupBy(key).agg(F.max(ds).alias("_last"))
-    return (out.join(last, key)
-            .withColumn(ds, F.last_day(F.add_months("_last", F.col("step") * 3)))
+    return (out.withColumn(ds, _quarter_end_of_index(F.col("_last_qi") + F.col("step")))
             .withColumn("forecast", F.when(~F.isnan("forecast"), F.col("forecast")))
-            .drop("_last"))
+            .drop("_last_qi"))
 
 
 def series_fit_report(forecasts: DataFrame, test: DataFrame, key: str = S.UID) -> DataFrame:
@@ -259,9 +264,11 @@ def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4
     data = train.join(blocks, key).select("block", key, quarter_index(ds).alias("_qi"),
                                           F.col(value).cast("double").alias("_y"))
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("step", T.IntegerType()),
-                           T.StructField("forecast", T.DoubleType())])
+                           T.StructField("forecast", T.DoubleType()),
+                           T.StructField("_last_qi", T.IntegerType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        last_qi = pdf.groupby(key)["_qi"].max()
         mat = pdf.pivot_table(index="_qi", columns=key, values="_y", aggfunc="first")
         mat = mat.reindex(np.arange(mat.index.min(), mat.index.max() + 1))
         mat = mat.interpolate(limit_direction="both").fillna(0.0)
@@ -290,8 +297,8 @@ def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4
         lev = fc * sd.to_numpy() + mu.to_numpy()
         cols = list(mat.columns)
         return pd.DataFrame({key: np.repeat(cols, h), "step": np.tile(steps, len(cols)),
-                             "forecast": lev.T.reshape(-1)})
+                             "forecast": lev.T.reshape(-1),
+                             "_last_qi": np.repeat(last_qi.reindex(cols).to_numpy(), h).astype(np.int32)})
     out = data.groupBy("block").applyInPandas(fit, schema)
-    last = train.groupBy(key).agg(F.max(ds).alias("_last"))
-    return (out.join(last, key)
-            .withColumn(ds, F.last_day(F.add_months("_last", F.col("step") * 3))).drop("_last"))
+    return (out.withColumn(ds, _quarter_end_of_index(F.col("_last_qi") + F.col("step")))
+            .drop("_last_qi"))
