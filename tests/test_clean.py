@@ -90,3 +90,23 @@ def test_filter_codes_and_required_columns(spark):
         raise AssertionError("expected ValueError")
     except ValueError as e:
         assert "Counterparty country" in str(e)
+
+
+def test_coverage_approx_close_to_exact(spark):
+    import datetime as dt
+
+    from qpanel.operators import profile as PR
+    rows = [(f"r{i % 17}", f"c{i % 23}", dt.date(2000, 3, 31), 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "rep string, cp string, ds date, y double")
+    ex = PR.coverage_by_quarter(df).first()
+    ap = PR.coverage_approx(df).first()
+    assert (ex["n_reporters"], ex["n_counterparties"]) == (17, 23)
+    for c in ("n_reporters", "n_counterparties", "n_pairs"):
+        assert abs(ap[c] - ex[c]) <= max(2, 0.05 * ex[c])
+
+
+def test_unique_value_summary_branches(spark):
+    from qpanel.operators import profile as PR
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 2.0)], "s string, v double")
+    got = {r["column"]: r["summary"] for r in PR.unique_value_summary(df, ["s", "v"], numeric_cols=["v"]).collect()}
+    assert got == {"s": "a, b", "v": "3 instances"}

@@ -102,3 +102,11 @@ def test_save_fitted_model(spark):
     assert LinearRegressionModel.load(f"{d}/lr").numFeatures == 2
     b0, b = fit_window_regression(w)
     assert len(b) == 2
+
+
+def test_read_long_parses_dates(spark):
+    d = tempfile.mkdtemp(prefix="qpanel-src-", dir="/tmp")
+    _write(f"{d}/long.csv", "ds,unique_id,y\n2020-03-31,A_B_F,1.5\n2020-06-30,A_B_F,\nnot-a-date,A_B_F,NaN\n")
+    rows = FS.read_long(spark, f"{d}/long.csv").collect()
+    assert [str(r["ds"]) for r in rows] == ["2020-03-31", "2020-06-30", "None"]
+    assert [r["y"] for r in rows] == [1.5, None, None]
