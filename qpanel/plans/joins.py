@@ -63,3 +63,52 @@ def broadcast_bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     from qpanel.plans.ordered import cut_lineage
     m = cut_lineage(df)
     return F.broadcast(m) if m.count() <= max_rows else m
+
+
+def hot_keys(df: DataFrame, key: str, fraction: float = 0.01, max_keys: int = 10_000,
+             seed: int = 17) -> list:
+    """Keys that alone would fill at least one average shuffle partition,
+    estimated from a sample of the key column (detection only: every row
+    is still joined).  At most ``max_keys`` keys are returned."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = df.select(key).sample(fraction=fraction, seed=seed)
+    counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    threshold = max(10, total / max(parts, 1))
+    top = counts.orderBy(F.desc("_c")).limit(max_keys).collect()
+    return [r[key] for r in top if r["_c"] >= threshold]
+
+
+def skew_split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
+                    max_hot: int = 10_000, fraction: float = 0.01) -> DataFrame:
+    """Inner equi-join for a side too large to broadcast, safe when one key
+    holds a large share of ``big``.
+
+    Hot keys (sampled) are joined through a broadcast of ``small``'s rows
+    for those keys (at most ``max_hot`` keys, so the broadcast is bounded);
+    all other keys go through the usual shuffled join.  The union is the
+    same result as the plain join.  ``small`` must be unique on its key for
+    the broadcast part to stay bounded.
+    """
+    hot = hot_keys(big, big_key, fraction, max_hot)
+    if not hot:
+        return big.join(small, big[big_key] == small[small_key])
+    is_hot = F.col(big_key).isin(hot)
+    cold = big.filter(~is_hot).join(small.filter(~F.col(small_key).isin(hot)),
+                                    F.col(big_key) == F.col(small_key))
+    hot_small = F.broadcast(small.filter(F.col(small_key).isin(hot)))
+    hotj = big.filter(is_hot).join(hot_small, F.col(big_key) == F.col(small_key))
+    return cold.unionByName(hotj)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
+                probe: DataFrame | None = None) -> DataFrame:
+    """Join a large table to a key -> attributes table (unique on its key).
+
+    Broadcast when the optimizer's estimate of ``probe`` (the small side's
+    base scan, an upper bound) is under the session threshold; otherwise a
+    shuffled join with hot keys split off (``skew_split_join``)."""
+    limit = broadcast_limit(small)
+    if 0 <= limit and estimated_bytes(probe if probe is not None else small) <= limit:
+        return big.join(F.broadcast(small), F.col(big_key) == F.col(small_key))
+    return skew_split_join(big, small, big_key, small_key)

@@ -9,10 +9,15 @@
 * exposure = sum(l_extendedprice)
 
 Plan shape: lineitem and orders are the only large inputs; they meet in
-one sort-merge join on the order key (AQE splits a skewed order key).
-Supplier and customer are first reduced to key -> name maps; each map is
-broadcast only when the optimizer's size estimate of its base scan (an
-upper bound for the map) is under the session's broadcast threshold.  The final
+one shuffled join on the order key, in which order keys that alone would
+fill a partition (sampled) are split off and joined through a bounded
+broadcast (``plans.joins.skew_split_join``); AQE's skew handling remains a
+second line of defence.
+Supplier and customer are first reduced to key -> name maps.  Every
+lookup (orders -> customer map, lineitem -> orders, lineitem -> supplier
+map) is broadcast only when the optimizer's size estimate of the lookup
+side's base scan (an upper bound) is under the session's broadcast
+threshold; otherwise it is a shuffled join with hot keys split off.  The final
 aggregate runs partial (map-side) before its shuffle, so a hot
 (rep, cp, basis, quarter) group never reaches one task as raw rows.
 """
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_end
-from qpanel.plans.joins import broadcast_if_small, fixed_small
+from qpanel.plans.joins import fixed_small, lookup_join
 from qpanel.plans.ordered import cut_lineage
 from qpanel.sources.tables import read_table
 
@@ -43,19 +48,19 @@ def _geo(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
 
 
 def supplier_geo(spark, sf_dir, level) -> DataFrame:
+    """s_suppkey -> reporter name (one row per supplier)."""
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     geo = _geo(spark, sf_dir, level)
-    m = (sup.join(fixed_small(geo), sup.s_nationkey == geo.n_nationkey)
-         .select("s_suppkey", F.col("geo").alias(S.REP)))
-    return broadcast_if_small(m, probe=sup)
+    return (sup.join(fixed_small(geo), sup.s_nationkey == geo.n_nationkey)
+            .select("s_suppkey", F.col("geo").alias(S.REP)))
 
 
 def customer_geo(spark, sf_dir, level) -> DataFrame:
+    """c_custkey -> counterparty name (one row per customer)."""
     cus = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     geo = _geo(spark, sf_dir, level)
-    m = (cus.join(fixed_small(geo), cus.c_nationkey == geo.n_nationkey)
-         .select("c_custkey", F.col("geo").alias(S.CP)))
-    return broadcast_if_small(m, probe=cus)
+    return (cus.join(fixed_small(geo), cus.c_nationkey == geo.n_nationkey)
+            .select("c_custkey", F.col("geo").alias(S.CP)))
 
 
 def bank_type_expr(priority_col: str = "o_orderpriority"):
@@ -90,13 +95,13 @@ def exposures(spark: SparkSession, sf_dir: str, level: str = "region",
     orders = read_table(spark, sf_dir, "orders", ocols)
     cmap = customer_geo(spark, sf_dir, level)
     smap = supplier_geo(spark, sf_dir, level)
-    # orders -> counterparty: broadcast only when the orders scan itself is
-    # under the threshold; otherwise lineitem and orders meet in a
-    # sort-merge join on the order key (AQE may still demote it at run time)
-    orders_cp = broadcast_if_small(orders.join(cmap, orders.o_custkey == cmap.c_custkey),
-                                   probe=orders)
-    lines = (li.join(orders_cp, li.l_orderkey == orders_cp.o_orderkey)
-             .join(smap, li.l_suppkey == smap.s_suppkey))
+    cus = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    # each lookup is broadcast when its base scan is proven small, else a
+    # shuffled join with hot keys split off and broadcast (bounded)
+    orders_cp = lookup_join(orders, cmap, "o_custkey", "c_custkey", probe=cus)
+    lines = lookup_join(li, orders_cp, "l_orderkey", "o_orderkey", probe=orders)
+    lines = lookup_join(lines, smap, "l_suppkey", "s_suppkey", probe=sup)
     group = [S.REP, S.CP, F.col("l_returnflag").alias(S.BASIS)]
     if by_bank_type:
         group.append(bank_type_expr().alias(S.BANK_TYPE))
