@@ -58,7 +58,7 @@ def _rolling_moments(x: Column, frame) -> dict[str, Column]:
 def panel_features(df: DataFrame, value: str = "exposure", lags=(1, 2, 3, 4, 8),
                    win: int = 8, key: str = S.UID, cp: str = S.CP,
                    order: str = S.DS) -> DataFrame:
-    """K3: lags, prior-window mean/std/skew/kurt, change ratios, zero flags,
+    """K3 (+ W6): lags, prior-window mean/std/skew/kurt/min/max, change ratios, zero flags,
     non-zero counters, counterparty x quarter seasonality, cyclic quarter.
 
     Windows are per series (Q3: the reference's rolled across series).
@@ -76,6 +76,8 @@ def panel_features(df: DataFrame, value: str = "exposure", lags=(1, 2, 3, 4, 8),
         f"roll_std_{win}": F.stddev_samp(x).over(prior),
         f"roll_skew_{win}": mom["skew"],
         f"roll_kurt_{win}": mom["kurt"],
+        f"roll_min_{win}": F.min(x).over(prior),   # W6
+        f"roll_max_{win}": F.max(x).over(prior),
         "pct_gap_1": safe_div(x - F.lag(x, 1).over(w), F.lag(x, 1).over(w)),
         "prop_gap_1": safe_div(x - F.lag(x, 1).over(w), F.lag(x, 1).over(w)),
         "zero_flag": (x == 0).cast("int"),

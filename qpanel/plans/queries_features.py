@@ -51,7 +51,8 @@ def _moment_sql(x: str, win: int) -> str:
 
 _FULL_COLS = (["unique_id", "rep", "cp", "basis", "ds"],
               ["exposure", "y_log", "lag_1", "lag_2", "lag_3", "lag_4", "lag_8",
-               "roll_mean_8", "roll_std_8", "roll_skew_8", "roll_kurt_8", "pct_gap_1",
+               "roll_mean_8", "roll_std_8", "roll_skew_8", "roll_kurt_8", "roll_min_8", "roll_max_8",
+               "pct_gap_1",
                "prop_gap_1", "q_sin", "q_cos", "ctrpty_quarter_season", "ctrpty_quarter_anom"],
               ["zero_flag", "nonzero_count", "quarters_since_nonzero", "qnum"])
 
@@ -71,6 +72,8 @@ f AS (SELECT *,
   avg(exposure) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS roll_mean_8,
   stddev_samp(exposure) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS roll_std_8,
   {_moment_sql('exposure', 8)},
+  min(exposure) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS roll_min_8,
+  max(exposure) OVER ({_W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS roll_max_8,
   (exposure - lag(exposure, 1) OVER ({_W})) / nullif(lag(exposure, 1) OVER ({_W}), 0) AS pct_gap_1,
   (exposure - lag(exposure, 1) OVER ({_W})) / nullif(lag(exposure, 1) OVER ({_W}), 0) AS prop_gap_1,
   CAST(exposure = 0 AS INTEGER) AS zero_flag,

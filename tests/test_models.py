@@ -233,3 +233,13 @@ def test_panel_same_without_broadcasts(spark):
         tables._READS.clear()
     assert [(r.unique_id, r.ds) for r in a] == [(r.unique_id, r.ds) for r in b]
     assert all(abs(x.y - z.y) < 1e-6 for x, z in zip(a, b))
+
+
+def test_grid_and_random_search_spaces():
+    from qpanel.operators import trees as TR
+    space = {"a": [1, 2, 3], "b": [1, 2, 3], "c": [1, 2, 3], "d": [1, 2, 3], "e": [1],
+             "f": [1, 2], "g": [1, 2]}
+    grid = TR.param_grid(space)
+    assert len(grid) == 324 and len({tuple(sorted(g.items())) for g in grid}) == 324
+    draw = TR.random_candidates(space, 50, seed=42)
+    assert len(draw) == 50 and draw == TR.random_candidates(space, 50, seed=42)
