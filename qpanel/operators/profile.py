@@ -96,6 +96,18 @@ def coverage_by_quarter(panel: DataFrame, a: str = S.REP, b: str = S.CP,
                     ((F.quarter(ds) == 2) & (F.year(ds) % 3 == 0)).alias("tick"))
 
 
+def tick_labels(df: DataFrame, ds: str = S.DS, every_years: int = 3, quarter: int = 2,
+                events: DataFrame | None = None) -> DataFrame:
+    """Axis ticks every ``every_years`` years at one quarter
+    (``tick``), and the label of an event on that date when an events
+    table (date ``ds``, ``event``) is given (left join; the events table
+    is small by nature, a list of dated annotations)."""
+    out = df.withColumn("tick", (F.quarter(ds) == quarter) & (F.year(ds) % every_years == 0))
+    if events is not None:
+        out = out.join(events.select(ds, "event"), ds, "left")
+    return out
+
+
 def coverage_approx(panel: DataFrame, a: str = S.REP, b: str = S.CP,
                     ds: str = S.DS, rsd: float = 0.01) -> DataFrame:
     """A4 variant with HyperLogLog sketches (no per-group distinct sets)."""

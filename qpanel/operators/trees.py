@@ -63,6 +63,11 @@ def model_frame(prepared: DataFrame, target: str = "y_log", key: str = S.UID,
         F.coalesce(F.last(c, ignorenulls=True).over(upto), F.lit(0.0)).alias(c) for c in FEATURES])
 
 
+def feature_columns(df: DataFrame, prefixes=("lag_", "roll_", "pct_", "stat_", "q_")) -> list[str]:
+    """Feature columns chosen by name prefix (driver-side, on names)."""
+    return [c for c in df.columns if c.startswith(tuple(prefixes))]
+
+
 def assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
 

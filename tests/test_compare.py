@@ -74,3 +74,15 @@ def test_stack_predictions_union_by_name(spark):
     b = spark.createDataFrame([(2.0, "v", 3.0)], "forecast double, unique_id string, lo double")
     s = CP.stack_predictions({"m1": a, "m2": b}).orderBy("model").collect()
     assert [(r["model"], r["unique_id"], r["lo"]) for r in s] == [("m1", "u", None), ("m2", "v", 3.0)]
+
+
+def test_tick_labels_and_feature_prefixes(spark):
+    from qpanel.operators import profile as PR
+    from qpanel.operators import trees as TR
+    cal = spark.createDataFrame([(dt.date(2001, 6, 30),), (dt.date(2003, 6, 30),), (dt.date(2003, 9, 30),)],
+                                "ds date")
+    ev = spark.createDataFrame([(dt.date(2003, 6, 30), "crisis")], "ds date, event string")
+    got = {str(r["ds"]): (r["tick"], r["event"]) for r in PR.tick_labels(cal, events=ev).collect()}
+    assert got == {"2001-06-30": (False, None), "2003-06-30": (True, "crisis"), "2003-09-30": (False, None)}
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, "x")], "lag_1 double, roll_mean_4 double, y double, k string")
+    assert TR.feature_columns(df) == ["lag_1", "roll_mean_4"]
