@@ -79,10 +79,11 @@ def test_stack_predictions_union_by_name(spark):
 def test_tick_labels_and_feature_prefixes(spark):
     from qpanel.operators import profile as PR
     from qpanel.operators import trees as TR
-    cal = spark.createDataFrame([(dt.date(2001, 6, 30),), (dt.date(2003, 6, 30),), (dt.date(2003, 9, 30),)],
+    cal = spark.createDataFrame([(dt.date(2002, 6, 30),), (dt.date(2004, 6, 30),), (dt.date(2004, 9, 30),)],
                                 "ds date")
-    ev = spark.createDataFrame([(dt.date(2003, 6, 30), "crisis")], "ds date, event string")
+    ev = spark.createDataFrame([(dt.date(2004, 6, 30), "crisis")], "ds date, event string")
     got = {str(r["ds"]): (r["tick"], r["event"]) for r in PR.tick_labels(cal, events=ev).collect()}
-    assert got == {"2001-06-30": (False, None), "2003-06-30": (True, "crisis"), "2003-09-30": (False, None)}
+    # ticks in Q2 of years divisible by 3 (2004 = 3 x 668)
+    assert got == {"2002-06-30": (False, None), "2004-06-30": (True, "crisis"), "2004-09-30": (False, None)}
     df = spark.createDataFrame([(1.0, 2.0, 3.0, "x")], "lag_1 double, roll_mean_4 double, y double, k string")
     assert TR.feature_columns(df) == ["lag_1", "roll_mean_4"]
