@@ -55,9 +55,30 @@ def _rolling_moments(x: Column, frame) -> dict[str, Column]:
     return {"n": n, "skew": skew, "kurt": kurt}
 
 
+# Features that read the quarter being described (Q10); lags, prior-window
+# statistics and calendar terms only look backwards already.
+CONTEMPORANEOUS = ["pct_gap_1", "prop_gap_1", "zero_flag", "nonzero_count",
+                   "quarters_since_nonzero", "ctrpty_quarter_season", "ctrpty_quarter_anom",
+                   "pct_change_1", "pct_change_4", "seasonal_anom", "ctrpty_avg",
+                   "ratio_to_ctrpty_avg", "qoq_pct", "yoy_pct", "roll_slope_4", "miss_count_4",
+                   "dev_from_period_mean"]
+
+
+def shift_contemporaneous(df: DataFrame, key: str = S.UID, order: str = S.DS) -> DataFrame:
+    """Q10 modelling mode: every feature that reads the current quarter is
+    replaced by its value one quarter earlier in the same series, so a
+    row's own value never enters its features (one window pass).  Note:
+    the counterparty x season mean is a full-sample statistic in both
+    modes (as in the reference); use the lag features for strict
+    past-only inputs."""
+    w = series_window(key, order)
+    cols = [c for c in CONTEMPORANEOUS if c in df.columns]
+    return df.select(*[F.lag(c, 1).over(w).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def panel_features(df: DataFrame, value: str = "exposure", lags=(1, 2, 3, 4, 8),
                    win: int = 8, key: str = S.UID, cp: str = S.CP,
-                   order: str = S.DS) -> DataFrame:
+                   order: str = S.DS, contemporaneous: bool = True) -> DataFrame:
     """K3 (+ W6): lags, prior-window mean/std/skew/kurt/min/max, change ratios, zero flags,
     non-zero counters, counterparty x quarter seasonality, cyclic quarter.
 
@@ -92,7 +113,8 @@ def panel_features(df: DataFrame, value: str = "exposure", lags=(1, 2, 3, 4, 8),
     season = broadcast_bounded(df.groupBy(cp, F.quarter(order).alias("qnum"))
                                .agg(F.avg(value).alias("ctrpty_quarter_season")))
     out = out.join(season, [cp, "qnum"], "left")
-    return out.withColumn("ctrpty_quarter_anom", x - F.col("ctrpty_quarter_season"))
+    out = out.withColumn("ctrpty_quarter_anom", x - F.col("ctrpty_quarter_season"))
+    return out if contemporaneous else shift_contemporaneous(out, key, order)
 
 
 def cyclic_quarter(df: DataFrame, qnum: str = "qnum") -> DataFrame:

@@ -75,3 +75,18 @@ def test_partition_count_independent(spark):
     a = FE.panel_features(long.repartition(1)).select(S.UID, S.DS, "lag_2", "roll_mean_8")
     b = FE.panel_features(long.repartition(7)).select(S.UID, S.DS, "lag_2", "roll_mean_8")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_modelling_mode_uses_only_earlier_quarters(spark):
+    """Q10: with contemporaneous=False, changing the last quarter's value
+    changes no feature of that quarter (only its label)."""
+    long = FE.prepare_log(feature_panel(spark))
+    last = F.to_date(F.lit("2005-12-31"))
+    bumped = long.withColumn("exposure", F.when(F.col(S.DS) == last, F.col("exposure") * 10)
+                             .otherwise(F.col("exposure")))
+    cols = [S.UID, "pct_gap_1", "zero_flag", "nonzero_count", "lag_1", "roll_mean_8"]
+    a = FE.panel_features(long, contemporaneous=False).filter(F.col(S.DS) == last).select(cols)
+    b = FE.panel_features(bumped, contemporaneous=False).filter(F.col(S.DS) == last).select(cols)
+    assert sorted(a.collect()) == sorted(b.collect())
+    c = FE.panel_features(bumped).filter(F.col(S.DS) == last).select(cols)
+    assert sorted(a.collect()) != sorted(c.collect())
