@@ -248,3 +248,25 @@ def collect_runtimes(spark: SparkSession, root: str) -> DataFrame:
                        num("total_time_s").alias("total_time_s"),
                        num("avg_time_per_row_s").alias("avg_time_per_row_s"),
                        num("n_candidates").alias("n_candidates"))
+
+
+def evaluate(preds: dict[str, DataFrame] | DataFrame, test_actuals: DataFrame | None = None,
+             cutoff=None, horizon_mode: str = "rank") -> dict[str, DataFrame]:
+    """The evaluation flow in one call: stack the models' standard
+    prediction records (U1), keep rows after the cutoff (P14: the day
+    before the first test date when ``test_actuals`` is given), number the
+    horizon per model and series (W16), score per (model, horizon) (E11),
+    summarise per model with its category (A18, C6) and pick the best model
+    per category and metric (A20).  Returns the four tables by name."""
+    import datetime as _dt
+
+    from qpanel.operators.forecast import assign_horizon
+    from qpanel.operators.metrics import compute_metrics
+    stacked = stack_predictions(preds) if isinstance(preds, dict) else preds
+    if cutoff is None:
+        first = test_cutoff(test_actuals)
+        cutoff = str(first - _dt.timedelta(days=1))
+    h = assign_horizon(stacked, cutoff, by=("model",), mode=horizon_mode)
+    m = compute_metrics(h, by=("model", "horizon"))
+    s = model_summary(m)
+    return {"predictions": h, "metrics": m, "summary": s, "best": best_per_category(s)}

@@ -87,3 +87,15 @@ def test_tick_labels_and_feature_prefixes(spark):
     assert got == {"2002-06-30": (False, None), "2004-06-30": (True, "crisis"), "2004-09-30": (False, None)}
     df = spark.createDataFrame([(1.0, 2.0, 3.0, "x")], "lag_1 double, roll_mean_4 double, y double, k string")
     assert TR.feature_columns(df) == ["lag_1", "roll_mean_4"]
+
+
+def test_evaluate_flow(spark):
+    rows = [("A_B_F", dt.date(2020, m, d), 10.0 + i, 11.0 + i)
+            for i, (m, d) in enumerate([(3, 31), (6, 30), (9, 30), (12, 31)])]
+    p = spark.createDataFrame(rows, "unique_id string, ds date, actual double, forecast double")
+    test = p.select("unique_id", "ds")
+    out = CP.evaluate({"naive": p, "seasonal_naive": p.withColumn("forecast", F.col("actual"))}, test)
+    met = {(r["model"], r["horizon"]): r["rmse"] for r in out["metrics"].collect()}
+    assert met[("naive", 1)] == 1.0 and met[("seasonal_naive", 4)] == 0.0
+    best = {(r["metric"], r["category"]): r["model"] for r in out["best"].collect()}
+    assert best[("rmse_mean", "Seasonal_Naive")] == "seasonal_naive"

@@ -243,3 +243,31 @@ def test_grid_and_random_search_spaces():
     assert len(grid) == 324 and len({tuple(sorted(g.items())) for g in grid}) == 324
     draw = TR.random_candidates(space, 50, seed=42)
     assert len(draw) == 50 and draw == TR.random_candidates(space, 50, seed=42)
+
+
+def test_fixture_c_one_output_per_method(spark):
+    """Fixture C: 5 series x 4 quarters with gaps; every method writes one
+    output (partitioned by method) and every score is >= 0."""
+    import os
+    import tempfile
+
+    from qpanel.sources.files import write_table
+    vals = {"X_Y_Z1": [1.0, None, 3.0, 4.0], "X_Y_Z2": [2.0, 4.0, None, 8.0],
+            "X_Y_Z3": [None, 5.0, 6.0, 7.0], "X_Y_Z4": [3.0, 3.0, 3.0, None],
+            "X_Y_Z5": [1.0, 2.0, 3.0, 4.0]}
+    dense = panel(spark, vals)
+    methods = ["zeros", "ffill", "linear", "poly", "knn_3"]
+    outs = None
+    for m in methods:
+        o = I.METHODS[m](dense).withColumn("method", F.lit(m))
+        outs = o if outs is None else outs.unionByName(o)
+    d = tempfile.mkdtemp(prefix="qpanel-imp-", dir="/tmp")
+    write_table(outs, f"{d}/imputed", partition_by=["method"])
+    assert sorted(x for x in os.listdir(f"{d}/imputed") if x.startswith("method=")) == \
+        sorted(f"method={m}" for m in methods)
+    masked = I.mask_cells(dense, key=S.UID)
+    scores = I.compare_imputers(masked, tuple(methods)).collect()
+    assert sorted(r["method"] for r in scores) == sorted(methods)
+    for r in scores:
+        for c in ("mae", "rmse", "ks", "wasserstein"):
+            assert r[c] is None or r[c] >= 0
