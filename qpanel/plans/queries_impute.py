@@ -1,7 +1,6 @@
 """Registered queries: densification, gap filling and its scores."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from qpanel import schema as S
 from qpanel.operators import impute as I

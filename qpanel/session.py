@@ -6,7 +6,6 @@ local runs where it is unset.
 """
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
