@@ -30,7 +30,7 @@ from qpanel import schema as S
 from qpanel.functions.dates import quarter_end
 from qpanel.plans.joins import fixed_small, lookup_join
 from qpanel.plans.ordered import cut_lineage
-from qpanel.sources.tables import read_table
+from qpanel.sources.tables import read_table, spread_if_narrow
 
 
 def _geo(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
@@ -91,6 +91,7 @@ def exposures(spark: SparkSession, sf_dir: str, level: str = "region",
         li = li.filter(F.col("l_shipdate") >= F.to_timestamp(F.lit(start)))
     if end is not None:
         li = li.filter(F.col("l_shipdate") < F.date_add(F.to_date(F.lit(end)), 1))
+    li = spread_if_narrow(li)
     ocols = ["o_orderkey", "o_custkey"] + (["o_orderpriority"] if by_bank_type else [])
     orders = read_table(spark, sf_dir, "orders", ocols)
     cmap = customer_geo(spark, sf_dir, level)
@@ -134,6 +135,10 @@ def fine_panel(spark, sf_dir) -> DataFrame:
     return long_panel(spark, sf_dir, "nation")
 
 
+# Calendar of the test mapping (the wide table's period columns).
+CAL_START = "1995-03-31"
+CAL_END = "2001-12-31"
+
 # Train / test split of the test mapping: 1995-1999 train, 2000-2001 test.
 TRAIN_END = "1999-12-31"
 TEST_START = "2000-01-01"

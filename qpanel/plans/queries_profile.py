@@ -25,7 +25,8 @@ dense AS (SELECT c.*, p.y FROM cal c LEFT JOIN panel p USING (unique_id, ds))"""
 
 
 def _dense(spark, sf_dir):
-    return I.densify(P.shared(P.fine_panel(spark, sf_dir)), keys=[S.UID, S.REP, S.CP, S.BASIS])
+    return I.densify(P.fine_panel(spark, sf_dir), keys=[S.UID, S.REP, S.CP, S.BASIS],
+                     start=P.CAL_START, end=P.CAL_END)
 
 
 def country_counts(spark, sf_dir):

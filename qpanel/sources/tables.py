@@ -26,3 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     if df is None:
         df = _READS[key] = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    cores (a small file with one row group reads in one task), so the joins
+    and partial aggregation after it use every core.  Large inputs already
+    have far more splits than cores and are left untouched (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
