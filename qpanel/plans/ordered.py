@@ -134,3 +134,9 @@ def ecdf_distances_by(df: DataFrame, group: str, a: str, b: str, totals: dict) -
             .groupBy(group).agg(F.max(d).alias("ks"),
                                 F.coalesce(F.sum(d * (F.col("next_value") - F.col("v"))), F.lit(0.0))
                                 .alias("wasserstein")))
+
+
+def approx_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
+    """A16 at scale: ``percentile_approx`` (a mergeable sketch per task, one
+    small merge), rank error about 1/accuracy of the row count."""
+    return df.agg(F.percentile_approx(col, q, accuracy)).first()[0]

@@ -132,3 +132,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 def save_model(model, path: str) -> None:
     """Persist a fitted ``pyspark.ml`` model or pipeline."""
     model.write().overwrite().save(path)
+
+
+def write_panel(panel: DataFrame, path: str, ds: str = S.DS, mode: str = "overwrite") -> None:
+    """Store a long panel partitioned by year of ``ds`` so that date-bounded
+    reads prune whole folders (partition pruning, SURVEY §4)."""
+    (panel.withColumn("year", F.year(ds)).repartition("year")
+     .write.mode(mode).partitionBy("year").parquet(path))
+
+
+def read_panel_range(spark: SparkSession, path: str, start: str | None = None,
+                     end: str | None = None, ds: str = S.DS) -> DataFrame:
+    """Read a year-partitioned panel between two dates (inclusive); the
+    bounds are also stated on ``year`` so only those folders are listed and
+    read, and on ``ds`` for the exact cut (pushed to the parquet reader)."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.filter((F.col("year") >= int(start[:4])) & (F.col(ds) >= F.to_date(F.lit(start))))
+    if end is not None:
+        df = df.filter((F.col("year") <= int(end[:4])) & (F.col(ds) <= F.to_date(F.lit(end))))
+    return df

@@ -110,3 +110,20 @@ def test_read_long_parses_dates(spark):
     rows = FS.read_long(spark, f"{d}/long.csv").collect()
     assert [str(r["ds"]) for r in rows] == ["2020-03-31", "2020-06-30", "None"]
     assert [r["y"] for r in rows] == [1.5, None, None]
+
+
+def test_year_partitioned_panel_prunes(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="qpanel-part-", dir="/tmp")
+    rows = [("a", dt.date(y, 12, 31), float(y)) for y in range(1995, 2002)]
+    FS.write_panel(spark.createDataFrame(rows, "unique_id string, ds date, y double"), f"{d}/p")
+    df = FS.read_panel_range(spark, f"{d}/p", "1999-01-01", "2000-12-31")
+    assert sorted(r["y"] for r in df.collect()) == [1999.0, 2000.0]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan
+
+
+def test_approx_quantile_close(spark):
+    from qpanel.plans.ordered import approx_quantile, exact_quantile
+    df = spark.createDataFrame([(float(i),) for i in range(1000)], "v double")
+    assert abs(approx_quantile(df, "v", 0.99) - exact_quantile(df, "v", 0.99)) <= 2.0
