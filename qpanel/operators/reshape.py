@@ -29,11 +29,13 @@ def long_to_wide(df: DataFrame, id_cols, quarters: list[str],
                  ds: str = S.DS, value: str = S.Y) -> DataFrame:
     """Inverse of R1: one column per 'YYYY-Qn' label from a fixed list.
 
-    The list is a parameter (a calendar), so ``pivot`` runs no extra job
-    to discover values; one aggregate keyed by the ids.
+    The list is a parameter (a calendar), so no job discovers values, and
+    the pivot is a single aggregate of conditional maxima (one value per
+    cell) keyed by the ids: one shuffle, deterministic.
     """
-    return (df.withColumn("_q", quarter_label(ds))
-            .groupBy(*id_cols).pivot("_q", list(quarters)).agg(F.first(value)))
+    d = df.withColumn("_q", quarter_label(ds))
+    return d.groupBy(*id_cols).agg(*[F.max(F.when(F.col("_q") == q, F.col(value))).alias(q)
+                                     for q in quarters])
 
 
 def quarter_labels(start: str, end: str) -> list[str]:
