@@ -182,11 +182,17 @@ def histogram(df: DataFrame, value: str = S.Y, bins: int = 50,
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"), "n"))
 
 
+# Fixed value: text for a column with too many distinct values to list.
+TOO_MANY = "%d unique values (too many to display)"
+
+
 def unique_value_summary(df: DataFrame, cols, numeric_cols=(), max_list: int = 250,
                          max_distinct: int = 1000) -> DataFrame:
     """Per column, numeric -> 'n instances'; fewer than ``max_distinct``
-    distinct values -> the first ``max_list`` (sorted); else a count text.
-    The listed values come from a two-level top-k (bounded per task)."""
+    distinct values -> the first ``max_list`` values; else a count text.
+    Rows have no order in Spark, so "first" means smallest in value order
+    (the reference lists them in file order).  The listed values come from
+    a two-level top-k (bounded per task)."""
     cv = column_values(df, cols).filter(F.col("value").isNotNull())
     d = cv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     g = d.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"),
@@ -198,7 +204,7 @@ def unique_value_summary(df: DataFrame, cols, numeric_cols=(), max_list: int = 2
         "column", "distinct_count",
         F.when(num, F.format_string("%d instances", "instances"))
         .when(F.col("distinct_count") < max_distinct, F.array_join("_vals", ", "))
-        .otherwise(F.format_string("%d unique values", "distinct_count")).alias("summary"))
+        .otherwise(F.format_string(TOO_MANY, "distinct_count")).alias("summary"))
 
 
 def distribution_summary(df: DataFrame, value: str = S.Y, median=None) -> DataFrame:

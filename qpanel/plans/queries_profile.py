@@ -79,7 +79,7 @@ register("unique_value_summary", f"""WITH w AS ({_CLAIMS_SQL}), cv AS ({_CV}),
 d AS (SELECT DISTINCT "column", value FROM cv WHERE value IS NOT NULL)
 SELECT "column", count(*) AS distinct_count,
        CASE WHEN count(*) < 1000 THEN string_agg(value, ', ' ORDER BY value)
-            ELSE printf('%d unique values', count(*)) END AS summary
+            ELSE printf('%d unique values (too many to display)', count(*)) END AS summary
 FROM d GROUP BY 1""")(unique_value_summary)
 
 
