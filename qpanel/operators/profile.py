@@ -73,15 +73,31 @@ def column_profile(df: DataFrame, cols, top: int = 10, all_if_at_most: int = 20)
     return summary, topv
 
 
-def profile_with_coverage(summary: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Per-quarter reporter / counterparty / pair counts looked up into
-    the column profile by column name (quarter columns are 'YYYY-Qn');
-    descriptor columns get NULL counts."""
-    cov = coverage.select(F.format_string("%d-Q%d", "year", "quarter").alias("column"),
-                          F.col("n_reporters").alias("num_reporters"),
-                          F.col("n_counterparties").alias("num_counterparties"),
-                          F.col("n_pairs").alias("num_pairs"))
-    return summary.join(cov, "column", "left")
+# Fixed value: label of the appended totals row of the column profile.
+TOTAL_ROW = "Total Filled Datapoints"
+
+
+def profile_with_coverage(summary: DataFrame, wide: DataFrame, quarters,
+                          rep: str = "L_REP_CTY", cp: str = "L_CP_COUNTRY") -> DataFrame:
+    """J10 + A5: per-quarter distinct reporters, counterparties and pairs
+    among the rows of the same wide table that fill that quarter, looked up
+    into the column profile by column name (descriptor columns get NULL),
+    plus a totals row with the filled cells over all quarter columns."""
+    qs = list(quarters)
+    cells = (wide.select(rep, cp, *[F.col(f"`{q}`") for q in qs])
+             .unpivot([rep, cp], qs, "column", "_v").filter(F.col("_v").isNotNull()))
+    cov = cells.groupBy("column").agg(F.countDistinct(rep).alias("num_reporters"),
+                                      F.countDistinct(cp).alias("num_counterparties"),
+                                      F.countDistinct(rep, cp).alias("num_pairs"))
+    prof = summary.join(cov, "column", "left")
+    total = (summary.filter(F.col("column").isin(qs))
+             .agg(F.sum("non_null").alias("non_null"))
+             .select(F.lit(TOTAL_ROW).alias("column"), "non_null",
+                     F.lit(None).cast("long").alias("unique_count"),
+                     F.lit(None).cast("long").alias("num_reporters"),
+                     F.lit(None).cast("long").alias("num_counterparties"),
+                     F.lit(None).cast("long").alias("num_pairs")))
+    return prof.unionByName(total)
 
 
 def coverage_by_quarter(panel: DataFrame, a: str = S.REP, b: str = S.CP,

@@ -220,24 +220,29 @@ FROM panel, c WHERE y IS NOT NULL""")(winsorized_panel)
 
 
 def column_profile_with_coverage(spark, sf_dir):
-    """A3 + J10: profile of descriptor and quarter columns of the claims
-    table, with the fine panel's per-quarter coverage looked up by name."""
+    """A3 + J10 + A5: profile of descriptor and quarter columns of the claims
+    table; per quarter, the distinct reporters / counterparties / pairs of
+    the rows that fill it; and the totals row."""
     from qpanel.plans.queries_prepare import QUARTERS
-    summ, _ = PR.column_profile(P.shared(claims_wide(spark, sf_dir)), DESCRIPTORS + QUARTERS)
-    return PR.profile_with_coverage(summ, PR.coverage_by_quarter(P.fine_panel(spark, sf_dir)))
+    wide = P.shared(claims_wide(spark, sf_dir))
+    summ, _ = PR.column_profile(wide, DESCRIPTORS + QUARTERS)
+    return PR.profile_with_coverage(summ, wide, QUARTERS)
 
 
 def _cov_sql():
     from qpanel.plans.queries_prepare import QUARTERS
     cv = " UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST("{c}" AS VARCHAR) AS value FROM w"""
                             for c in DESCRIPTORS + QUARTERS)
+    cells = " UNION ALL ".join(f"""SELECT '{q}' AS "column", L_REP_CTY, L_CP_COUNTRY FROM w WHERE "{q}" IS NOT NULL"""
+                               for q in QUARTERS)
+    qlist = ", ".join(f"'{q}'" for q in QUARTERS)
     return f"""WITH w AS ({_CLAIMS_SQL}), cv AS ({cv}),
 s AS (SELECT "column", count(value) AS non_null, count(DISTINCT value) AS unique_count FROM cv GROUP BY 1),
-panel AS ({panel_sql('nation')}),
-c AS (SELECT printf('%d-Q%d', year(ds), quarter(ds)) AS "column", count(DISTINCT rep) AS num_reporters,
-             count(DISTINCT cp) AS num_counterparties, count(DISTINCT (rep, cp)) AS num_pairs
-      FROM panel GROUP BY ds)
-SELECT s.*, num_reporters, num_counterparties, num_pairs FROM s LEFT JOIN c USING ("column")"""
+c AS (SELECT "column", count(DISTINCT L_REP_CTY) AS num_reporters, count(DISTINCT L_CP_COUNTRY) AS num_counterparties,
+             count(DISTINCT (L_REP_CTY, L_CP_COUNTRY)) AS num_pairs FROM ({cells}) GROUP BY 1)
+SELECT s.*, num_reporters, num_counterparties, num_pairs FROM s LEFT JOIN c USING ("column")
+UNION ALL
+SELECT '{PR.TOTAL_ROW}', CAST(sum(non_null) AS BIGINT), NULL, NULL, NULL, NULL FROM s WHERE "column" IN ({qlist})"""
 
 
 register("column_profile_with_coverage", _cov_sql())(column_profile_with_coverage)
