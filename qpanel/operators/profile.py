@@ -19,8 +19,10 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
 
 def country_counts(df: DataFrame, a: str = "Reporting country",
                    b: str = "Counterparty country") -> DataFrame:
-    """A2 + J4: rows per country as reporter and as counterparty; full outer
-    join, missing side 0, counts as int."""
+    """A2 + J4: rows per country as reporter and as counterparty (rows
+    missing either country dropped first, P16); full outer join, missing
+    side 0, counts as int."""
+    df = df.dropna(subset=[a, b])
     ra = df.groupBy(F.col(f"`{a}`").alias("country")).agg(F.count(F.lit(1)).alias("n_reporting"))
     rb = df.groupBy(F.col(f"`{b}`").alias("country")).agg(F.count(F.lit(1)).alias("n_counterparty"))
     j = ra.join(rb, "country", "full_outer")
@@ -139,16 +141,19 @@ def filled_cells_with_total(panel: DataFrame, ds: str = S.DS, value: str = S.Y)
                                 F.grouping(ds).cast("int").alias("is_total"))
 
 
-def missing_share(dense: DataFrame, by, value: str = S.Y) -> DataFrame:
-    """Percent of empty cells per group of the densified panel."""
-    return dense.groupBy(*by).agg(
-        (F.avg(F.col(value).isNull().cast("double")) * 100).alias("missing_pct"))
+def missing_share(dense: DataFrame, by, value: str = S.Y, zero_is_missing: bool = True) -> DataFrame:
+    """Percent of empty cells per group of the densified panel;
+    by default a 0 counts as missing too (P20), as in the reference."""
+    v = F.col(value)
+    empty = (v.isNull() | (v == 0)) if zero_is_missing else v.isNull()
+    return dense.groupBy(*by).agg((F.avg(F.coalesce(empty, F.lit(True)).cast("double")) * 100)
+                                  .alias("missing_pct"))
 
 
 def reporter_missing_rank(dense: DataFrame, rep: str = S.REP, ds: str = S.DS,
-                          value: str = S.Y) -> DataFrame:
+                          value: str = S.Y, zero_is_missing: bool = True) -> DataFrame:
     """Mean over quarters of each reporter's missing percent."""
-    per_q = missing_share(dense, [rep, ds], value)
+    per_q = missing_share(dense, [rep, ds], value, zero_is_missing)
     return per_q.groupBy(rep).agg(F.avg("missing_pct").alias("mean_missing_pct"))
 
 

@@ -35,8 +35,9 @@ def country_counts(spark, sf_dir):
 
 
 register("country_counts", f"""WITH w AS ({_CLAIMS_SQL}),
-a AS (SELECT "Reporting country" AS country, count(*) AS n_reporting FROM w GROUP BY 1),
-b AS (SELECT "Counterparty country" AS country, count(*) AS n_counterparty FROM w GROUP BY 1)
+w2 AS (SELECT * FROM w WHERE "Reporting country" IS NOT NULL AND "Counterparty country" IS NOT NULL),
+a AS (SELECT "Reporting country" AS country, count(*) AS n_reporting FROM w2 GROUP BY 1),
+b AS (SELECT "Counterparty country" AS country, count(*) AS n_counterparty FROM w2 GROUP BY 1)
 SELECT coalesce(a.country, b.country) AS country,
        CAST(coalesce(n_reporting, 0) AS INTEGER) AS n_reporting,
        CAST(coalesce(n_counterparty, 0) AS INTEGER) AS n_counterparty
@@ -111,7 +112,7 @@ def missing_by_quarter(spark, sf_dir):
 
 
 register("missing_by_quarter", f"""{_DENSE_SQL}
-SELECT ds, {r('avg(CAST(y IS NULL AS DOUBLE)) * 100')} AS missing_pct FROM dense GROUP BY ds""")(missing_by_quarter)
+SELECT ds, {r('avg(CAST(coalesce(y IS NULL OR y = 0, true) AS DOUBLE)) * 100')} AS missing_pct FROM dense GROUP BY ds""")(missing_by_quarter)
 
 
 def missing_by_basis_quarter(spark, sf_dir):
@@ -121,7 +122,7 @@ def missing_by_basis_quarter(spark, sf_dir):
 
 
 register("missing_by_basis_quarter", f"""{_DENSE_SQL}
-SELECT basis, ds, {r('avg(CAST(y IS NULL AS DOUBLE)) * 100')} AS missing_pct,
+SELECT basis, ds, {r('avg(CAST(coalesce(y IS NULL OR y = 0, true) AS DOUBLE)) * 100')} AS missing_pct,
        CAST(year(ds) AS INTEGER) AS year FROM dense GROUP BY basis, ds""")(missing_by_basis_quarter)
 
 
@@ -131,7 +132,7 @@ def reporter_missing(spark, sf_dir):
 
 
 register("reporter_missing", f"""{_DENSE_SQL},
-q AS (SELECT rep, ds, avg(CAST(y IS NULL AS DOUBLE)) * 100 AS m FROM dense GROUP BY rep, ds)
+q AS (SELECT rep, ds, avg(CAST(coalesce(y IS NULL OR y = 0, true) AS DOUBLE)) * 100 AS m FROM dense GROUP BY rep, ds)
 SELECT rep, {r('avg(m)')} AS mean_missing_pct FROM q GROUP BY rep""")(reporter_missing)
 
 
