@@ -126,6 +126,16 @@ def tick_labels(df: DataFrame, ds: str = S.DS, every_years: int = 3, quarter: in
     return out
 
 
+def event_labels(ds: str = S.DS):
+    """The fixed event annotation of a quarter (NULL when none)."""
+    from qpanel.functions.dates import quarter_label
+    lab = quarter_label(ds)
+    expr = None
+    for q, text in S.INFLECTIONS.items():
+        expr = F.when(lab == q, text) if expr is None else expr.when(lab == q, text)
+    return expr
+
+
 def coverage_approx(panel: DataFrame, a: str = S.REP, b: str = S.CP,
                     ds: str = S.DS, rsd: float = 0.01) -> DataFrame:
     """A4 variant with HyperLogLog sketches (no per-group distinct sets)."""

@@ -247,3 +247,18 @@ SELECT '{PR.TOTAL_ROW}', CAST(sum(non_null) AS BIGINT), NULL, NULL, NULL, NULL F
 
 
 register("column_profile_with_coverage", _cov_sql())(column_profile_with_coverage)
+
+
+def total_exposure_ticks(spark, sf_dir):
+    """A10 + C12: total per quarter, a tick every third year at Q2, and the
+    fixed event annotation of the quarters that have one."""
+    t = PR.total_by_quarter(P.fine_panel(spark, sf_dir))
+    t = PR.tick_labels(t).withColumn("event", PR.event_labels())
+    return round_doubles(t, 4)
+
+
+register("total_exposure_ticks", f"""{FINE}
+SELECT ds, {r('sum(y)')} AS total, (quarter(ds) = 2 AND year(ds) % 3 = 0) AS tick,
+       CASE printf('%d-Q%d', year(ds), quarter(ds))
+            {" ".join(f"WHEN '{q}' THEN '{t}'" for q, t in S.INFLECTIONS.items())} END AS event
+FROM panel GROUP BY ds""")(total_exposure_ticks)

@@ -59,6 +59,11 @@ PRIORITY_TO_BANK_TYPE = {
     "3-MEDIUM": "4C",
     "4-NOT SPECIFIED": "4O",
 }
+# Annotated quarters of the total-exposure chart (shown when present).
+INFLECTIONS = {
+    "2000-Q4": "Quarterly\nreporting begins",
+    "2011-Q4": "New economies\nadded",
+}
 # ---------------------------------------------------------------------------
 
 LONG_SCHEMA = T.StructType([
