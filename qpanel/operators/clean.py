@@ -157,6 +157,18 @@ def filter_codes(df: DataFrame, equalities: dict) -> DataFrame:
     return df.filter(cond)
 
 
+def filter_and_sum_extract(df: DataFrame, time_cols=None,
+                           by=("Reporting country", "Counterparty country")) -> DataFrame:
+    """P9 + A1: keep rows matching the fixed reporting codes and bank types,
+    then sum every period per (reporter, counterparty); a group whose
+    values are all missing sums to 0 (Q14).  One filter, one aggregate."""
+    tcols = list(time_cols) if time_cols is not None else quarter_columns(df)
+    d = filter_codes(df, S.REPORTING_CODES).filter(F.col("CBS_BANK_TYPE").isin(S.EXTRACT_BANK_TYPES))
+    keys = [c for c in by if c in df.columns]
+    return d.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(
+        *[F.coalesce(F.sum(F.col(f"`{q}`")), F.lit(0.0)).alias(q) for q in tcols])
+
+
 def pivot_bank_types(long_df: DataFrame, keys, bank_col: str = S.BANK_TYPE,
                      value_col: str = "exposure", types=S.BANK_TYPES) -> DataFrame:
     """Sum per key x bank type, one column per type, absent -> 0.

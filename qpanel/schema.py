@@ -59,6 +59,18 @@ PRIORITY_TO_BANK_TYPE = {
     "3-MEDIUM": "4C",
     "4-NOT SPECIFIED": "4O",
 }
+# Code filter of the consolidated-claims extract and its bank types.
+REPORTING_CODES = {
+    "FREQ": "Q",
+    "CURR_TYPE_BOOK": "TO1",
+    "L_MEASURE": "S",
+    "CBS_BASIS": "F",
+    "L_POSITION": "C",
+    "L_INSTR": "A",
+    "REM_MATURITY": "A",
+    "L_CP_SECTOR": "A",
+}
+EXTRACT_BANK_TYPES = ["4B", "4C", "4O", "4R", "4D", "4E"]
 # Annotated quarters of the total-exposure chart (shown when present).
 INFLECTIONS = {
     "2000-Q4": "Quarterly\nreporting begins",

@@ -110,3 +110,16 @@ def test_unique_value_summary_branches(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 2.0)], "s string, v double")
     got = {r["column"]: r["summary"] for r in PR.unique_value_summary(df, ["s", "v"], numeric_cols=["v"]).collect()}
     assert got == {"s": "a, b", "v": "3 instances"}
+
+
+def test_filter_and_sum_extract(spark):
+    base = dict(FREQ="Q", CURR_TYPE_BOOK="TO1", L_MEASURE="S", CBS_BASIS="F", L_POSITION="C",
+                L_INSTR="A", REM_MATURITY="A", L_CP_SECTOR="A")
+    cols = ["Reporting country", "Counterparty country", *base, "CBS_BANK_TYPE", "2005-Q1", "2005-Q2"]
+    rows = [("DE", "US", *base.values(), "4B", 1.0, None),
+            ("DE", "US", *base.values(), "4D", 2.0, None),
+            ("DE", "US", *base.values(), "4X", 50.0, 50.0),       # bank type out of the list
+            ("DE", "US", *{**base, "L_MEASURE": "B"}.values(), "4B", 70.0, 70.0)]
+    schema = ", ".join(f"`{c}` string" for c in cols[:-2]) + ", `2005-Q1` double, `2005-Q2` double"
+    out = C.filter_and_sum_extract(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["2005-Q1"], r["2005-Q2"]) for r in out] == [(3.0, 0.0)]
