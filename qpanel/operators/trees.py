@@ -137,6 +137,49 @@ def time_series_split(frame: DataFrame, n_splits: int = 5, ds: str = S.DS) -> Da
     return frame.join(F.broadcast(tiles), ds)
 
 
+# ---------------------------------------------------------------------------
+# The reference's random-search space for its booster.
+REFERENCE_SPACE = {
+    "learning_rate": [0.01, 0.03, 0.05, 0.1],
+    "num_leaves": [31, 63, 127],
+    "colsample_bytree": [0.6, 0.8, 1.0],
+    "subsample": [0.6, 0.8, 1.0],
+    "subsample_freq": [5],
+    "reg_alpha": [0, 1],
+    "reg_lambda": [0, 1],
+}
+# ---------------------------------------------------------------------------
+
+
+def to_gbt_params(c: dict, max_iter: int = 20) -> dict:
+    """Map a booster candidate onto ``GBTRegressor`` parameters: learning
+    rate -> stepSize, leaves -> depth (a full tree of 2^d leaves), column
+    sampling -> featureSubsetStrategy, row sampling -> subsamplingRate.
+    The L1/L2 penalties have no GBT counterpart and are dropped."""
+    import math
+    col = c.get("colsample_bytree", 1.0)
+    return {"stepSize": float(c["learning_rate"]),
+            "maxDepth": int(math.log2(c["num_leaves"] + 1)),
+            "featureSubsetStrategy": "all" if col >= 1.0 else str(col),
+            "subsamplingRate": float(c.get("subsample", 1.0)),
+            "maxIter": max_iter}
+
+
+def reference_candidates(n: int, seed: int = 42, max_iter: int = 20) -> list[dict]:
+    """M3 on the reference's space: a seeded draw, mapped to GBT parameters,
+    duplicates (candidates differing only in dropped keys) removed."""
+    out, seen = [], set()
+    for c in random_candidates(REFERENCE_SPACE, len(param_grid(REFERENCE_SPACE)), seed):
+        g = to_gbt_params(c, max_iter)
+        key = tuple(sorted(g.items()))
+        if key not in seen:
+            seen.add(key)
+            out.append(g)
+        if len(out) == n:
+            break
+    return out
+
+
 def param_grid(space: dict) -> list[dict]:
     """M4: every combination of the search space (ParamGridBuilder-like)."""
     keys = sorted(space)

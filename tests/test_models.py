@@ -271,3 +271,13 @@ def test_fixture_c_one_output_per_method(spark):
     for r in scores:
         for c in ("mae", "rmse", "ks", "wasserstein"):
             assert r[c] is None or r[c] >= 0
+
+
+def test_reference_space_mapping():
+    from qpanel.operators import trees as TR
+    c = TR.to_gbt_params({"learning_rate": 0.05, "num_leaves": 63, "colsample_bytree": 0.8,
+                          "subsample": 0.6, "subsample_freq": 5, "reg_alpha": 1, "reg_lambda": 0})
+    assert c == {"stepSize": 0.05, "maxDepth": 6, "featureSubsetStrategy": "0.8",
+                 "subsamplingRate": 0.6, "maxIter": 20}
+    cands = TR.reference_candidates(5)
+    assert len(cands) == 5 and len({tuple(sorted(x.items())) for x in cands}) == 5
