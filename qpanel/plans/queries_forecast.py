@@ -220,3 +220,26 @@ w AS (SELECT unique_id, step, quantile_cont(err, 0.9) AS hw
 SELECT f.unique_id, f.step, f.ds, {r('s.f')} AS forecast, {r('s.f - w.hw')} AS lo_90, {r('s.f + w.hw')} AS hi_90
 FROM f JOIN s ON s.unique_id = f.unique_id AND s.season = {qidx('f.ds')} % 4
 LEFT JOIN w ON w.unique_id = f.unique_id AND w.step = f.step""")(future_swa_intervals)
+
+
+def naive_test_predictions(spark, sf_dir):
+    """F1 + J6 + J2: naive forecasts with 90 % intervals for the test
+    quarters, joined to the actual values (rows without an actual dropped)."""
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(panel)
+    f = fc.naive(train, P.TRAIN_END, H_TEST, level=True)
+    return round_doubles(fc.join_actuals(f, test), 4)
+
+
+register("naive_test_predictions", f"""WITH panel AS ({panel_sql('region')}),
+p AS (SELECT *, {qidx('ds')} AS qi FROM panel WHERE ds <= DATE '{P.TRAIN_END}'),
+{_SIG.format(lag=1)},
+l AS (SELECT unique_id, arg_max(y, ds) AS forecast FROM p GROUP BY 1),
+f AS (SELECT unique_id, CAST(last_day(DATE '{P.TRAIN_END}' + to_months(3 * s)) AS DATE) AS ds,
+             CAST(s AS INTEGER) AS step, forecast, sigma
+      FROM l JOIN sig USING (unique_id), range(1, {H_TEST + 1}) t(s))
+SELECT f.unique_id, f.ds, f.step, {r('f.forecast')} AS forecast,
+       {r(f'f.forecast - {fc.Z90} * sigma * sqrt(step)')} AS lo_90,
+       {r(f'f.forecast + {fc.Z90} * sigma * sqrt(step)')} AS hi_90, {r('t.y')} AS actual
+FROM f JOIN panel t ON t.unique_id = f.unique_id AND t.ds = f.ds
+WHERE t.ds BETWEEN DATE '{P.TEST_START}' AND DATE '{P.TEST_END}'""")(naive_test_predictions)
