@@ -243,3 +243,28 @@ SELECT f.unique_id, f.ds, f.step, {r('f.forecast')} AS forecast,
        {r(f'f.forecast + {fc.Z90} * sigma * sqrt(step)')} AS hi_90, {r('t.y')} AS actual
 FROM f JOIN panel t ON t.unique_id = f.unique_id AND t.ds = f.ds
 WHERE t.ds BETWEEN DATE '{P.TEST_START}' AND DATE '{P.TEST_END}'""")(naive_test_predictions)
+
+
+def seasonal_naive_test_predictions(spark, sf_dir):
+    """F2 + J2: seasonal-naive forecasts with 90 % intervals for the test
+    quarters, joined to the actual values."""
+    panel = P.shared(P.coarse_panel(spark, sf_dir))
+    train, test = P.split_train_test(panel)
+    f = fc.seasonal_naive(train, P.TRAIN_END, H_TEST, m=4, level=True)
+    return round_doubles(fc.join_actuals(f, test), 4)
+
+
+register("seasonal_naive_test_predictions", f"""WITH panel AS ({panel_sql('region')}),
+p AS (SELECT *, {qidx('ds')} AS qi FROM panel WHERE ds <= DATE '{P.TRAIN_END}'),
+{_SIG.format(lag=4)},
+f AS (SELECT unique_id, CAST(last_day(ds + to_months(12 * j)) AS DATE) AS ds, y AS forecast
+      FROM p, range(1, 3) r(j) WHERE ds > DATE '1998-12-31'),
+g AS (SELECT f.*, {qidx('f.ds')} - {qidx(f"DATE '{P.TRAIN_END}'")} AS step, s.sigma
+      FROM f JOIN sig s USING (unique_id))
+SELECT g.unique_id, g.ds, g.step, {r('g.forecast')} AS forecast,
+       {r(f'g.forecast - {fc.Z90} * sigma * sqrt(floor((step - 1) / 4) + 1)')} AS lo_90,
+       {r(f'g.forecast + {fc.Z90} * sigma * sqrt(floor((step - 1) / 4) + 1)')} AS hi_90,
+       {r('t.y')} AS actual
+FROM g JOIN panel t ON t.unique_id = g.unique_id AND t.ds = g.ds
+WHERE g.step BETWEEN 1 AND {H_TEST} AND t.ds BETWEEN DATE '{P.TEST_START}' AND DATE '{P.TEST_END}'""")(
+    seasonal_naive_test_predictions)
