@@ -221,19 +221,37 @@ def recursive_linear_expr(history: Column, intercept: float, coefs: list[float],
 
 
 def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: str = S.UID,
-                              ds: str = S.DS, value: str = S.Y, reg: float = 0.0):
+                              ds: str = S.DS, value: str = S.Y, reg: float = 0.0,
+                              warm_start: str = "train_tail", test: DataFrame | None = None):
     """scale each series on its training data (K6), fit one linear
     model on all windows of n_steps scaled values -> next value, then
-    forecast h quarters per series by feeding predictions back.  Constant
-    series (K7) repeat their value.  Returns (forecasts, (intercept, coefs))."""
+    forecast by feeding predictions back.  Constant series (K7) repeat
+    their value.
+
+    ``warm_start`` (Q12): ``train_tail`` starts from the last n_steps
+    training quarters and forecasts h quarters; ``test_head`` starts from
+    the first n_steps quarters of ``test`` (scaled with the training
+    scaler) and forecasts the h - n_steps test quarters after them.
+    Returns (forecasts, (intercept, coefs))."""
     from qpanel.operators.features import scale_series, supervised_windows
     sc, tr, _ = scale_series(train, None, value, key)
     win = supervised_windows(tr, n_steps, value="z", key=key, order=ds)
     b0, b = fit_window_regression(win, reg=reg)
-    hist = (tr.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, "z"))).alias("_s"),
-                                F.max(ds).alias("_last"))
+    if warm_start == "train_tail":
+        seed_rows, steps = tr.select(key, ds, "z"), h
+    elif warm_start == "test_head":
+        if test is None:
+            raise ValueError("warm_start='test_head' needs the test rows")
+        w = Window.partitionBy(key).orderBy(ds)
+        head = (test.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_steps)
+                .join(sc, key).select(key, ds, ((F.col(value) - F.col("mu")) / F.col("sigma")).alias("z")))
+        seed_rows, steps = head, h - n_steps
+    else:
+        raise ValueError(f"unknown warm_start {warm_start!r}")
+    hist = (seed_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, "z"))).alias("_s"),
+                                       F.max(ds).alias("_last"))
             .filter(F.size("_s") >= n_steps))
-    pred = recursive_linear_expr(F.col("_s")["z"], b0, b, h)
+    pred = recursive_linear_expr(F.col("_s")["z"], b0, b, steps)
     out = (hist.select(key, "_last", F.posexplode(pred).alias("_i", "zhat"))
            .join(sc, key)
            .select(key, (F.col("_i") + 1).alias("step"),

@@ -106,3 +106,14 @@ def block_var_scores(spark, sf_dir):
 
 
 register("block_var_scores")(block_var_scores)
+
+
+def recursive_linear_test_head_scores(spark, sf_dir):
+    """F13 with the test-head warm start (Q12): the first 4 test quarters
+    seed the recursion, the next 4 are forecast and scored."""
+    train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
+    f, _ = MD.recursive_linear_forecast(train, H, n_steps=4, warm_start="test_head", test=test)
+    return _score(f, test, "linear_recursive_test_head")
+
+
+register("recursive_linear_test_head_scores")(recursive_linear_test_head_scores)

@@ -281,3 +281,17 @@ def test_reference_space_mapping():
                  "subsamplingRate": 0.6, "maxIter": 20}
     cands = TR.reference_candidates(5)
     assert len(cands) == 5 and len({tuple(sorted(x.items())) for x in cands}) == 5
+
+
+def test_recursive_linear_warm_starts(spark):
+    """A series growing by a constant step is forecast exactly from either
+    warm start; test_head forecasts only the quarters after its window."""
+    vals = {f"s{i}": [float(10 * i + 3 * t) for t in range(28)] for i in range(1, 6)}
+    p = panel(spark, vals)
+    train = p.filter(F.col(S.DS) <= dt.date(1999, 12, 31))
+    test = p.filter(F.col(S.DS) > dt.date(1999, 12, 31))
+    for mode, n_out in [("train_tail", 8), ("test_head", 4)]:
+        f, _ = MD.recursive_linear_forecast(train, 8, n_steps=4, warm_start=mode, test=test)
+        j = fc.join_actuals(f, test).collect()
+        assert len(j) == 5 * n_out, mode
+        assert all(abs(r["forecast"] - r["actual"]) < 1e-6 * max(1.0, abs(r["actual"])) for r in j), mode
