@@ -295,3 +295,22 @@ def test_recursive_linear_warm_starts(spark):
         j = fc.join_actuals(f, test).collect()
         assert len(j) == 5 * n_out, mode
         assert all(abs(r["forecast"] - r["actual"]) < 1e-6 * max(1.0, abs(r["actual"])) for r in j), mode
+
+
+def test_gbt_fit_predict_and_recursion(spark):
+    from qpanel.operators import features as FE
+    from qpanel.operators import trees as TR
+    # seasonal series: the level repeats every 4 quarters, so lag_4 predicts it
+    base = [100.0, 200.0, 150.0, 300.0]
+    vals = {f"s{i}": [base[t % 4] * (1 + i) for t in range(28)] for i in range(6)}
+    prep = FE.prepare_log(panel(spark, vals))
+    fr = TR.model_frame(prep)
+    fit = fr.filter(F.year(S.DS) <= 1999).withColumn("is_valid", F.year(S.DS) == 1999)
+    model = TR.fit_gbt(fit, {"maxIter": 30, "maxDepth": 4, "stepSize": 0.3}, valid_flag="is_valid")
+    pred = TR.predict_levels(model, fr.filter(F.year(S.DS) == 2000)).collect()
+    rel = [abs(r["forecast"] - math.expm1(r["y_log"])) / math.expm1(r["y_log"]) for r in pred]
+    assert len(pred) == 24 and max(rel) < 0.25
+    rec = TR.recursive_forecast(model, prep.filter(F.year(S.DS) <= 1999), 4).collect()
+    assert len(rec) == 6 * 4
+    assert sorted({str(r[S.DS]) for r in rec}) == ["2000-03-31", "2000-06-30", "2000-09-30", "2000-12-31"]
+    assert all(r["forecast"] > 0 for r in rec)
