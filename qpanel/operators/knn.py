@@ -11,9 +11,10 @@ Semantics (the reference's imputer with inverse-distance weights):
 
 Plan: series become one row each (their z vector, bounded by T).  Series
 are cut into rank-based blocks of at most ``block`` series.  For every
-(target block, donor block) tile a grouped map computes the tile's
-distances in NumPy and emits only each cell's k best donors of that
-tile; a final top-k per cell merges tiles.  So a task holds at most
+pair of blocks (tb <= db; distances are symmetric) a grouped map computes
+the tile's distances once in NumPy and emits only each cell's k best
+donors from the other block, in both directions; a final top-k per cell
+merges tiles.  So a task holds at most
 block x block pairs and the emitted rows are bounded by cells x k x
 tiles, however the data is skewed: nothing is grouped by a data key.
 """
@@ -35,37 +36,56 @@ CAND_SCHEMA = T.StructType([
     T.StructField("dz", T.DoubleType())])
 
 
+def _nan_distances(za: np.ndarray, zb: np.ndarray, n_quarters: int) -> np.ndarray:
+    """NaN-Euclidean distances between the rows of two z matrices
+    (NaN where two series share no known quarter)."""
+    pa, pb = ~np.isnan(za), ~np.isnan(zb)
+    both = pa[:, None, :] & pb[None, :, :]
+    diff = np.where(both, za[:, None, :] - zb[None, :, :], 0.0)
+    ss = np.sum(diff * diff, axis=2)
+    cnt = both.sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dist = np.sqrt(n_quarters / cnt * ss)
+    dist[cnt == 0] = np.nan
+    return dist
+
+
+def _select(tid, zt, did, zd, dist, k: int) -> pd.DataFrame:
+    """Each missing cell of the targets (rows of ``zt``): its k nearest
+    donors among ``zd`` that know the quarter; ties go to the smaller id."""
+    pt, pdn = ~np.isnan(zt), ~np.isnan(zd)
+    order = np.argsort(did, kind="stable")
+    did, zd, pdn, dist = did[order], zd[order], pdn[order], dist[:, order]
+    dist = np.where(np.isnan(dist), np.inf, dist)
+    ii, qq = np.nonzero(~pt)
+    if ii.size == 0 or len(did) == 0:
+        return pd.DataFrame({c: [] for c in CAND_SCHEMA.names})
+    sub = np.where(pdn.T[qq, :], dist[ii, :], np.inf)      # cells x donors
+    kk = min(k, sub.shape[1])
+    idx = np.argsort(sub, axis=1, kind="stable")[:, :kk]
+    dsel = np.take_along_axis(sub, idx, axis=1)
+    ok = np.isfinite(dsel)
+    rows = np.repeat(np.arange(ii.size), kk).reshape(ii.size, kk)
+    return pd.DataFrame({"target": tid[ii][rows][ok], "qpos": qq[rows][ok].astype(np.int32),
+                         "donor": did[idx][ok], "dist": dsel[ok], "dz": zd[idx, qq[:, None]][ok]})
+
+
 def _tile_candidates(k: int, n_quarters: int):
-    def run(tgt: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
-        if tgt.empty or don.empty:
-            return pd.DataFrame({c: [] for c in CAND_SCHEMA.names})
-        zt = np.array([np.asarray(v, dtype=float) for v in tgt["z"]])
-        zd = np.array([np.asarray(v, dtype=float) for v in don["z"]])
-        pt, pdn = ~np.isnan(zt), ~np.isnan(zd)
-        both = pt[:, None, :] & pdn[None, :, :]
-        diff = np.where(both, zt[:, None, :] - zd[None, :, :], 0.0)
-        ss = np.sum(diff * diff, axis=2)
-        cnt = both.sum(axis=2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.sqrt(n_quarters / cnt * ss)
-        dist[cnt == 0] = np.nan
-        tid = tgt["uid"].to_numpy()
-        did = don["uid"].to_numpy()
-        order = np.argsort(did, kind="stable")          # ties go to the smaller id
-        did, zd, pdn, dist = did[order], zd[order], pdn[order], dist[:, order]
-        dist = np.where(np.isnan(dist), np.inf, dist)
-        ii, qq = np.nonzero(~pt)                          # the tile's missing cells
-        if ii.size == 0:
+    """Tile (tb, db) with tb <= db: one distance matrix, candidates in both
+    directions (targets of tb from donors of db and, off the diagonal,
+    targets of db from donors of tb)."""
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in CAND_SCHEMA.names})
-        sub = np.where(pdn.T[qq, :], dist[ii, :], np.inf)  # cells x donors
-        kk = min(k, sub.shape[1])
-        idx = np.argsort(sub, axis=1, kind="stable")[:, :kk]
-        dsel = np.take_along_axis(sub, idx, axis=1)
-        ok = np.isfinite(dsel)
-        rows = np.repeat(np.arange(ii.size), kk).reshape(ii.size, kk)
-        return pd.DataFrame({"target": tid[ii][rows][ok], "qpos": qq[rows][ok].astype(np.int32),
-                             "donor": did[idx][ok], "dist": dsel[ok],
-                             "dz": zd[idx, qq[:, None]][ok]})
+        tb, db = key
+        zl = np.array([np.asarray(v, dtype=float) for v in left["z"]])
+        zr = np.array([np.asarray(v, dtype=float) for v in right["z"]])
+        lid, rid = left["uid"].to_numpy(), right["uid"].to_numpy()
+        dist = _nan_distances(zl, zr, n_quarters)
+        out = [_select(lid, zl, rid, zr, dist, k)]
+        if tb != db:
+            out.append(_select(rid, zr, lid, zl, dist.T, k))
+        return pd.concat(out, ignore_index=True)
     return run
 
 
@@ -103,12 +123,13 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
     nb = max(1, int(-(-rk.count() // block)))
     vec = cut_lineage(per.join(rk, "uid").withColumn(
         "blk", F.floor((F.col("rank") - 1) / block).cast("int")).drop("rank"))
-    # tiles: targets replicated over donor blocks, donors over target blocks
-    tgt = (vec.filter("has_gap").select("uid", "z", F.col("blk").alias("tb"),
-                                        F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("db")))
-    don = vec.select("uid", "z", F.col("blk").alias("db"),
-                     F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("tb"))
-    cand = (tgt.groupBy("tb", "db").cogroup(don.groupBy("tb", "db"))
+    # tiles (tb <= db): distances are symmetric, so each pair of blocks is
+    # computed once and serves both directions
+    left = vec.select("uid", "z", F.col("blk").alias("tb"),
+                      F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("db"))
+    right = vec.select("uid", "z", F.col("blk").alias("db"),
+                       F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("tb"))
+    cand = (left.groupBy("tb", "db").cogroup(right.groupBy("tb", "db"))
             .applyInPandas(_tile_candidates(k, nq), CAND_SCHEMA))
     w = Window.partitionBy("target", "qpos").orderBy("dist", "donor")
     top = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
