@@ -98,7 +98,8 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
     computed from its date-ordered value array, and each cell's donors are
     combined in (distance, donor id) order.
     """
-    d0, q0, q1 = dense.agg(F.min(ds), F.min(quarter_index(ds)), F.max(quarter_index(ds))).first()
+    d0, q0, q1, n_series = dense.agg(F.min(ds), F.min(quarter_index(ds)), F.max(quarter_index(ds)),
+                                     F.countDistinct(key)).first()
     nq = q1 - q0 + 1
     start = F.to_date(F.lit(str(d0)))
     known = dense.filter(F.col(value).isNotNull()).select(
@@ -118,9 +119,8 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
            .withColumn("z", F.transform("yv", lambda v: (v - F.col("mu")) / F.col("sd")))
            .select(F.col(key).alias("uid"), "yv", "mu", "sd", "z",
                    F.exists("yv", lambda v: v.isNull()).alias("has_gap")))
-    per = cut_lineage(per)
-    rk = global_rank(per.select("uid"), "uid")
-    nb = max(1, int(-(-rk.count() // block)))
+    rk = global_rank(dense.select(F.col(key).alias("uid")), "uid")
+    nb = max(1, int(-(-n_series // block)))
     vec = cut_lineage(per.join(rk, "uid").withColumn(
         "blk", F.floor((F.col("rank") - 1) / block).cast("int")).drop("rank"))
     # tiles (tb <= db): distances are symmetric, so each pair of blocks is
@@ -145,14 +145,15 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
     cells = cells.select("target", "qpos", F.when(F.size(zero) > 0, exact).otherwise(inv).alias("zf"))
     fills = cells.groupBy(F.col("target").alias("uid")).agg(
         F.map_from_entries(F.collect_list(F.struct("qpos", "zf"))).alias("_f"))
-    # per-quarter mean of the known z values (no donor at all): <= nq scalars
-    cm = dict(vec.select(F.posexplode("z").alias("q", "zz")).filter(F.col("zz").isNotNull())
-              .groupBy("q").agg(F.avg("zz").alias("m")).collect())
-    colmean = F.array(*[F.lit(cm.get(i)).cast("double") for i in range(nq)])
+    # per-quarter mean of the known z values (cells without any donor): one
+    # row per calendar quarter, so the broadcast is bounded by the calendar
+    colmean = (vec.select(F.posexplode("z").alias("qpos", "zz")).filter(F.col("zz").isNotNull())
+               .groupBy("qpos").agg(F.avg("zz").alias("zmean")))
     out = (vec.join(fills, "uid", "left")
-           .select("uid", "mu", "sd", "_f", F.posexplode("yv").alias("qpos", "_yv")))
+           .select("uid", "mu", "sd", "_f", F.posexplode("yv").alias("qpos", "_yv"))
+           .join(F.broadcast(colmean), "qpos", "left"))
     filled = F.coalesce(F.col("_yv"),
-                        F.coalesce(F.col("_f")[F.col("qpos")], colmean[F.col("qpos")]) * F.col("sd")
+                        F.coalesce(F.col("_f")[F.col("qpos")], F.col("zmean")) * F.col("sd")
                         + F.col("mu"))
     return out.select(F.col("uid").alias(key),
                       F.last_day(F.add_months(start, F.col("qpos") * 3)).alias(ds),
