@@ -65,12 +65,23 @@ def broadcast_bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(m) if m.count() <= max_rows else m
 
 
-def hot_keys(df: DataFrame, key: str, fraction: float = 0.01, max_keys: int = 10_000,
+def sample_fraction(df: DataFrame, target_rows: int = 10_000_000, row_bytes: int = 64,
+                    cap: float = 0.01) -> float:
+    """Sampling fraction that reads about ``target_rows`` rows whatever the
+    size of ``df`` (from the optimizer's byte estimate), at most ``cap``."""
+    est_rows = max(1, estimated_bytes(df) // row_bytes)
+    return float(min(cap, max(1e-7, target_rows / est_rows)))
+
+
+def hot_keys(df: DataFrame, key: str, fraction: float | None = None, max_keys: int = 10_000,
              seed: int = 17) -> list:
     """Keys that alone would fill at least one average shuffle partition,
     estimated from a sample of the key column (detection only: every row
-    is still joined).  At most ``max_keys`` keys are returned."""
+    is still joined).  The sample size is bounded (``sample_fraction``)
+    however large the table; at most ``max_keys`` keys are returned."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if fraction is None:
+        fraction = sample_fraction(df.select(key))
     sample = df.select(key).sample(fraction=fraction, seed=seed)
     counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c")).first()[0] or 0
@@ -80,7 +91,7 @@ def hot_keys(df: DataFrame, key: str, fraction: float = 0.01, max_keys: int = 10
 
 
 def skew_split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                    max_hot: int = 10_000, fraction: float = 0.01) -> DataFrame:
+                    max_hot: int = 10_000, fraction: float | None = None) -> DataFrame:
     """Inner equi-join for a side too large to broadcast, safe when one key
     holds a large share of ``big``.
 
