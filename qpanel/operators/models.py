@@ -69,8 +69,11 @@ def composite_variability(panel: DataFrame, cutoff: str, min_points: int = 8, m:
     decomposition of each series' data at or before ``cutoff``; series
     with fewer than ``min_points`` such quarters are left out."""
     early = panel.filter(F.col(ds) <= F.to_date(F.lit(cutoff)))
-    n = early.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_points)
-    dec = seasonal_decompose(early.join(n.select(key), key, "left_semi"), m, key, ds, value)
+    # the point count is a window over the same series partitioning as the
+    # decomposition: no separate aggregate, shuffle or semi-join
+    early = (early.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+             .filter(F.col("_n") >= min_points).drop("_n"))
+    dec = seasonal_decompose(early, m, key, ds, value)
     return dec.groupBy(key).agg(
         (F.stddev_pop("trend") + F.stddev_pop("resid")).alias("variability"))
 
