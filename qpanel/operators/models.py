@@ -236,27 +236,36 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
     the first n_steps quarters of ``test`` (scaled with the training
     scaler) and forecasts the h - n_steps test quarters after them.
     Returns (forecasts, (intercept, coefs))."""
-    from qpanel.operators.features import scale_series, supervised_windows
-    sc, tr, _ = scale_series(train, None, value, key)
+    from qpanel.operators.features import supervised_windows
+    # K6 as windows over the series partitioning the supervised windows use
+    # too: no scaler table, no join
+    wp = Window.partitionBy(key)
+    sd = F.stddev_pop(value).over(wp)
+    tr = (train.withColumn("mu", F.avg(value).over(wp))
+          .withColumn("is_constant", sd < 1e-6)
+          .withColumn("sigma", F.when(sd == 0, 1.0).otherwise(sd))
+          .withColumn("z", (F.col(value) - F.col("mu")) / F.col("sigma")))
     win = supervised_windows(tr, n_steps, value="z", key=key, order=ds)
     b0, b = fit_window_regression(win, reg=reg)
+    stats = ["mu", "sigma", "is_constant"]
     if warm_start == "train_tail":
-        seed_rows, steps = tr.select(key, ds, "z"), h
+        seed_rows, steps = tr.select(key, ds, "z", *stats), h
     elif warm_start == "test_head":
         if test is None:
             raise ValueError("warm_start='test_head' needs the test rows")
+        sc = tr.groupBy(key).agg(*[F.first(c).alias(c) for c in stats])
         w = Window.partitionBy(key).orderBy(ds)
-        head = (test.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_steps)
-                .join(sc, key).select(key, ds, ((F.col(value) - F.col("mu")) / F.col("sigma")).alias("z")))
-        seed_rows, steps = head, h - n_steps
+        seed_rows = (test.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_steps)
+                     .join(sc, key)
+                     .select(key, ds, ((F.col(value) - F.col("mu")) / F.col("sigma")).alias("z"), *stats))
+        steps = h - n_steps
     else:
         raise ValueError(f"unknown warm_start {warm_start!r}")
     hist = (seed_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, "z"))).alias("_s"),
-                                       F.max(ds).alias("_last"))
+                                       F.max(ds).alias("_last"), *[F.first(c).alias(c) for c in stats])
             .filter(F.size("_s") >= n_steps))
     pred = recursive_linear_expr(F.col("_s")["z"], b0, b, steps)
-    out = (hist.select(key, "_last", F.posexplode(pred).alias("_i", "zhat"))
-           .join(sc, key)
+    out = (hist.select(key, "_last", *stats, F.posexplode(pred).alias("_i", "zhat"))
            .select(key, (F.col("_i") + 1).alias("step"),
                    F.last_day(F.add_months("_last", (F.col("_i") + 1) * 3)).alias(ds),
                    F.when(F.col("is_constant"), F.col("mu"))
