@@ -85,7 +85,14 @@ def ar_fit_report(spark, sf_dir):
     return MD.series_fit_report(f, test).groupBy("status").agg(F.count(F.lit(1)).alias("series"))
 
 
-register("ar_fit_report")(ar_fit_report)
+# Oracle: with >= 12 points the AR(0) candidate always has degrees of
+# freedom left, so a fit can only end as ok / too_short / no_test_data.
+register("ar_fit_report", f"""WITH panel AS ({panel_sql('nation')}),
+tr AS (SELECT unique_id, count(y) AS n FROM panel WHERE ds <= DATE '{P.TRAIN_END}' GROUP BY 1),
+te AS (SELECT DISTINCT unique_id FROM panel WHERE ds BETWEEN DATE '{P.TEST_START}' AND DATE '{P.TEST_END}'),
+st AS (SELECT CASE WHEN n < 12 THEN 'too_short' WHEN te.unique_id IS NULL THEN 'no_test_data'
+                   ELSE 'ok' END AS status FROM tr LEFT JOIN te USING (unique_id))
+SELECT status, count(*) AS series FROM st GROUP BY 1""")(ar_fit_report)
 
 
 def recursive_linear_scores(spark, sf_dir):
