@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 from qpanel.sources.tables import TABLES  # noqa: E402
-from tools.oracle_check import rows_of  # noqa: E402
+from tools.oracle_check import rows_of, type_mismatches  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 QUERIES = E.queries()
@@ -46,6 +46,7 @@ def test_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    assert type_mismatches(sdf.dtypes, cur.description) == []
     assert rows_of(sdf.columns, srows) == rows_of(dcols, drows)
 
 
