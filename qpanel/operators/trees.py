@@ -194,17 +194,28 @@ def random_candidates(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 
 def cv_rmse(frame: DataFrame, candidates: list[dict], years, label: str = "y_log",
-            seed: int = 42) -> DataFrame:
+            seed: int = 42, parallelism: int = 4) -> DataFrame:
     """M5: per candidate and fold, RMSE on the level scale (expm1), and
-    their mean.  Returns (candidate, fold, rmse) plus fold=NULL means."""
+    their mean.  Returns (candidate, fold, rmse) plus fold=NULL means.
+
+    Fits are independent distributed jobs; up to ``parallelism`` of them
+    are submitted at once from driver threads (like ``CrossValidator``'s
+    ``parallelism``), which fills the cluster when one fit cannot.
+    """
+    from concurrent.futures import ThreadPoolExecutor
     spark = frame.sparkSession
-    rows = []
-    for ci, params in enumerate(candidates):
-        for y, tr, va in expanding_folds(frame, years):
-            m = fit_gbt(tr, params, label, seed=seed)
-            p = predict_levels(m, va)
-            r = p.agg(F.sqrt(F.avg(F.pow(F.col("forecast") - F.expm1(label), 2)))).first()[0]
-            rows.append((ci, int(y), float(r) if r is not None else None))
+    folds = list(expanding_folds(frame, years))
+
+    def one(task):
+        ci, params, y, tr, va = task
+        m = fit_gbt(tr, params, label, seed=seed)
+        r = predict_levels(m, va).agg(
+            F.sqrt(F.avg(F.pow(F.col("forecast") - F.expm1(label), 2)))).first()[0]
+        return ci, int(y), float(r) if r is not None else None
+
+    tasks = [(ci, params, y, tr, va) for ci, params in enumerate(candidates) for y, tr, va in folds]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, tasks))
     res = spark.createDataFrame(rows, "candidate int, fold int, rmse double")
     return res.groupingSets([["candidate", "fold"], ["candidate"]], "candidate", "fold") \
         .agg(F.avg("rmse").alias("rmse"))
