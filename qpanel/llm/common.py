@@ -101,11 +101,34 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         a = b
 
 
+def slices(raw: np.ndarray, limit: int, again: int = 0) -> Iterator[tuple[int, int]]:
+    """(start, end) parts of one long text of about ``limit`` bytes, cut at
+    white space, which belongs to both parts.  Each part begins ``again`` words
+    before the end of the last one, for n-grams over the cut.  A word longer
+    than ``limit`` is not cut."""
+    lo, n = 0, len(raw)
+    while True:
+        hi = lo + limit
+        while hi < n and not IS_SPACE[raw[hi]]:
+            hi += 1
+        if hi >= n:
+            yield lo, n
+            return
+        yield lo, hi + 1
+        lo, left = hi, again
+        while left and lo > 0:
+            lo -= 1
+            while lo > 0 and not IS_SPACE[raw[lo]]:
+                lo -= 1
+            left -= 1
+        lo = max(lo, hi - limit // 2)  # goes on, however long the words are
+
+
 class Words:
     """Words of a piece: byte spans, 64-bit hashes, and ``first``: index of
     each document's first word (one more entry for the end)."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, block: int = 4 * CHUNK_BYTES):
         n = len(raw)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
@@ -117,11 +140,17 @@ class Words:
         self.starts = np.flatnonzero(~space & (before | edge[:n]))
         self.ends = np.flatnonzero(~space & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[TO_LOWER[raw]] * up[:n], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * down[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64))
+        out, i = [], 0
+        while i < len(self.starts):  # one block unless a text is very long
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + block, "right")))
+            lo, hi = self.starts[i], self.ends[j - 1]
+            up, down = powers(hi - lo + 1)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_BYTE[TO_LOWER[raw[lo:hi]]] * up[:hi - lo], out=total[1:])
+            a, b = self.starts[i:j] - lo, self.ends[i:j] - lo
+            out.append(mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)))
+            i = j
+        self.hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -129,3 +158,31 @@ class Words:
     def doc(self) -> np.ndarray:
         """Index of the document of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def grams(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all runs of ``n`` bytes that lie within one document,
+    and where each begins."""
+    if len(raw) < n:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    m = len(raw) - n + 1
+    h = np.full(m, 2166136261 + n, np.uint32)
+    for k in range(n):
+        h *= np.uint32(0x01000193)
+        h ^= raw[k:k + m]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(12)
+    ok = np.ones(m, bool)
+    for k in range(1, n):  # a run may not reach over the end of its document
+        cut = offsets[1:-1] - k
+        ok[cut[(cut >= 0) & (cut < m)]] = False
+    at = np.flatnonzero(ok)
+    return h[at], at
+
+
+def sums_by_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` (rows) over [first[i], first[i + 1])."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, dtype=np.float64, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]

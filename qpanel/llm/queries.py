@@ -1,12 +1,15 @@
 """Registry of the training-data queries and their DuckDB oracles."""
 from __future__ import annotations
 
-from qpanel.llm import exact_dedup, licenses, mixing
+from qpanel.llm import exact_dedup, language_id, licenses, mixing, packing, quality
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_poisson_mix": mixing.op8_poisson_mix,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
