@@ -1,12 +1,13 @@
 """Registry of the training-data queries and their DuckDB oracles."""
 from __future__ import annotations
 
-from qpanel.llm import exact_dedup, language_id, licenses, mixing, packing, quality
+from qpanel.llm import exact_dedup, language_id, licenses, mixing, packing, pii, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_pii": pii.op5_pii,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op10_quality": quality.op10_quality,
