@@ -1,7 +1,7 @@
 """Registry of the training-data queries and their DuckDB oracles."""
 from __future__ import annotations
 
-from qpanel.llm import exact_dedup, language_id, licenses, mixing, packing, pii, quality
+from qpanel.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, pii, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_pii": pii.op5_pii,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op10_quality": quality.op10_quality,
 }
