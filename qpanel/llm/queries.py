@@ -1,10 +1,11 @@
 """Registry of the training-data queries and their DuckDB oracles."""
 from __future__ import annotations
 
-from qpanel.llm import exact_dedup, jaccard_join, language_id, licenses, mixing, packing, pii, quality
+from qpanel.llm import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, pii, quality
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_language_model": language_model.op2_language_model,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_pii": pii.op5_pii,
