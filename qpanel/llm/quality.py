@@ -209,12 +209,14 @@ def score(docs: DataFrame, model: Model, keep: list[str], only_good: bool = Fals
     """``keep`` columns of every row with score and predicted; ``only_good``
     returns just the rows predicted 1, without those two columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    used = keep if "text" in keep else [*keep, "text"]
+    keep = [c for c in keep if only_good or c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             out = np.zeros(len(batch))
-            for a, _, raw, off in chunks(batch.column("_text"), PIECE):
+            for a, _, raw, off in chunks(batch.column("text"), PIECE):
                 for i, ids in enumerate(indicators(raw, off)):
                     out[a + i] = m.score(float(m.weights[ids].sum()))
             cols = [batch.column(c) for c in keep]
@@ -222,9 +224,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], only_good: bool = Fals
                 yield pa.record_batch(cols, keep).filter(pa.array(out >= 0.5))
             else:
                 yield pa.record_batch([*cols, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     kinds += [] if only_good else ["score double", "predicted int"]
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join(kinds))
+    return docs.select(*used).mapInArrow(run, ", ".join(kinds))
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:

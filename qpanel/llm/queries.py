@@ -1,7 +1,8 @@
 """Registry of the training-data queries and their DuckDB oracles."""
 from __future__ import annotations
 
-from qpanel.llm import exact_dedup, jaccard_join, language_id, language_model, licenses, mixing, packing, pii, quality
+from qpanel.llm import (
+    exact_dedup, fingerprints, jaccard_join, language_id, language_model, licenses, mixing, packing, pii, quality)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_license_scan": licenses.op6_license_scan,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_poisson_mix": mixing.op8_poisson_mix,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_quality": quality.op10_quality,
 }
 
