@@ -1,9 +1,11 @@
 """Model-based forecasters and decomposition.
 
 * decomposition and variability are window/aggregate plans (no Python);
-* the per-series seasonal AR and the block VAR are grouped maps
-  (``applyInPandas``): each Python call sees one series, or one block of
-  at most ``block_size`` series, never more;
+* the per-series seasonal AR maps over hash partitions sorted by series
+  (``plans.series_map``), the block VAR over one block of at most
+  ``block_size`` series at a time;
+* all forecasters count steps from one cutoff quarter, and return every
+  series with a status;
 * the global recursive linear model is fitted with ``pyspark.ml`` on the
   supervised windows of all series and forecast with one higher-order
   ``aggregate`` expression per series (no loop of jobs).
@@ -136,7 +138,7 @@ def _sar_forecast(y: np.ndarray, m: int, p: int, coef: np.ndarray, h: int) -> np
 AR_SCHEMA = T.StructType([
     T.StructField(S.UID, T.StringType()), T.StructField("step", T.IntegerType()),
     T.StructField("forecast", T.DoubleType()), T.StructField("order_p", T.IntegerType()),
-    T.StructField("status", T.StringType()), T.StructField("_last_qi", T.IntegerType())])
+    T.StructField("status", T.StringType())])
 
 
 def _quarter_end_of_index(qi):
@@ -144,18 +146,31 @@ def _quarter_end_of_index(qi):
     return F.last_day(F.make_date((qi / 4).cast("int"), (F.pmod(qi, F.lit(4)) + 1) * 3, F.lit(1)))
 
 
+def cutoff_index(train: DataFrame, cutoff: str | None, ds: str = S.DS) -> int | None:
+    """Quarter index that forecast steps count from: of ``cutoff``, or of the
+    last quarter any series has.  NULL for an empty table."""
+    end = train.agg(F.max(ds).alias("d")) if cutoff is None else \
+        train.sparkSession.range(1).select(F.to_date(F.lit(cutoff)).alias("d"))
+    return end.select(quarter_index("d")).first()[0]
+
+
 def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
                            min_points: int = 12, key: str = S.UID, ds: str = S.DS,
-                           value: str = S.Y) -> DataFrame:
+                           value: str = S.Y, cutoff: str | None = None) -> DataFrame:
     """one seasonal autoregression per series (lag-m differencing,
     AR(p <= max_p) by AICc), all series in parallel; each fit sees one
-    whole series (per-series map, many series per Python call).  Interior gaps are filled linearly on the quarter axis.
+    whole series (per-series map, many series per Python call).  Interior
+    gaps are filled linearly on the quarter axis.
+
+    Steps count from ``cutoff`` (default: the last quarter of the whole
+    table); a series that ends earlier is forecast across its missing
+    quarters first, so step k has the same date for every series.
     Every series returns h rows; short or failing series carry a NULL
-    forecast and their ``status`` (F6) instead of being dropped.
-    Output steps are counted from each series' own last quarter."""
+    forecast and their ``status`` (F6) instead of being dropped."""
+    end = cutoff_index(train, cutoff, ds)
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         uid = pdf[key].iloc[0]
-        last_qi = np.int32(pdf["_qi"].max())
         pdf = pdf.dropna(subset=[value]).sort_values("_qi")
         steps = np.arange(1, h + 1, dtype=np.int32)
         try:
@@ -165,21 +180,20 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
             full = np.arange(qi[0], qi[-1] + 1)
             y = np.interp(full, qi, pdf[value].to_numpy(dtype=float))
             p, coef = _fit_sar(y, m, max_p)
-            fc = _sar_forecast(y, m, p, coef, h)
+            fc = _sar_forecast(y, m, p, coef, int(end - qi[-1]) + h)[-h:]
             if not np.all(np.isfinite(fc)):
                 raise ValueError("failed")
             return pd.DataFrame({key: uid, "step": steps, "forecast": fc,
-                                 "order_p": np.int32(p), "status": "ok", "_last_qi": last_qi})
+                                 "order_p": np.int32(p), "status": "ok"})
         except Exception as e:  # noqa: BLE001 - reported per series
             st = str(e) if str(e) in ("too_short", "failed") else "failed"
             return pd.DataFrame({key: uid, "step": steps, "forecast": np.nan,
-                                 "order_p": None, "status": st,
-                                 "_last_qi": last_qi}).astype({"order_p": "Int32"})
-    base = train.select(key, quarter_index(ds).alias("_qi"), F.col(value).cast("double").alias(value))
+                                 "order_p": None, "status": st}).astype({"order_p": "Int32"})
+    base = train.select(key, quarter_index(ds).alias("_qi"), F.col(value).cast("double").alias(value)) \
+        .filter(F.col("_qi") <= F.lit(end))
     out = map_series(base, key, ["_qi"], fit, AR_SCHEMA)
-    return (out.withColumn(ds, _quarter_end_of_index(F.col("_last_qi") + F.col("step")))
-            .withColumn("forecast", F.when(~F.isnan("forecast"), F.col("forecast")))
-            .drop("_last_qi"))
+    return (out.withColumn(ds, _quarter_end_of_index(F.lit(end) + F.col("step")))
+            .withColumn("forecast", F.when(~F.isnan("forecast"), F.col("forecast"))))
 
 
 def series_fit_report(forecasts: DataFrame, test: DataFrame, key: str = S.UID) -> DataFrame:
@@ -206,7 +220,7 @@ def fit_window_regression(windows: DataFrame, x: str = "x", target: str = "targe
     return float(model.intercept), [float(c) for c in model.coefficients]
 
 
-def recursive_linear_expr(history: Column, intercept: float, coefs: list[float], h: int) -> Column:
+def recursive_linear_expr(history: Column, intercept: float, coefs: list[float], h: int | Column) -> Column:
     """The h recursive predictions of a linear AR model as one expression:
     ``aggregate(sequence(1, h), (window, out), step)`` — the window of the
     last n values slides by appending each prediction."""
@@ -220,12 +234,13 @@ def recursive_linear_expr(history: Column, intercept: float, coefs: list[float],
             pred = pred + F.lit(c) * acc["w"][i]
         return F.struct(F.concat(F.slice(acc["w"], 2, n - 1), F.array(pred)).alias("w"),
                         F.concat(acc["out"], F.array(pred)).alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(h)), init, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(h) if isinstance(h, int) else h), init, step, lambda acc: acc["out"])
 
 
 def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: str = S.UID,
                               ds: str = S.DS, value: str = S.Y, reg: float = 0.0,
-                              warm_start: str = "train_tail", test: DataFrame | None = None):
+                              warm_start: str = "train_tail", test: DataFrame | None = None,
+                              cutoff: str | None = None):
     """scale each series on its training data (K6), fit one linear
     model on all windows of n_steps scaled values -> next value, then
     forecast by feeding predictions back.  Constant series (K7) repeat
@@ -235,6 +250,13 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
     training quarters and forecasts h quarters; ``test_head`` starts from
     the first n_steps quarters of ``test`` (scaled with the training
     scaler) and forecasts the h - n_steps test quarters after them.
+
+    Steps count from ``cutoff`` (default: the last training quarter of the
+    whole table; n_steps later for ``test_head``); a series whose seed ends
+    earlier is first carried to it by its own predictions.  Every series of
+    ``train`` returns all its steps: ``status`` is ok, too_short (fewer than
+    n_steps seed values) or late_seed (the seed ends after the cutoff), the
+    latter two with a NULL forecast.
     Returns (forecasts, (intercept, coefs))."""
     from qpanel.operators.features import supervised_windows
     # K6 as windows over the series partitioning the supervised windows use
@@ -248,28 +270,34 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
     win = supervised_windows(tr, n_steps, value="z", key=key, order=ds)
     b0, b = fit_window_regression(win, reg=reg)
     stats = ["mu", "sigma", "is_constant"]
+    end = cutoff_index(train, cutoff, ds)
+    sc = tr.groupBy(key).agg(*[F.first(c).alias(c) for c in stats])
     if warm_start == "train_tail":
-        seed_rows, steps = tr.select(key, ds, "z", *stats), h
+        seed_rows, steps = tr.select(key, ds, "z"), h
     elif warm_start == "test_head":
         if test is None:
             raise ValueError("warm_start='test_head' needs the test rows")
-        sc = tr.groupBy(key).agg(*[F.first(c).alias(c) for c in stats])
         w = Window.partitionBy(key).orderBy(ds)
         seed_rows = (test.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_steps)
                      .join(sc, key)
-                     .select(key, ds, ((F.col(value) - F.col("mu")) / F.col("sigma")).alias("z"), *stats))
+                     .select(key, ds, ((F.col(value) - F.col("mu")) / F.col("sigma")).alias("z")))
         steps = h - n_steps
+        end = None if end is None else end + n_steps
     else:
         raise ValueError(f"unknown warm_start {warm_start!r}")
-    hist = (seed_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, "z"))).alias("_s"),
-                                       F.max(ds).alias("_last"), *[F.first(c).alias(c) for c in stats])
-            .filter(F.size("_s") >= n_steps))
-    pred = recursive_linear_expr(F.col("_s")["z"], b0, b, steps)
-    out = (hist.select(key, "_last", *stats, F.posexplode(pred).alias("_i", "zhat"))
-           .select(key, (F.col("_i") + 1).alias("step"),
-                   F.last_day(F.add_months("_last", (F.col("_i") + 1) * 3)).alias(ds),
-                   F.when(F.col("is_constant"), F.col("mu"))
-                   .otherwise(F.col("zhat") * F.col("sigma") + F.col("mu")).alias("forecast")))
+    seeds = seed_rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, "z"))).alias("_s"),
+                                       F.max(quarter_index(ds)).alias("_last"))
+    hist = sc.join(seeds, key, "left").withColumn("_gap", F.lit(end) - F.col("_last"))
+    hist = hist.withColumn("status", F.when(F.coalesce(F.size("_s"), F.lit(0)) < n_steps, "too_short")
+                           .when(F.col("_gap") < 0, "late_seed").otherwise("ok"))
+    pred = F.when(F.col("status") == "ok",
+                  recursive_linear_expr(F.col("_s")["z"], b0, b, F.greatest(F.col("_gap"), F.lit(0)) + steps))
+    out = (hist.select(key, "status", *stats, F.greatest("_gap", F.lit(0)).alias("_gap"), pred.alias("_pred"))
+           .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+           .withColumn("_z", F.try_element_at("_pred", F.col("_gap") + F.col("step")))
+           .select(key, "step", _quarter_end_of_index(F.lit(end) + F.col("step")).alias(ds),
+                   F.when(F.col("_z").isNull(), None).when(F.col("is_constant"), F.col("mu"))
+                   .otherwise(F.col("_z") * F.col("sigma") + F.col("mu")).alias("forecast"), "status"))
     return out, (b0, b)
 
 
@@ -285,30 +313,35 @@ def series_blocks(panel: DataFrame, size: int, key: str = S.UID) -> DataFrame:
 
 def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4,
                     ridge: float = 1.0, key: str = S.UID, ds: str = S.DS,
-                    value: str = S.Y) -> DataFrame:
+                    value: str = S.Y, cutoff: str | None = None) -> DataFrame:
     """per block, scale each series (K6), stack the block's series as
-    one multivariate series and fit a ridge VAR(lags) in NumPy; forecast
-    recursively h quarters and undo the scaling.  A Python call holds one
-    block: at most ``block_size`` series x quarters."""
+    one multivariate series up to ``cutoff`` (default: the last quarter of
+    the whole table; missing cells are interpolated, ends repeated) and fit a
+    ridge VAR(lags) in NumPy; forecast recursively h quarters from the cutoff
+    and undo the scaling.  A Python call holds one block: at most
+    ``block_size`` series x quarters.  Every series returns h rows with a
+    ``status``: too_short (a block of lags + 1 quarters or fewer cannot be
+    fitted, NULL forecast), filled_to_cutoff (the series ends earlier) or ok."""
     blocks = series_blocks(train, block_size, key)
+    end = cutoff_index(train, cutoff, ds)
     data = train.join(blocks, key).select("block", key, quarter_index(ds).alias("_qi"),
-                                          F.col(value).cast("double").alias("_y"))
+                                          F.col(value).cast("double").alias("_y")).filter(F.col("_qi") <= F.lit(end))
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("step", T.IntegerType()),
-                           T.StructField("forecast", T.DoubleType()),
-                           T.StructField("_last_qi", T.IntegerType())])
+                           T.StructField("forecast", T.DoubleType()), T.StructField("status", T.StringType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        last_qi = pdf.groupby(key)["_qi"].max()
-        mat = pdf.pivot_table(index="_qi", columns=key, values="_y", aggfunc="first")
-        mat = mat.reindex(np.arange(mat.index.min(), mat.index.max() + 1))
+        last_qi = pdf.dropna(subset=["_y"]).groupby(key)["_qi"].max()
+        mat = pdf.pivot_table(index="_qi", columns=key, values="_y", aggfunc="first", dropna=False)
+        mat = mat.reindex(np.arange(mat.index.min(), end + 1))
         mat = mat.interpolate(limit_direction="both").fillna(0.0)
         mu = mat.mean()
         sd = mat.std(ddof=0).replace(0.0, 1.0)
         z = ((mat - mu) / sd).to_numpy()
         t, k = z.shape
         steps = np.arange(1, h + 1, dtype=np.int32)
+        cols = list(mat.columns)
         if t <= lags + 1:
-            fc = np.tile(z[-1], (h, 1))
+            lev, status = np.full((h, k), np.nan), ["too_short"] * k
         else:
             X = np.hstack([z[lags - j - 1:t - j - 1] for j in range(lags)])
             X = np.hstack([np.ones((X.shape[0], 1)), X])
@@ -317,18 +350,13 @@ def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4
             pen[0, 0] = 0.0
             W = np.linalg.solve(X.T @ X + pen, X.T @ Y)
             hist = list(z[-lags:])
-            fc = []
             for _ in range(h):
                 xv = np.concatenate([[1.0]] + [hist[-j - 1] for j in range(lags)])
-                nxt = xv @ W
-                fc.append(nxt)
-                hist.append(nxt)
-            fc = np.array(fc)
-        lev = fc * sd.to_numpy() + mu.to_numpy()
-        cols = list(mat.columns)
-        return pd.DataFrame({key: np.repeat(cols, h), "step": np.tile(steps, len(cols)),
-                             "forecast": lev.T.reshape(-1),
-                             "_last_qi": np.repeat(last_qi.reindex(cols).to_numpy(), h).astype(np.int32)})
+                hist.append(xv @ W)
+            lev = np.array(hist[lags:]) * sd.to_numpy() + mu.to_numpy()
+            status = ["ok" if last_qi.get(c, -1) == end else "filled_to_cutoff" for c in cols]
+        return pd.DataFrame({key: np.repeat(cols, h), "step": np.tile(steps, k),
+                             "forecast": lev.T.reshape(-1), "status": np.repeat(status, h)})
     out = data.groupBy("block").applyInPandas(fit, schema)
-    return (out.withColumn(ds, _quarter_end_of_index(F.col("_last_qi") + F.col("step")))
-            .drop("_last_qi"))
+    return (out.withColumn(ds, _quarter_end_of_index(F.lit(end) + F.col("step")))
+            .withColumn("forecast", F.when(~F.isnan("forecast"), F.col("forecast"))))

@@ -7,7 +7,7 @@
 * the recursive forecast keeps a bounded state per series (its last
   ``STATE`` values as an array), so every step is a narrow map plus a
   model transform: no window over a growing history and no shuffle.  The
-  state is checkpointed to the shared checkpoint folder each step.
+  state is checkpointed to the shared checkpoint folder every four steps.
 * tuning loops on the driver over distributed fits; folds are by time,
   training strictly before the validation year (Q9).
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qpanel import schema as S
+from qpanel.functions.dates import quarter_index
 from qpanel.functions.numeric import safe_div
 from qpanel.plans.ordered import cut_lineage
 
@@ -91,30 +92,45 @@ def predict_levels(model, frame: DataFrame, out: str = "forecast") -> DataFrame:
 
 
 def recursive_forecast(model, history: DataFrame, h: int, value: str = "y_log",
-                       key: str = S.UID, ds: str = S.DS, checkpoint_every: int = 1) -> DataFrame:
-    """predict a quarter, feed it back, next quarter; h steps.
-
-    State per series: the last STATE log values (array) and the last date.
-    History holds only training data and the model's own predictions (Q10).
+                       key: str = S.UID, ds: str = S.DS, checkpoint_every: int = 4,
+                       cutoff: str | None = None) -> DataFrame:
+    """predict a quarter, feed it back, next quarter; h steps from
+    ``cutoff`` (default: the last quarter of the whole history).
+
+    State per series: its values as an array (a calendar long at most; the
+    last STATE are kept) and the last features, which fill a missing one as
+    in training (forward, then 0).  A series that ends before the cutoff has
+    its last value repeated up to it (P19) and the ``status``
+    filled_to_cutoff, others ok.  History holds only training data and the
+    model's own predictions (Q10).
     """
-    st = (history.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, value))).alias("_s"),
-                                   F.max(ds).alias("_last"))
-          .select(key, "_last", F.slice(F.col("_s")[value], -STATE, STATE).alias("_hist")))
+    from qpanel.operators.models import _quarter_end_of_index, cutoff_index
+    end = cutoff_index(history, cutoff, ds)
+    upto = history.filter(quarter_index(ds) <= F.lit(end))
+    st = (upto.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(ds, value))).alias("_s"),
+                                F.max(quarter_index(ds)).alias("_last"))
+          .withColumn("_gap", F.lit(end) - F.col("_last"))
+          .select(key, F.when(F.col("_gap") > 0, "filled_to_cutoff").otherwise("ok").alias("status"),
+                  F.concat(F.col("_s")[value], F.array_repeat(F.element_at(F.col("_s")[value], -1), F.col("_gap"))).alias("_hist")))
+    # features of the last known quarter, to fill forward from
+    now = _lag_features(lambda k: F.try_element_at("_hist", F.lit(-k - 1)), F.quarter(_quarter_end_of_index(F.lit(end))))
+    st = st.select(key, "status", F.slice("_hist", F.greatest(F.lit(1), F.size("_hist") - STATE + 1), F.lit(STATE)).alias("_hist"),
+                   *[c.alias(f"_old_{n}") for n, c in now.items()])
     outs = None
     for step in range(1, h + 1):
-        nxt = F.last_day(F.add_months("_last", 3))
+        nxt = _quarter_end_of_index(F.lit(end + step) if end is not None else F.lit(None).cast("int"))
         feats = _lag_features(lambda k: F.try_element_at("_hist", F.lit(-k)), F.quarter(nxt))
-        fr = st.select(key, "_last", "_hist", nxt.alias(ds),
-                       *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in feats.items()])
+        fr = st.select(key, "status", "_hist", nxt.alias(ds),
+                       *[F.coalesce(c, F.col(f"_old_{n}"), F.lit(0.0)).alias(n) for n, c in feats.items()])
         pred = model.transform(assembler().transform(fr)).drop("features")
-        st = pred.select(key, F.col(ds).alias("_last"),
-                         F.slice(F.concat("_hist", F.array("prediction")), -STATE, STATE).alias("_hist"),
-                         F.lit(step).alias("step"), F.col("prediction"))
+        st = pred.select(key, "status", ds, F.slice(F.concat(F.slice("_hist", F.greatest(F.lit(1), F.size("_hist") - STATE + 2), F.lit(STATE)),
+                                                             F.array("prediction")), 1, STATE).alias("_hist"),
+                         *[F.col(n).alias(f"_old_{n}") for n in FEATURES], F.lit(step).alias("step"), F.col("prediction"))
         if checkpoint_every and step % checkpoint_every == 0:
             st = cut_lineage(st)
-        o = st.select(key, F.col("_last").alias(ds), "step", F.expm1("prediction").alias("forecast"))
+        o = st.select(key, ds, "step", F.expm1("prediction").alias("forecast"), "status")
         outs = o if outs is None else outs.unionByName(o)
-        st = st.drop("step", "prediction")
+        st = st.drop("step", "prediction", ds)
     return outs
 
 

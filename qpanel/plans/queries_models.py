@@ -71,7 +71,7 @@ def _score(f, test, model):
 def ar_forecast_scores(spark, sf_dir):
     """per-series seasonal AR (AICc order), scored per horizon."""
     train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
-    f = MD.forecast_ar_per_series(train, H)
+    f = MD.forecast_ar_per_series(train, H, cutoff=P.TRAIN_END)
     return _score(f, test, "arima")
 
 
@@ -81,7 +81,7 @@ register("ar_forecast_scores")(ar_forecast_scores)
 def ar_fit_report(spark, sf_dir):
     """fit status of every series of the fine panel (gappy, short)."""
     train, test = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
-    f = MD.forecast_ar_per_series(train, H)
+    f = MD.forecast_ar_per_series(train, H, cutoff=P.TRAIN_END)
     return MD.series_fit_report(f, test).groupBy("status").agg(F.count(F.lit(1)).alias("series"))
 
 
@@ -98,7 +98,7 @@ SELECT status, count(*) AS series FROM st GROUP BY 1""")(ar_fit_report)
 def recursive_linear_scores(spark, sf_dir):
     """one linear model on all scaled windows of 4, fed back 8 times."""
     train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
-    f, _ = MD.recursive_linear_forecast(train, H, n_steps=4)
+    f, _ = MD.recursive_linear_forecast(train, H, n_steps=4, cutoff=P.TRAIN_END)
     return _score(f, test, "linear_recursive")
 
 
@@ -108,7 +108,7 @@ register("recursive_linear_scores")(recursive_linear_scores)
 def block_var_scores(spark, sf_dir):
     """F14 + K8: ridge VAR per block of 8 series, scored per horizon."""
     train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
-    f = MD.forecast_blocks(train, H, block_size=8)
+    f = MD.forecast_blocks(train, H, block_size=8, cutoff=P.TRAIN_END)
     return _score(f, test, "block_var_8")
 
 
@@ -119,8 +119,70 @@ def recursive_linear_test_head_scores(spark, sf_dir):
     """F13 with the test-head warm start (Q12): the first 4 test quarters
     seed the recursion, the next 4 are forecast and scored."""
     train, test = P.split_train_test(P.shared(P.coarse_panel(spark, sf_dir)))
-    f, _ = MD.recursive_linear_forecast(train, H, n_steps=4, warm_start="test_head", test=test)
+    f, _ = MD.recursive_linear_forecast(train, H, n_steps=4, warm_start="test_head", test=test, cutoff=P.TRAIN_END)
     return _score(f, test, "linear_recursive_test_head")
 
 
 register("recursive_linear_test_head_scores")(recursive_linear_test_head_scores)
+
+
+# ---------------------------------------------------------------------------
+# Which forecasts there are: every series of the gappy fine panel, every step
+# counted from the cutoff, and a status for those without (or with a filled
+# start).  The values are the models' own; rows, dates and statuses are not.
+
+def _grid(f):
+    return f.select(S.UID, F.col("step").cast("int").alias("step"), S.DS, "status",
+                    F.col("forecast").isNotNull().alias("has_forecast"))
+
+
+def _grid_sql(status: str, steps: int = H, shift: int = 0) -> str:
+    return f"""WITH panel AS ({panel_sql('nation')}),
+tr AS (SELECT unique_id, count(y) AS n, max(ds) AS last FROM panel WHERE ds <= DATE '{P.TRAIN_END}' GROUP BY 1),
+te0 AS (SELECT unique_id, ds, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS k FROM panel
+        WHERE ds BETWEEN DATE '{P.TEST_START}' AND DATE '{P.TEST_END}'),
+te AS (SELECT unique_id, count(*) AS seeds, max(ds) AS seed_end FROM te0 WHERE k <= 4 GROUP BY 1),
+st AS (SELECT tr.unique_id, {status} AS status FROM tr LEFT JOIN te USING (unique_id))
+SELECT unique_id, CAST(step AS INTEGER) AS step,
+       CAST(last_day(DATE '{P.TRAIN_END}' + to_months(CAST(3 * (step + {shift}) AS INTEGER))) AS DATE) AS ds, status,
+       status IN ('ok', 'filled_to_cutoff') AS has_forecast
+FROM st, range(1, {steps + 1}) AS t(step)"""
+
+
+def ar_forecast_grid(spark, sf_dir):
+    """every series x step x date from the cutoff, with its status."""
+    train, _ = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
+    return _grid(MD.forecast_ar_per_series(train, H, cutoff=P.TRAIN_END))
+
+
+register("ar_forecast_grid", _grid_sql("CASE WHEN n < 12 THEN 'too_short' ELSE 'ok' END"))(ar_forecast_grid)
+
+
+def linear_forecast_grid(spark, sf_dir):
+    """every series x step x date from the cutoff, with its status."""
+    train, _ = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
+    return _grid(MD.recursive_linear_forecast(train, H, n_steps=4, cutoff=P.TRAIN_END)[0])
+
+
+register("linear_forecast_grid", _grid_sql("CASE WHEN n < 4 THEN 'too_short' ELSE 'ok' END"))(linear_forecast_grid)
+
+
+def linear_test_head_grid(spark, sf_dir):
+    """F13 warm-started from the test head: series x step x date x status."""
+    train, test = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
+    return _grid(MD.recursive_linear_forecast(train, H, n_steps=4, warm_start="test_head", test=test, cutoff=P.TRAIN_END)[0])
+
+
+register("linear_test_head_grid", _grid_sql(
+    "CASE WHEN coalesce(seeds, 0) < 4 THEN 'too_short' WHEN seed_end > DATE '2000-12-31' THEN 'late_seed' ELSE 'ok' END",
+    H - 4, 4))(linear_test_head_grid)
+
+
+def block_var_grid(spark, sf_dir):
+    """F14 + K8: every series x step x date from the cutoff, with its status."""
+    train, _ = P.split_train_test(P.shared(P.fine_panel(spark, sf_dir)))
+    return _grid(MD.forecast_blocks(train, H, block_size=8, cutoff=P.TRAIN_END))
+
+
+register("block_var_grid", _grid_sql(
+    f"CASE WHEN last = DATE '{P.TRAIN_END}' THEN 'ok' ELSE 'filled_to_cutoff' END"))(block_var_grid)

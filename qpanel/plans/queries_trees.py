@@ -11,6 +11,7 @@ from qpanel.operators import metrics as M
 from qpanel.operators import trees as TR
 from qpanel.plans import panels as P
 from qpanel.plans.catalog import register
+from qpanel.plans.queries_models import _grid_sql
 
 PARAMS = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
 
@@ -41,7 +42,7 @@ def gbt_recursive_scores(spark, sf_dir):
     fit = fr.filter(F.year(S.DS) <= 1999).withColumn("is_valid", F.year(S.DS) == 1999)
     model = TR.fit_gbt(fit, PARAMS, valid_flag="is_valid")
     hist = prep.filter(F.year(S.DS) <= 1999)
-    f = TR.recursive_forecast(model, hist, 8)
+    f = TR.recursive_forecast(model, hist, 8, cutoff=P.TRAIN_END)
     test = prep.filter(F.year(S.DS).between(2000, 2001)).select(S.UID, S.DS, F.col("exposure").alias(S.Y))
     j = fc.join_actuals(f, test).withColumn("model", F.lit("gbt_recursive")) \
         .withColumnRenamed("step", "horizon")
@@ -51,6 +52,20 @@ def gbt_recursive_scores(spark, sf_dir):
 register("gbt_recursive_scores")(gbt_recursive_scores)
 
 
+def gbt_forecast_grid(spark, sf_dir):
+    """every series of the gappy fine panel x step x date from the
+    cutoff, with its status (a series that ends earlier is filled up to it)."""
+    prep = FE.prepare_log(P.shared(P.fine_panel(spark, sf_dir)))
+    hist = prep.filter(F.year(S.DS) <= 1999)
+    model = TR.fit_gbt(TR.model_frame(hist), PARAMS | {"maxIter": 2})
+    f = TR.recursive_forecast(model, hist, 8, cutoff=P.TRAIN_END)
+    return f.select(S.UID, "step", S.DS, "status", F.col("forecast").isNotNull().alias("has_forecast"))
+
+
+register("gbt_forecast_grid", _grid_sql(
+    f"CASE WHEN last = DATE '{P.TRAIN_END}' THEN 'ok' ELSE 'filled_to_cutoff' END"))(gbt_forecast_grid)
+
+
 def gbt_tuning(spark, sf_dir):
     """M1 + M3 + M5 + M6: seeded random search (3 draws from the reference's
     space mapped onto GBT parameters), folds
