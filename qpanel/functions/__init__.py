@@ -4,5 +4,5 @@ from qpanel.functions.dates import (  # noqa: F401
     quarter_index, seconds_to_hms,
 )
 from qpanel.functions.numeric import (  # noqa: F401
-    finite_or_null, clip, safe_div, nonzero_to_null,
+    finite_or_null, clip, safe_div,
 )

@@ -30,8 +30,3 @@ def clip(c, lower=None, upper=None) -> Column:
 def safe_div(num, den) -> Column:
     """num / den, NULL when den is 0 or NULL (ANSI-safe)."""
     return F.try_divide(_col(num), _col(den))
-
-
-def nonzero_to_null(c) -> Column:
-    """0 -> NULL (treat zero as missing)."""
-    return F.nullif(_col(c), F.lit(0.0))

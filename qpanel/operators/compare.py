@@ -197,6 +197,13 @@ def _path_model(path: Column, stem: Column) -> Column:
                   F.split(stem, "_")[0]))
 
 
+def _csv_cells(line: Column) -> Column:
+    """The trimmed cells of a CSV line; a comma between quotes belongs to its
+    cell."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
+
+
 def collect_runtimes(spark: SparkSession, root: str) -> DataFrame:
     """Every timing CSV under ``root`` in one (model, stage,
     total_time_s, avg_time_per_row_s, n_candidates) table.
@@ -211,6 +218,11 @@ def collect_runtimes(spark: SparkSession, root: str) -> DataFrame:
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
            .text(root, wholetext=True)
            .select(F.col("_metadata.file_path").alias("path"), "value"))
+    return parse_runtimes(raw)
+
+
+def parse_runtimes(raw: DataFrame) -> DataFrame:
+    """The rows of timing files given as (path, value = the file's text)."""
     stem = F.lower(F.regexp_extract("path", r"([^/]+)\.csv$", 1))
     files = (raw.withColumn("stem", stem)
              .filter(F.col("stem").rlike("runtime|timing|summary"))
@@ -218,12 +230,13 @@ def collect_runtimes(spark: SparkSession, root: str) -> DataFrame:
              .filter(F.col("path_model").isNotNull())
              .withColumn("lines", F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"),
                                            lambda s: F.trim(s) != ""))
-             .withColumn("header", F.transform(F.split(F.col("lines")[0], ","), lambda c: F.trim(c))))
+             .withColumn("header", _csv_cells(F.col("lines")[0])))
     rows = (files.select("path", "stem", "path_model", "header",
                          F.posexplode(F.slice("lines", 2, 1 << 30)).alias("pos", "line"))
-            .filter(F.col("line") != F.array_join("header", ","))
+            .withColumn("row", _csv_cells(F.col("line")))
+            .filter(F.col("row") != F.col("header"))
             .withColumn("cells", F.map_from_arrays(
-                "header", F.slice(F.concat(F.transform(F.split("line", ","), lambda c: F.trim(c)),
+                "header", F.slice(F.concat("row",
                                            F.array_repeat(F.lit(None).cast("string"), F.size("header"))),
                                   1, F.size("header")))))
     cell = lambda k: F.col("cells")[k]

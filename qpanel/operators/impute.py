@@ -37,11 +37,17 @@ def densify(panel: DataFrame, keys=(S.UID,), start=None, end=None,
     aggregate per series gathers its known (quarter -> value) pairs (at
     most one per calendar quarter, so bounded) and a generator emits the
     full calendar: one shuffle, no join, no cross join.
+
+    The calendar comes from the data; a stated ``start`` or ``end`` may widen
+    it, but one that would leave known cells out raises ``ValueError``.
     """
     keys = list(keys)
-    if start is None or end is None:
-        s0, e0 = calendar_bounds(panel, ds)
-        start, end = start or s0, end or e0
+    s0, e0 = calendar_bounds(panel, ds)
+    if s0 is not None and (start is not None and str(start) > str(s0) or end is not None and str(end) < str(e0)):
+        raise ValueError(f"known cells from {s0} to {e0} lie outside {start} to {end}")
+    start, end = start or s0, end or e0
+    if start is None:
+        raise ValueError("an empty panel has no calendar: state start and end")
     start_c = F.to_date(F.lit(str(start)))
     n = (int(str(end)[:4]) * 4 + (int(str(end)[5:7]) - 1) // 3) - \
         (int(str(start)[:4]) * 4 + (int(str(start)[5:7]) - 1) // 3) + 1

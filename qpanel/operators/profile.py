@@ -206,8 +206,8 @@ def histogram(df: DataFrame, value: str = S.Y, bins: int = 50,
     if lo is None:
         return d.sparkSession.createDataFrame([], "bin int, lower double, upper double, n long")
     width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0) * bins),
-                F.lit(bins - 1)).cast("int")
+    b = F.greatest(F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0) * bins),
+                           F.lit(bins - 1)), F.lit(0)).cast("int")
     return (d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
             .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"), "n"))

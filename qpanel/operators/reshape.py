@@ -1,7 +1,7 @@
 """Wide <-> long reshaping and composite ids."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qpanel import schema as S
@@ -27,10 +27,10 @@ def wide_to_long(df: DataFrame, id_cols, value_cols, keep_nulls: bool = True,
 
 def long_to_wide(df: DataFrame, id_cols, quarters: list[str],
                  ds: str = S.DS, value: str = S.Y) -> DataFrame:
-    """Inverse of R1: one column per 'YYYY-Qn' label from a fixed list.
+    """Inverse of R1: one column per 'YYYY-Qn' label of the list.
 
-    The list is a parameter (a calendar), so no job discovers values, and
-    the pivot is a single aggregate of conditional maxima (one value per
+    ``calendar_labels`` gives the list that holds every cell; cells outside
+    the list have no column.  The pivot is a single aggregate of conditional maxima (one value per
     cell) keyed by the ids: one shuffle, deterministic.
     """
     d = df.withColumn("_q", quarter_label(ds))
@@ -38,6 +38,13 @@ def long_to_wide(df: DataFrame, id_cols, quarters: list[str],
                                      for q in quarters])
 
 
+def calendar_labels(df: DataFrame, ds: str = S.DS) -> list[str]:
+    """Labels from the first to the last quarter of the data (one scalar
+    aggregate)."""
+    lo, hi = df.select(quarter_label(F.min(ds)), quarter_label(F.max(ds))).first()
+    return quarter_labels(lo, hi) if lo else []
+
+
 def quarter_labels(start: str, end: str) -> list[str]:
     """Calendar of 'YYYY-Qn' labels between two labels (inclusive)."""
     y0, q0 = int(start[:4]), int(start[-1])
@@ -57,7 +64,7 @@ def make_uid(df: DataFrame, keys=S.KEYS, sep: str = "_", out: str = S.UID) -> Da
 
 def split_uid(df: DataFrame, keys=S.KEYS, sep: str = "_", col: str = S.UID) -> DataFrame:
     """Key columns back from the composite id (NULL if short)."""
-    parts = F.split(F.col(col), sep)
+    parts = F.split(F.col(col), rf"\Q{sep}\E")
     return df.select("*", *[F.try_element_at(parts, F.lit(i + 1)).alias(k)
                             for i, k in enumerate(keys)])
 
@@ -98,15 +105,3 @@ def series_arrays(df: DataFrame, key: str = S.UID, ds: str = S.DS,
             .agg(F.sort_array(F.collect_list(F.struct(ds, value))).alias("_s"))
             .select(key, F.col("_s")[ds].alias("dates"),
                     F.col("_s")[value].alias("values")))
-
-
-def metric_wide(df: DataFrame, metric: str, models: list[str],
-                step: str = "horizon") -> DataFrame:
-    """Metric x horizon, one column per model (fixed list)."""
-    return df.groupBy(step).pivot("model", list(models)).agg(F.avg(metric))
-
-
-def row_positions(df: DataFrame, key: str = S.UID, ds: str = S.DS) -> DataFrame:
-    """Position of each row inside its series (1-based), a real key
-    replacing the reference's row numbers (Q11)."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(ds)))

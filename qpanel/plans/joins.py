@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of ``df`` (no job is run).
 
-    For a file scan this is the on-disk size scaled to the selected
-    columns, a sound upper bound for anything derived from it by filters,
-    projections and key lookups.
+    For a file scan this is the compressed on-disk size scaled to the
+    selected columns: an estimate, not a bound, so callers compare it with
+    the session's broadcast threshold, which leaves room for unpacking.
     """
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
@@ -27,28 +27,6 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(v)
 
 
-def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None,
-                       max_bytes: int | None = None) -> DataFrame:
-    """Broadcast hint only when the side is proven small.
-
-    ``probe`` is the base scan ``df`` was derived from (its estimate bounds
-    ``df``); without it ``df``'s own estimate is used.  Above the limit the
-    plain DataFrame is returned: Catalyst plans a sort-merge join, and AQE
-    may still switch to a broadcast once the real shuffle size is known.
-    """
-    limit = broadcast_limit(df) if max_bytes is None else max_bytes
-    if limit < 0:
-        return df
-    size = estimated_bytes(probe if probe is not None else df)
-    return F.broadcast(df) if size <= limit else df
-
-
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded job:
-    ``limit(max_rows + 1).count()`` stops reading past the bound)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def fixed_small(df: DataFrame) -> DataFrame:
     """Broadcast a side whose size is fixed by construction (region,
     nation, a calendar of quarters, a horizon or fold table)."""
@@ -65,61 +43,15 @@ def broadcast_bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(m) if m.count() <= max_rows else m
 
 
-def sample_fraction(df: DataFrame, target_rows: int = 10_000_000, row_bytes: int = 64,
-                    cap: float = 0.01) -> float:
-    """Sampling fraction that reads about ``target_rows`` rows whatever the
-    size of ``df`` (from the optimizer's byte estimate), at most ``cap``."""
-    est_rows = max(1, estimated_bytes(df) // row_bytes)
-    return float(min(cap, max(1e-7, target_rows / est_rows)))
-
-
-def hot_keys(df: DataFrame, key: str, fraction: float | None = None, max_keys: int = 10_000,
-             seed: int = 17) -> list:
-    """Keys that alone would fill at least one average shuffle partition,
-    estimated from a sample of the key column (detection only: every row
-    is still joined).  The sample size is bounded (``sample_fraction``)
-    however large the table; at most ``max_keys`` keys are returned."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if fraction is None:
-        fraction = sample_fraction(df.select(key))
-    sample = df.select(key).sample(fraction=fraction, seed=seed)
-    counts = sample.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    total = counts.agg(F.sum("_c")).first()[0] or 0
-    threshold = max(10, total / max(parts, 1))
-    top = counts.orderBy(F.desc("_c")).limit(max_keys).collect()
-    return [r[key] for r in top if r["_c"] >= threshold]
-
-
-def skew_split_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
-                    max_hot: int = 10_000, fraction: float | None = None) -> DataFrame:
-    """Inner equi-join for a side too large to broadcast, safe when one key
-    holds a large share of ``big``.
-
-    Hot keys (sampled) are joined through a broadcast of ``small``'s rows
-    for those keys (at most ``max_hot`` keys, so the broadcast is bounded);
-    all other keys go through the usual shuffled join.  The union is the
-    same result as the plain join.  ``small`` must be unique on its key for
-    the broadcast part to stay bounded.
-    """
-    hot = hot_keys(big, big_key, fraction, max_hot)
-    if not hot:
-        return big.join(small, big[big_key] == small[small_key])
-    is_hot = F.col(big_key).isin(hot)
-    cold = big.filter(~is_hot).join(small.filter(~F.col(small_key).isin(hot)),
-                                    F.col(big_key) == F.col(small_key))
-    hot_small = F.broadcast(small.filter(F.col(small_key).isin(hot)))
-    hotj = big.filter(is_hot).join(hot_small, F.col(big_key) == F.col(small_key))
-    return cold.unionByName(hotj)
-
-
 def lookup_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                 probe: DataFrame | None = None) -> DataFrame:
     """Join a large table to a key -> attributes table (unique on its key).
 
     Broadcast when the optimizer's estimate of ``probe`` (the small side's
-    base scan, an upper bound) is under the session threshold; otherwise a
-    shuffled join with hot keys split off (``skew_split_join``)."""
+    base scan) is under the session threshold; otherwise a sort-merge join
+    with nothing between it and its two shuffles, so that adaptive execution
+    can split a hot key's partition by the sizes it has measured (no sample
+    of the input is taken, and no row is read twice)."""
     limit = broadcast_limit(small)
-    if 0 <= limit and estimated_bytes(probe if probe is not None else small) <= limit:
-        return big.join(F.broadcast(small), F.col(big_key) == F.col(small_key))
-    return skew_split_join(big, small, big_key, small_key)
+    side = F.broadcast(small) if 0 <= limit and estimated_bytes(probe if probe is not None else small) <= limit else small
+    return big.join(side, F.col(big_key) == F.col(small_key))

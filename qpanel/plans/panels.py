@@ -9,17 +9,14 @@
 * exposure = sum(l_extendedprice)
 
 Plan shape: lineitem and orders are the only large inputs; they meet in
-one shuffled join on the order key, in which order keys that alone would
-fill a partition (sampled) are split off and joined through a bounded
-broadcast (``plans.joins.skew_split_join``); AQE's skew handling remains a
-second line of defence.
-Supplier and customer are first reduced to key -> name maps.  Every
-lookup (orders -> customer map, lineitem -> orders, lineitem -> supplier
-map) is broadcast only when the optimizer's size estimate of the lookup
-side's base scan (an upper bound) is under the session's broadcast
-threshold; otherwise it is a shuffled join with hot keys split off.  The final
-aggregate runs partial (map-side) before its shuffle, so a hot
-(rep, cp, basis, quarter) group never reaches one task as raw rows.
+one join on the order key.  Supplier and customer are first reduced to
+key -> name maps.  Every lookup (orders -> customer map, lineitem ->
+orders, lineitem -> supplier map) is broadcast only when the optimizer's
+size estimate of the lookup side's base scan is under the session's
+broadcast threshold; otherwise it is a shuffled join, in which adaptive
+execution splits the partition of a hot key.  The final aggregate runs
+partial (map-side) before its shuffle, so a hot (rep, cp, basis, quarter)
+group never reaches one task as raw rows.
 """
 from __future__ import annotations
 
@@ -98,8 +95,7 @@ def exposures(spark: SparkSession, sf_dir: str, level: str = "region",
     smap = supplier_geo(spark, sf_dir, level)
     cus = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     sup = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
-    # each lookup is broadcast when its base scan is proven small, else a
-    # shuffled join with hot keys split off and broadcast (bounded)
+    # each lookup is broadcast when its base scan is small, else a shuffled join
     orders_cp = lookup_join(orders, cmap, "o_custkey", "c_custkey", probe=cus)
     lines = lookup_join(li, orders_cp, "l_orderkey", "o_orderkey", probe=orders)
     lines = lookup_join(lines, smap, "l_suppkey", "s_suppkey", probe=sup)
@@ -135,10 +131,6 @@ def fine_panel(spark, sf_dir) -> DataFrame:
     return long_panel(spark, sf_dir, "nation")
 
 
-# Calendar of the test mapping (the wide table's period columns).
-CAL_START = "1995-03-31"
-CAL_END = "2001-12-31"
-
 # Train / test split of the test mapping: 1995-1999 train, 2000-2001 test.
 TRAIN_END = "1999-12-31"
 TEST_START = "2000-01-01"

@@ -14,9 +14,8 @@ _W = "PARTITION BY unique_id ORDER BY ds"
 
 
 def _dense(spark, sf_dir):
-    # the calendar is the table's fixed period range: no bounds pass, and the
-    # panel has a single consumer (one pass over the raw tables)
-    return I.densify(P.fine_panel(spark, sf_dir), start=P.CAL_START, end=P.CAL_END)
+    # one pass over the raw tables: bounds and calendar come from the shared panel
+    return I.densify(P.shared(P.fine_panel(spark, sf_dir)))
 
 
 def dense_panel(spark, sf_dir):

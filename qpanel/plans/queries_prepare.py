@@ -10,7 +10,7 @@ from qpanel.plans import panels as P
 from qpanel.plans.catalog import register
 from qpanel.plans.sql import panel_sql
 
-# Calendar of the test mapping: 28 quarters.
+# Calendar of the driver's tables, for the oracles (Spark takes it from the data).
 QUARTERS = R.quarter_labels("1995-Q1", "2001-Q4")
 ID_COLS = ["Reporting country", "Counterparty country", "L_REP_CTY",
            "L_CP_COUNTRY", "CBS_BASIS", "CBS_BANK_TYPE"]
@@ -33,9 +33,11 @@ def claims_long(spark, sf_dir):
 
 def claims_wide(spark, sf_dir):
     """The raw wide table: one column per quarter (R3 over periods)."""
-    w = R.long_to_wide(claims_long(spark, sf_dir), ID_COLS, QUARTERS)
+    long = P.shared(claims_long(spark, sf_dir))
+    quarters = R.calendar_labels(long)
+    w = R.long_to_wide(long, ID_COLS, quarters)
     return w.select(*[F.col(f"`{c}`") for c in ID_COLS],
-                    *[F.round(F.col(f"`{q}`"), 4).alias(q) for q in QUARTERS])
+                    *[F.round(F.col(f"`{q}`"), 4).alias(q) for q in quarters])
 
 
 _CLAIMS_SQL = f"""WITH e AS ({panel_sql('nation', by_bank_type=True)})
@@ -50,7 +52,7 @@ register("claims_wide", _CLAIMS_SQL)(claims_wide)
 def claims_long_all(spark, sf_dir):
     """Wide -> long keeping empty cells."""
     w = claims_wide(spark, sf_dir)
-    return R.wide_to_long(w, ID_COLS, QUARTERS, keep_nulls=True).drop(S.DS)
+    return R.wide_to_long(w, ID_COLS, C.quarter_columns(w), keep_nulls=True).drop(S.DS)
 
 
 register("claims_long_all", f"""WITH w AS ({_CLAIMS_SQL})
@@ -61,7 +63,7 @@ UNPIVOT INCLUDE NULLS (y FOR quarter IN ({", ".join(f'"{q}"' for q in QUARTERS)}
 def claims_long_filled(spark, sf_dir):
     """R2: wide -> long dropping empty cells, with the quarter-end date."""
     w = claims_wide(spark, sf_dir)
-    return R.wide_to_long(w, ID_COLS, QUARTERS, keep_nulls=False)
+    return R.wide_to_long(w, ID_COLS, C.quarter_columns(w), keep_nulls=False)
 
 
 register("claims_long_filled", f"""WITH w AS ({_CLAIMS_SQL}), u AS (
@@ -72,7 +74,8 @@ SELECT *, CAST(last_day(make_date(CAST(substr(quarter, 1, 4) AS INTEGER),
 
 def filter_audit(spark, sf_dir):
     """P10: rows removed per cleaning step (first failing step) and kept."""
-    return C.filter_audit(claims_wide(spark, sf_dir), time_cols=QUARTERS)
+    w = claims_wide(spark, sf_dir)
+    return C.filter_audit(w, time_cols=C.quarter_columns(w))
 
 
 register("filter_audit", f"""WITH w AS ({_CLAIMS_SQL})

@@ -13,6 +13,7 @@ from qpanel.plans.ordered import exact_quantile
 from qpanel.plans.output import round_doubles
 from qpanel.plans.queries_prepare import _CLAIMS_SQL, claims_wide
 from qpanel.plans.sql import panel_sql, r
+from qpanel.operators.clean import quarter_columns
 
 FINE = f"WITH panel AS ({panel_sql('nation')})"
 DESCRIPTORS = ["Reporting country", "Counterparty country", "CBS_BASIS", "CBS_BANK_TYPE"]
@@ -25,8 +26,7 @@ dense AS (SELECT c.*, p.y FROM cal c LEFT JOIN panel p USING (unique_id, ds))"""
 
 
 def _dense(spark, sf_dir):
-    return I.densify(P.fine_panel(spark, sf_dir), keys=[S.UID, S.REP, S.CP, S.BASIS],
-                     start=P.CAL_START, end=P.CAL_END)
+    return I.densify(P.shared(P.fine_panel(spark, sf_dir)), keys=[S.UID, S.REP, S.CP, S.BASIS])
 
 
 def country_counts(spark, sf_dir):
@@ -169,7 +169,7 @@ FROM panel GROUP BY GROUPING SETS ((ds), (ds, basis))""")(avg_by_quarter_basis)
 
 def histogram_exposure(spark, sf_dir):
     """50 equal-width bins of the fine panel's values."""
-    return round_doubles(PR.histogram(P.fine_panel(spark, sf_dir), bins=50), 2)
+    return round_doubles(PR.histogram(P.shared(P.fine_panel(spark, sf_dir)), bins=50), 2)
 
 
 _HIST = """, b AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
@@ -184,7 +184,7 @@ register("histogram_exposure", f"""{FINE}, v AS (SELECT y AS x FROM panel WHERE
 
 def histogram_log_exposure(spark, sf_dir):
     """50 bins of log1p of the positive values."""
-    return round_doubles(PR.histogram(P.fine_panel(spark, sf_dir), bins=50, log_positive=True), 6)
+    return round_doubles(PR.histogram(P.shared(P.fine_panel(spark, sf_dir)), bins=50, log_positive=True), 6)
 
 
 register("histogram_log_exposure", f"""{FINE}, v AS (SELECT ln(1 + y) AS x FROM panel WHERE ln(1 + y) > 0)"""
@@ -196,7 +196,7 @@ register("histogram_log_exposure", f"""{FINE}, v AS (SELECT ln(1 + y) AS x FROM
 def distribution_summary(spark, sf_dir):
     """Mean, exact median, population std (median without a
     single-task sort: see plans.ordered)."""
-    panel = P.fine_panel(spark, sf_dir)
+    panel = P.shared(P.fine_panel(spark, sf_dir))
     med = exact_quantile(panel, S.Y, 0.5)
     return round_doubles(PR.distribution_summary(panel, median=med), 4)
 
@@ -208,7 +208,7 @@ SELECT {r('avg(y)')} AS mean, {r('stddev_pop(y)')} AS std_pop, count(y) AS n,
 
 def winsorized_panel(spark, sf_dir):
     """A16 + K1: cap at the exact global 99th percentile, floor 0, log1p."""
-    panel = P.fine_panel(spark, sf_dir)
+    panel = P.shared(P.fine_panel(spark, sf_dir))
     cap = exact_quantile(panel, S.Y, 0.99)
     out = FE.prepare_log(panel, cap=cap)
     return round_doubles(out.select(S.UID, S.DS, "exposure", "y_log"), 6)
@@ -224,10 +224,10 @@ def column_profile_with_coverage(spark, sf_dir):
     """A3 + J10 + A5: profile of descriptor and quarter columns of the claims
     table; per quarter, the distinct reporters / counterparties / pairs of
     the rows that fill it; and the totals row."""
-    from qpanel.plans.queries_prepare import QUARTERS
     wide = P.shared(claims_wide(spark, sf_dir))
-    summ, _ = PR.column_profile(wide, DESCRIPTORS + QUARTERS)
-    return PR.profile_with_coverage(summ, wide, QUARTERS)
+    quarters = quarter_columns(wide)
+    summ, _ = PR.column_profile(wide, DESCRIPTORS + quarters)
+    return PR.profile_with_coverage(summ, wide, quarters)
 
 
 def _cov_sql():

@@ -30,8 +30,8 @@ def map_series(df: DataFrame, key: str, order: list[str], fn: Callable[[pd.DataF
                schema, partitions: int | None = None) -> DataFrame:
     """Apply ``fn`` to each series (rows sharing ``key``, sorted by
     ``order``) and concatenate the results."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartition(n, key).sortWithinPartitions(key, *order)
+    dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
+    parts = dealt.sortWithinPartitions(key, *order)
     names = schema.names if hasattr(schema, "names") else None
 
     def process(block: pd.DataFrame):

@@ -1,8 +1,6 @@
 """Column names, key lists and fixed values shared by all operators."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Series key of the consolidated panel and the composite id built from it.
 REP, CP, BASIS = "rep", "cp", "basis"
 KEYS = [REP, CP, BASIS]
@@ -77,17 +75,3 @@ INFLECTIONS = {
     "2011-Q4": "New economies\nadded",
 }
 # ---------------------------------------------------------------------------
-
-LONG_SCHEMA = T.StructType([
-    T.StructField(UID, T.StringType()),
-    T.StructField(DS, T.DateType()),
-    T.StructField(Y, T.DoubleType()),
-])
-
-PREDICTION_SCHEMA = T.StructType([
-    T.StructField("model", T.StringType()),
-    T.StructField(UID, T.StringType()),
-    T.StructField(DS, T.DateType()),
-    T.StructField("actual", T.DoubleType()),
-    T.StructField("forecast", T.DoubleType()),
-])

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from qpanel import schema as S
 from qpanel.functions.dates import label_to_quarter_end
 from qpanel.functions.numeric import finite_or_null
+from qpanel.operators.clean import require_columns
 from qpanel.operators.reshape import make_uid, split_uid
 
 
@@ -56,12 +57,14 @@ LAYOUTS = {
     "naive": ("ds", "date", None, ACTUAL_ALIASES, FORECAST_ALIASES),
     "seasonal_naive": ("ds", "date", None, ["y"], ["SeasonalNaive"]),
     "seasonal_wa": ("ds", "date", None, ["y"], ["SeasWA"]),
+    "sequence": ("row", "row", None, ACTUAL_ALIASES, FORECAST_ALIASES),
 }
 MODEL_TO_READER = {
     "arima": "arima", "lightgbm": "lightgbm", "lightgbm_iterative": "lightgbm_iterative",
     "naive": "naive", "seasonal_naive": "seasonal_naive",
     "seasonal_window_average": "seasonal_wa",
 }
+SEQUENCE_PREFIXES = ("lstm1_", "lstm2_", "vector_lstm_", "lstm_blocks_")
 # ---------------------------------------------------------------------------
 
 
@@ -71,10 +74,14 @@ def _quarter_text_end(c: str):
     return label_to_quarter_end(lab)
 
 
-def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_") -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_",
+                     meta: DataFrame | None = None) -> DataFrame:
     """Any prediction file -> (ds, unique_id, key1, key2,
     key3, actual, forecast).  The first alias present names each value
-    column (S8); a file without one raises (P21)."""
+    column (S8); a file without one, or without its id columns, raises
+    ``ValueError`` (P21).  Text that is no number or date is NULL (P24).
+    The row-indexed layout (S7) takes ids and dates from ``meta`` (row,
+    unique_id, ds) by its explicit row column (J3, Q11)."""
     date_col, kind, ids, act, fc = LAYOUTS[layout]
     df = spark.read.option("header", True).csv(path)
     cols = df.columns
@@ -83,18 +90,22 @@ def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_"
         for a in aliases:
             if a in cols:
                 return a
-        raise KeyError(f"no {what} column in {path}; columns are {cols}")
+        raise ValueError(f"no {what} column in {path}; columns are {cols}")
     a, f = pick(act, "actual"), pick(fc, "forecast")
-    ds = (F.expr(f"try_cast(`{date_col}` AS DATE)") if kind == "date"
-          else _quarter_text_end(date_col))  # bad text -> NULL, never an ANSI error
+    require_columns(df, ids or ([date_col, S.UID] if kind != "row" else [date_col]))
+    if kind == "row":
+        if meta is None:
+            raise ValueError(f"layout {layout!r} needs the metadata of its rows")
+        df = attach_keys(df.withColumn(date_col, F.expr(f"try_cast(`{date_col}` AS BIGINT)")), meta, date_col)
+        ds = F.col(S.DS)
+    else:
+        ds = (F.expr(f"try_cast(`{date_col}` AS DATE)") if kind == "date"
+              else _quarter_text_end(date_col))  # bad text -> NULL, never an ANSI error
     if ids:
-        missing = [c for c in ids if c not in cols]
-        if missing:
-            raise KeyError(f"missing id columns {missing} in {path}")
         df = make_uid(df, ids, sep)
     out = df.select(ds.alias(S.DS), F.col(S.UID).cast("string").alias(S.UID),
-                    finite_or_null(F.col(a).cast("double")).alias("actual"),
-                    finite_or_null(F.col(f).cast("double")).alias("forecast"))
+                    finite_or_null(F.expr(f"try_cast(`{a}` AS DOUBLE)")).alias("actual"),
+                    finite_or_null(F.expr(f"try_cast(`{f}` AS DOUBLE)")).alias("forecast"))
     return split_uid(out, ["key1", "key2", "key3"], sep) \
         .select(S.DS, S.UID, "key1", "key2", "key3", "actual", "forecast")
 
@@ -102,14 +113,23 @@ def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_"
 def attach_keys(row_preds: DataFrame, meta: DataFrame, row: str = "row") -> DataFrame:
     """Row-indexed predictions get (unique_id, ds) from a metadata
     table by an explicit row key column (never by file position, Q11)."""
-    return row_preds.join(meta.select(row, S.UID, S.DS), row, "left")
+    return row_preds.drop(S.UID, S.DS).join(meta.select(row, S.UID, S.DS), row, "left")
 
 
-def read_all_predictions(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+def reader_of(model: str) -> str:
+    """The layout of a model's file; the sequence-model family shares one."""
+    if model in MODEL_TO_READER:
+        return MODEL_TO_READER[model]
+    if model.startswith(SEQUENCE_PREFIXES):
+        return "sequence"
+    raise ValueError(f"no reader for model {model!r}")
+
+
+def read_all_predictions(spark: SparkSession, files: dict[str, str], meta: DataFrame | None = None) -> DataFrame:
     """S11 + U1: every model's file through its reader, stacked."""
     out = None
     for model, path in files.items():
-        d = read_predictions(spark, path, MODEL_TO_READER.get(model, model)) \
+        d = read_predictions(spark, path, reader_of(model), meta=meta) \
             .withColumn("model", F.lit(model))
         out = d if out is None else out.unionByName(d)
     return out

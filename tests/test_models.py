@@ -207,30 +207,17 @@ def test_imputation_invariants(spark):
         assert all(v is not None for v in nonempty), name
 
 
-def test_skew_split_join_equals_plain_join(spark):
-    from qpanel.plans.joins import hot_keys, skew_split_join
-    big = spark.createDataFrame([(1 if i % 3 else i, float(i)) for i in range(3000)], "k long, v double")
-    small = spark.createDataFrame([(i, f"n{i}") for i in range(3000)], "sk long, name string")
-    assert 1 in hot_keys(big, "k", fraction=0.5)
-    a = skew_split_join(big, small, "k", "sk", fraction=0.5).select("k", "v", "name")
-    b = big.join(small, big.k == small.sk).select("k", "v", "name")
-    assert sorted(a.collect()) == sorted(b.collect())
-
-
 def test_panel_same_without_broadcasts(spark):
-    """The shuffled (skew-split) path of the panel join gives the same panel."""
+    """The shuffled path of the panel join gives the same panel."""
     from qpanel.plans import panels as P
-    from qpanel.sources import tables
     sf = "/root/testdata/sf0.001"
     a = sorted(P.coarse_panel(spark, sf).collect())
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        tables._READS.clear()
         b = sorted(P.coarse_panel(spark, sf).collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        tables._READS.clear()
     assert [(r.unique_id, r.ds) for r in a] == [(r.unique_id, r.ds) for r in b]
     assert all(abs(x.y - z.y) < 1e-6 for x, z in zip(a, b))
 
@@ -314,3 +301,37 @@ def test_gbt_fit_predict_and_recursion(spark):
     assert len(rec) == 6 * 4
     assert sorted({str(r[S.DS]) for r in rec}) == ["2000-03-31", "2000-06-30", "2000-09-30", "2000-12-31"]
     assert all(r["forecast"] > 0 for r in rec)
+
+
+def test_ragged_series_share_the_cutoff(spark):
+    """A series that ends early, a short one and a full one: the same dates for
+    the same steps, a status for each."""
+    from qpanel.operators import models as MD
+    import datetime as dt
+    ends = [dt.date(2010 + i // 4, 3 * (i % 4) + 3, [31, 30, 30, 31][i % 4]) for i in range(24)]
+    rows = [("full", d, 10.0 + i) for i, d in enumerate(ends)] + [("early", d, 5.0 + i % 4) for i, d in enumerate(ends[:20])] \
+        + [("short", d, 1.0) for d in ends[-3:]]
+    train = spark.createDataFrame(rows, "unique_id string, ds date, y double")
+    for f in (MD.forecast_ar_per_series(train, 4), MD.recursive_linear_forecast(train, 4)[0], MD.forecast_blocks(train, 4, block_size=3)):
+        got = {(r.unique_id, r.step): r for r in f.collect()}
+        assert len(got) == 12
+        assert {r.ds for (u, s), r in got.items() if s == 1} == {dt.date(2016, 3, 31)}
+        assert {r.ds for (u, s), r in got.items() if s == 4} == {dt.date(2016, 12, 31)}
+        assert all(got["full", s].forecast is not None and got["full", s].status == "ok" for s in range(1, 5))
+    ar = {r.unique_id: r.status for r in MD.forecast_ar_per_series(train, 4).collect()}
+    assert ar == {"full": "ok", "early": "ok", "short": "too_short"}
+
+
+def test_a_narrow_calendar_raises_and_a_new_quarter_shows(spark):
+    import datetime as dt
+
+    import pytest
+
+    from qpanel.operators import impute as I
+    rows = [("a", dt.date(2010, 3, 31), 1.0), ("a", dt.date(2010, 9, 30), 2.0), ("b", dt.date(2011, 3, 31), 3.0)]
+    df = spark.createDataFrame(rows, "unique_id string, ds date, y double")
+    with pytest.raises(ValueError):
+        I.densify(df, start="2010-06-30", end="2011-03-31")
+    assert I.densify(df).count() == 10
+    more = df.unionByName(spark.createDataFrame([("b", dt.date(2011, 6, 30), 4.0)], df.schema))
+    assert I.densify(more).count() == 12

@@ -46,8 +46,8 @@ def test_missing_alias_raises(spark):
     _write(f"{d}/bad.csv", "unique_id,ds,foo,bar\nA,2020-03-31,1,2\n")
     try:
         FS.read_predictions(spark, f"{d}/bad.csv", "naive")
-        raise AssertionError("expected KeyError")
-    except KeyError:
+        raise AssertionError("expected ValueError")
+    except ValueError:
         pass
 
 
