@@ -87,11 +87,14 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
     """(first row, end row, bytes, offsets) pieces of about ``limit`` bytes; a
     longer document is a piece of its own.  Null counts as empty."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    arr = arr.cast(pa.large_string()).fill_null("")
+    if not (pa.types.is_string(arr.type) or pa.types.is_large_string(arr.type)):
+        arr = arr.cast(pa.large_string())
+    arr = arr.fill_null("") if arr.null_count else arr
     n = len(arr)
     if not n:
         return
-    off = np.frombuffer(arr.buffers()[1], np.int64, n + 1, arr.offset * 8)
+    wide = pa.types.is_large_string(arr.type)
+    off = np.frombuffer(arr.buffers()[1], np.int64 if wide else np.int32, n + 1, arr.offset * (8 if wide else 4)).astype(np.int64)
     data = arr.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0

@@ -5,20 +5,21 @@ documents link when 100 * |A and B| >= 75 * |A or B|, that is when their
 symmetric difference d has 7 * d <= |A| + |B|.
 
 1. Equal sets are one set from here on, known by a 64-bit digest (``sid``).
-   Each set also gets a parity sketch, about one bit a shingle: sketches differ
-   in at most d bits, so a larger difference excludes a pair.
+   Each set also gets a parity sketch, four to eight bits a shingle: sketches
+   differ in at most d bits, so a larger difference excludes a pair.
 2. Shingles are ordered by how common they are (the counts of those that
    repeat within some task, at most ``HOT_TABLE`` of them, as a broadcast
    array; the rest first), then by hash.  Linked sets share a shingle among the
    first n - ceil(3n/4) + 1 of either: those make the index, without lists of
    one.  The order is the same everywhere, so whatever it is no link is lost.
-3. First answers: in each block of a list (token and size class) the least sid
-   is the pivot.  Every set is compared with the pivot whose sketch is nearest.
-   Links found give first components.
+3. First answers: in each block of a list (token and size class) the set that
+   shares the largest part of its indexed shingles is the pivot (of edited copies
+   that is the one nearest to their source).  Every set is compared with the pivot it shares most lists
+   with, unless their sketches exclude it.  Links found give first components.
 4. Skipping: a set's further answers start from those of its pivot.  Whatever is
    in its component already is not probed again; lists with one component are
    dropped.  Of the other lists, blocks that position and size rule out are
-   skipped.  A pair compared with one pivot is decided by the two known
+   skipped, and pairs whose counts of indexed shingles are too small.  A pair compared with one pivot is decided by the two known
    differences where the triangle inequality can; else by the sketches, and by
    the sets themselves if still open.
 5. All links together give the components.
@@ -50,7 +51,7 @@ from qpanel.llm.common import Words, chunks, documents, mix, written
 from qpanel.llm.components import components
 
 SHINGLE = 5
-HOT_FROM = 8                 # a shingle counted so often has a rank of its own
+HOT_FROM = 3                 # a shingle counted so often has a rank of its own
 HOT_TABLE = 1 << 20          # entries of the broadcast table at most (16 MB)
 HOT_SALTS = 64
 BROADCAST_IDS = 2_000_000    # ids whose sets are wanted: broadcast up to this many
@@ -84,8 +85,8 @@ def digest(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 2**k >= n cells, one bit a cell."""
-    cells = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    """Parity of the shingles in each of 2**k >= 4n cells, one bit a cell."""
+    cells = max(64, 1 << (4 * max(1, len(s)) - 1).bit_length())
     odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -135,7 +136,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 seen.add(key)
                 held.append(s)
                 size += len(s)
-                if size > 1 << 23:  # 64 MB
+                if size > 1 << 22:  # 32 MB
                     yield counted()
                     held, size = [], 0
         if held:
@@ -149,8 +150,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, sid, n, pos): the first shingles of each set in the common
-    order, without those that only one set has."""
+    """(token, sid, n, pos, k): the first shingles of each set in the common
+    order, without those that only one set has; k: how many of a set are left."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,8 @@ def index_entries(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFr
     rows = docs.select("text").mapInArrow(run, "token long, salt int, sid long, n int, pos int")
     # one list lies in one task, but for common shingles, which are salted and kept
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "sid")
-    return written(rows.mapInArrow(_shared_rows, "token long, sid long, n int, pos int"), "jaccard-index")
+    rows = written(rows.mapInArrow(_shared_rows, "token long, sid long, n int, pos int"), "jaccard-lists")
+    return written(rows.join(rows.groupBy("sid").agg(F.count(F.lit(1)).cast("int").alias("k")), "sid"), "jaccard-index")
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +222,13 @@ def size_class(n: str):
     return F.floor(F.log2(n) * 2).cast("int")  # linked sets are at most one class apart
 
 
-def near_enough(n1: str, n2: str):
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2))
+def can_link(n1: str, n2: str, k1: str, k2: str):
+    """By size, and by how many indexed shingles two sets can share at most:
+    |A and B| is at most those and the rest of the larger set, while 7 times it
+    must reach 3 * (n1 + n2)."""
+    large = F.greatest(n1, n2)
+    rest = F.ceil(large * 3 / 4) - 1
+    return (4 * F.least(n1, n2) >= 3 * large) & (7 * (F.least(k1, k2) + rest) >= 3 * (F.col(n1) + F.col(n2)))
 
 
 def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -284,30 +291,33 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def first_answers(docs: DataFrame, sets: DataFrame, index: DataFrame) -> DataFrame:
     """(a, b, d, linked): every set a with the pivot b of nearest sketch."""
     blocks = index.withColumn("block", size_class("n"))
-    pivots = blocks.groupBy("token", "block").agg(F.min("sid").alias("b"))
-    pairs = (blocks.join(pivots, ["token", "block"]).filter("sid <> b").select(F.col("sid").alias("a"), "b").distinct())
-    near = sketched(pairs, sets).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-    return compared(docs, sets, written(near, "jaccard-pivots"))
+    whole = F.struct(F.col("k") / (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1), -F.col("sid"))
+    pivots = blocks.groupBy("token", "block").agg(F.max_by(F.struct("sid", "n", "k"), whole).alias("p"))
+    pivots = pivots.select("token", "block", F.col("p.sid").alias("b"), F.col("p.n").alias("n2"), F.col("p.k").alias("k2"))
+    shared = (blocks.join(pivots, ["token", "block"]).filter("sid <> b").filter(can_link("n", "n2", "k", "k2"))
+              .groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("tokens")))
+    best = shared.groupBy("a").agg(F.max_by("b", F.struct("tokens", "b")).alias("b"))
+    return compared(docs, sets, written(sketched(best, sets).select("a", "b"), "jaccard-pivots"))
 
 
 def further_pairs(index: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b) of different components that share an indexed shingle, but for
     blocks and pairs that size and position rule out."""
     rows = index.join(known, "sid", "left").select(
-        "token", "sid", "n", "pos", F.coalesce("root", "sid").alias("root"), size_class("n").alias("block"))
+        "token", "sid", "n", "pos", "k", F.coalesce("root", "sid").alias("root"), size_class("n").alias("block"))
     mixed = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     rows = written(rows.join(mixed, "token"), "jaccard-mixed")
     least = F.ceil(F.pow(F.lit(2.0), F.col("to") / 2) - 1e-6)           # sizes in block ``to``
     most = F.floor(F.pow(F.lit(2.0), (F.col("to") + 1) / 2) + 1e-6)
     probes = (rows.select(F.col("token"), F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"),
-                          F.col("root").alias("root1"), F.col("block").alias("own"),
+                          F.col("k").alias("k1"), F.col("root").alias("root1"), F.col("block").alias("own"),
                           F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("to"))
               .filter(7 * F.least(F.col("n1") - F.col("p1"), most) >= 3 * (F.col("n1") + least)))  # skips whole blocks
     lists = rows.select(F.col("token"), F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"),
-                        F.col("root").alias("root2"), F.col("block").alias("to"))
+                        F.col("k").alias("k2"), F.col("root").alias("root2"), F.col("block").alias("to"))
     return (probes.join(lists, ["token", "to"])
             .filter("root1 <> root2 AND (own < to OR a < b)")
-            .filter(near_enough("n1", "n2"))
+            .filter(can_link("n1", "n2", "k1", "k2"))
             .filter(7 * F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= 3 * (F.col("n1") + F.col("n2")))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("n1") + F.col("n2")).alias("sizes"))
             .distinct())
