@@ -90,14 +90,20 @@ def _tile_candidates(k: int, n_quarters: int):
 
 
 def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
-               ds: str = S.DS, value: str = S.Y) -> DataFrame:
+               ds: str = S.DS, value: str = S.Y, weights: str = "distance",
+               scale: bool = True) -> DataFrame:
     """I5 on a panel (key, ds, value); returns every series on the full
-    calendar with its gaps filled.
+    calendar with its gaps filled.  ``weights``: donors count by inverse
+    distance or alike (``uniform``); ``scale``: distances and fills on
+    per-series z-scores or on the values as they are.
 
     Deterministic whatever the partitioning: each series' statistics are
     computed from its date-ordered value array, and each cell's donors are
     combined in (distance, donor id) order.
     """
+    if weights not in ("distance", "uniform"):
+        raise ValueError(f"unknown weights {weights!r}")
+    dense = cut_lineage(dense.select(key, ds, value))  # read four times below
     d0, q0, q1, n_series = dense.agg(F.min(ds), F.min(quarter_index(ds)), F.max(quarter_index(ds)),
                                      F.countDistinct(key)).first()
     nq = q1 - q0 + 1
@@ -115,10 +121,12 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
     per = per.withColumn("mu", mu)
     var = F.try_divide(F.aggregate("_k", F.lit(0.0),
                                    lambda a, v: a + (v - F.col("mu")) * (v - F.col("mu"))), n)
+    if not scale:
+        per = per.withColumn("mu", F.lit(0.0))
+        var = F.lit(1.0)
     per = (per.withColumn("sd", F.when(var.isNull() | (var == 0), F.lit(1.0)).otherwise(F.sqrt(var)))
            .withColumn("z", F.transform("yv", lambda v: (v - F.col("mu")) / F.col("sd")))
-           .select(F.col(key).alias("uid"), "yv", "mu", "sd", "z",
-                   F.exists("yv", lambda v: v.isNull()).alias("has_gap")))
+           .select(F.col(key).alias("uid"), "yv", "mu", "sd", "z"))
     rk = global_rank(dense.select(F.col(key).alias("uid")), "uid")
     nb = max(1, int(-(-n_series // block)))
     vec = cut_lineage(per.join(rk, "uid").withColumn(
@@ -142,7 +150,9 @@ def impute_knn(dense: DataFrame, k: int = 5, block: int = 256, key: str = S.UID,
                                               (acc["den"] + F.try_divide(F.lit(1.0), x["dist"])).alias("den")),
                       lambda acc: F.try_divide(acc["num"], acc["den"]))
     exact = F.try_divide(F.aggregate(zero, F.lit(0.0), lambda a, x: a + x["dz"]), F.size(zero))
-    cells = cells.select("target", "qpos", F.when(F.size(zero) > 0, exact).otherwise(inv).alias("zf"))
+    mean = F.try_divide(F.aggregate("c", F.lit(0.0), lambda a, x: a + x["dz"]), F.size("c"))
+    fill = mean if weights == "uniform" else F.when(F.size(zero) > 0, exact).otherwise(inv)
+    cells = cells.select("target", "qpos", fill.alias("zf"))
     fills = cells.groupBy(F.col("target").alias("uid")).agg(
         F.map_from_entries(F.collect_list(F.struct("qpos", "zf"))).alias("_f"))
     # per-quarter mean of the known z values (cells without any donor): one

@@ -105,13 +105,14 @@ def profile_with_coverage(summary: DataFrame, wide: DataFrame, quarters,
 def coverage_by_quarter(panel: DataFrame, a: str = S.REP, b: str = S.CP,
                         ds: str = S.DS) -> DataFrame:
     """Distinct reporters, counterparties and pairs per
-    quarter, in (year, quarter) order, with a tick flag every 3rd year."""
+    quarter, with a tick flag every 3rd year and the coverage chart's events."""
     g = panel.groupBy(ds).agg(F.countDistinct(a).alias("n_reporters"),
                               F.countDistinct(b).alias("n_counterparties"),
                               F.countDistinct(a, b).alias("n_pairs"))
     return g.select(F.year(ds).alias("year"), F.quarter(ds).alias("quarter"), ds,
                     "n_reporters", "n_counterparties", "n_pairs",
-                    ((F.quarter(ds) == 2) & (F.year(ds) % 3 == 0)).alias("tick"))
+                    ((F.quarter(ds) == 2) & (F.year(ds) % 3 == 0)).alias("tick"),
+                    event_labels(ds, S.COVERAGE_EVENTS).alias("event"))
 
 
 def tick_labels(df: DataFrame, ds: str = S.DS, every_years: int = 3, quarter: int = 2,
@@ -126,12 +127,12 @@ def tick_labels(df: DataFrame, ds: str = S.DS, every_years: int = 3, quarter: in
     return out
 
 
-def event_labels(ds: str = S.DS):
+def event_labels(ds: str = S.DS, events: dict[str, str] = S.INFLECTIONS):
     """The fixed event annotation of a quarter (NULL when none)."""
     from qpanel.functions.dates import quarter_label
     lab = quarter_label(ds)
     expr = None
-    for q, text in S.INFLECTIONS.items():
+    for q, text in events.items():
         expr = F.when(lab == q, text) if expr is None else expr.when(lab == q, text)
     return expr
 

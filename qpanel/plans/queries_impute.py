@@ -103,11 +103,13 @@ def imputation_scores_poly(spark, sf_dir):
 register("imputation_scores_poly")(imputation_scores_poly)
 
 
-def _knn_sql(src: str, k: int, nq: int = 28) -> str:
+def _knn_sql(src: str, k: int, nq: int = 28, weights: str = "distance", scale: bool = True) -> str:
     """CTEs computing the KNN fill of table ``src`` (unique_id, ds, y):
     result CTE ``knn`` (unique_id, ds, y_filled)."""
-    return f"""kst AS (SELECT unique_id, avg(y) AS mu,
-       CASE WHEN stddev_pop(y) IS NULL OR stddev_pop(y) = 0 THEN 1.0 ELSE stddev_pop(y) END AS sd
+    mu, sd = ("avg(y)", "CASE WHEN stddev_pop(y) IS NULL OR stddev_pop(y) = 0 THEN 1.0 ELSE stddev_pop(y) END") if scale else ("0.0", "1.0")
+    fill = """CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) = 1 THEN avg(dz) FILTER (WHERE dist = 0)
+               ELSE sum((1.0 / dist) * dz) / sum(1.0 / dist) END""" if weights == "distance" else "avg(dz)"
+    return f"""kst AS (SELECT unique_id, CAST({mu} AS DOUBLE) AS mu, CAST({sd} AS DOUBLE) AS sd
        FROM {src} GROUP BY 1),
 kz AS (SELECT s.unique_id, s.ds, s.y, (s.y - kst.mu) / kst.sd AS z, kst.mu, kst.sd
        FROM {src} s JOIN kst USING (unique_id)),
@@ -121,8 +123,7 @@ kcand AS (SELECT c.unique_id AS i, c.ds, p.j, p.dist, d.z AS dz
 ktop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, ds ORDER BY dist, j) AS rn FROM kcand)
          WHERE rn <= {k}),
 kfill AS (SELECT i AS unique_id, ds,
-          CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) = 1 THEN avg(dz) FILTER (WHERE dist = 0)
-               ELSE sum((1.0 / dist) * dz) / sum(1.0 / dist) END AS zfill FROM ktop GROUP BY 1, 2),
+          {fill} AS zfill FROM ktop GROUP BY 1, 2),
 kcm AS (SELECT ds, avg(z) AS zmean FROM kz GROUP BY ds),
 knn AS (SELECT kz.unique_id, kz.ds,
         CASE WHEN kz.y IS NOT NULL THEN kz.y ELSE coalesce(f.zfill, kcm.zmean) * kz.sd + kz.mu END AS y_filled
@@ -141,6 +142,30 @@ src AS (SELECT unique_id, ds, y FROM dense),
 SELECT unique_id, ds, {r('y_filled')} AS y FROM knn""")(imputed_knn)
 
 
+def imputed_knn_uniform(spark, sf_dir):
+    """I5 with uniform weights."""
+    from qpanel.operators.knn import impute_knn
+    return round_doubles(impute_knn(_dense(spark, sf_dir).select(S.UID, S.DS, S.Y), k=3, weights="uniform"), 4)
+
+
+register("imputed_knn_uniform", f"""{_DENSE_SQL},
+src AS (SELECT unique_id, ds, y FROM dense),
+{_knn_sql('src', 3, weights='uniform')}
+SELECT unique_id, ds, {r('y_filled')} AS y FROM knn""")(imputed_knn_uniform)
+
+
+def imputed_knn_unscaled(spark, sf_dir):
+    """I5 on the values as they are."""
+    from qpanel.operators.knn import impute_knn
+    return round_doubles(impute_knn(_dense(spark, sf_dir).select(S.UID, S.DS, S.Y), k=5, scale=False), 4)
+
+
+register("imputed_knn_unscaled", f"""{_DENSE_SQL},
+src AS (SELECT unique_id, ds, y FROM dense),
+{_knn_sql('src', 5, scale=False)}
+SELECT unique_id, ds, {r('y_filled')} AS y FROM knn""")(imputed_knn_unscaled)
+
+
 def imputation_scores_knn(spark, sf_dir):
     """I5 + I7-I9: KNN (k=5) scored on the md5-hidden cells."""
     s = I.compare_imputers(_masked(spark, sf_dir), ("knn_5",))
@@ -169,12 +194,41 @@ SELECT method, {r('mae')} AS mae, {r('rmse')} AS rmse, n_hidden, {r('ks')} AS ks
        {r('wasserstein')} AS wasserstein FROM err JOIN dist USING (method)""")(imputation_scores_knn)
 
 
+_SCORED_SQL = f"""err AS (SELECT method, avg(abs(v - truth)) AS mae, sqrt(avg(pow(v - truth, 2))) AS rmse,
+               count(*) AS n_hidden FROM filled WHERE hidden AND v IS NOT NULL GROUP BY method),
+vals AS (SELECT method, truth AS x, 1 AS a, 0 AS b FROM filled WHERE truth IS NOT NULL
+         UNION ALL SELECT method, v, 0, 1 FROM filled WHERE v IS NOT NULL),
+agg AS (SELECT method, x, sum(a) AS n1, sum(b) AS n2 FROM vals GROUP BY method, x),
+cum AS (SELECT method, x,
+          sum(n1) OVER (PARTITION BY method ORDER BY x) / sum(n1) OVER (PARTITION BY method) AS f1,
+          sum(n2) OVER (PARTITION BY method ORDER BY x) / sum(n2) OVER (PARTITION BY method) AS f2,
+          lead(x) OVER (PARTITION BY method ORDER BY x) AS nx FROM agg),
+dist AS (SELECT method, max(abs(f1 - f2)) AS ks,
+                coalesce(sum(abs(f1 - f2) * (nx - x)), 0) AS wasserstein FROM cum GROUP BY method)
+SELECT method, {r('mae')} AS mae, {r('rmse')} AS rmse, n_hidden, {r('ks')} AS ks,
+       {r('wasserstein')} AS wasserstein FROM err JOIN dist USING (method)"""
+
+
 def knn_k_sweep(spark, sf_dir):
-    """K-NN fills for k = 1, 3, 5, 7, 9 scored on the same hidden
-    cells, with each method's wall time (rows-only: timings vary)."""
-    s = I.compare_imputers(_masked(spark, sf_dir), tuple(f"knn_{k}" for k in (1, 3, 5, 7, 9)),
-                           timed=True)
+    """K-NN fills for k = 1, 3, 5, 7, 9 scored on the same hidden cells."""
+    s = I.compare_imputers(_masked(spark, sf_dir), tuple(f"knn_{k}" for k in (1, 3, 5, 7, 9)))
     return round_doubles(s, 4)
 
 
-register("knn_k_sweep")(knn_k_sweep)
+_KNN_9 = _knn_sql("m", 9)
+register("knn_k_sweep", f"""{_DENSE_SQL},
+masked AS (SELECT unique_id, ds, y AS truth,
+  (y IS NOT NULL AND substr(md5(unique_id || '|' || year(ds) || '-Q' || quarter(ds)), 1, 2) < '1a') AS hidden
+  FROM dense),
+m AS (SELECT *, CASE WHEN hidden THEN NULL ELSE truth END AS y FROM masked),
+{_KNN_9[:_KNN_9.index('kfill AS')]}
+ks(k) AS (VALUES (1), (3), (5), (7), (9)),
+kfill AS (SELECT k, i AS unique_id, ds,
+          CASE WHEN max(CASE WHEN dist = 0 THEN 1 ELSE 0 END) = 1 THEN avg(dz) FILTER (WHERE dist = 0)
+               ELSE sum((1.0 / dist) * dz) / sum(1.0 / dist) END AS zfill FROM ktop JOIN ks ON rn <= k GROUP BY 1, 2, 3),
+kcm AS (SELECT ds, avg(z) AS zmean FROM kz GROUP BY ds),
+filled AS (SELECT 'knn_' || ks.k AS method, m.truth, m.hidden,
+        CASE WHEN kz.y IS NOT NULL THEN kz.y ELSE coalesce(f.zfill, kcm.zmean) * kz.sd + kz.mu END AS v
+        FROM ks CROSS JOIN kz JOIN m USING (unique_id, ds) LEFT JOIN kfill f ON f.k = ks.k AND f.unique_id = kz.unique_id AND f.ds = kz.ds
+        LEFT JOIN kcm ON kcm.ds = kz.ds),
+{_SCORED_SQL}""")(knn_k_sweep)

@@ -92,7 +92,9 @@ def coverage_by_quarter(spark, sf_dir):
 register("coverage_by_quarter", f"""{FINE}
 SELECT CAST(year(ds) AS INTEGER) AS year, CAST(quarter(ds) AS INTEGER) AS quarter, ds,
        count(DISTINCT rep) AS n_reporters, count(DISTINCT cp) AS n_counterparties,
-       count(DISTINCT (rep, cp)) AS n_pairs, (quarter(ds) = 2 AND year(ds) % 3 = 0) AS tick
+       count(DISTINCT (rep, cp)) AS n_pairs, (quarter(ds) = 2 AND year(ds) % 3 = 0) AS tick,
+       CASE printf('%d-Q%d', year(ds), quarter(ds))
+            {" ".join(f"WHEN '{q}' THEN '{t}'" for q, t in S.COVERAGE_EVENTS.items())} END AS event
 FROM panel GROUP BY ds""")(coverage_by_quarter)
 
 

@@ -12,6 +12,7 @@ from qpanel.operators import trees as TR
 from qpanel.plans import panels as P
 from qpanel.plans.catalog import register
 from qpanel.plans.queries_models import _grid_sql
+from qpanel.plans.sql import panel_sql
 
 PARAMS = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1}
 
@@ -52,6 +53,27 @@ def gbt_recursive_scores(spark, sf_dir):
 register("gbt_recursive_scores")(gbt_recursive_scores)
 
 
+def fold_sizes(spark, sf_dir):
+    """M1: every validation year the data allows, with its earlier training
+    rows and its own."""
+    fr = P.shared(P.fine_panel(spark, sf_dir).withColumn("y_log", F.log1p(S.Y)))
+    first, last = fr.agg(F.min(F.year(S.DS)), F.max(F.year(S.DS))).first()
+    out = None
+    for year, train, valid in TR.expanding_folds(fr, range(first + 1, last + 1)):
+        one = train.agg(F.count(F.lit(1)).alias("train_rows"), F.max(S.DS).alias("train_end")).join(
+            F.broadcast(valid.agg(F.count(F.lit(1)).alias("valid_rows"), F.min(S.DS).alias("valid_start"))))  # one row each
+        one = one.withColumn("year", F.lit(year))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+register("fold_sizes", f"""WITH panel AS ({panel_sql('nation')}),
+years AS (SELECT CAST(y AS INTEGER) AS year FROM (SELECT min(year(ds)) AS a, max(year(ds)) AS b FROM panel), range(1900, 2200) t(y) WHERE y > a AND y <= b)
+SELECT year, count(*) FILTER (WHERE year(ds) < year) AS train_rows, max(ds) FILTER (WHERE year(ds) < year) AS train_end,
+       count(*) FILTER (WHERE year(ds) = year) AS valid_rows, min(ds) FILTER (WHERE year(ds) = year) AS valid_start
+FROM years, panel GROUP BY year""")(fold_sizes)
+
+
 def gbt_forecast_grid(spark, sf_dir):
     """every series of the gappy fine panel x step x date from the
     cutoff, with its status (a series that ends earlier is filled up to it)."""

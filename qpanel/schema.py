@@ -69,9 +69,14 @@ REPORTING_CODES = {
     "L_CP_SECTOR": "A",
 }
 EXTRACT_BANK_TYPES = ["4B", "4C", "4O", "4R", "4D", "4E"]
-# Annotated quarters of the total-exposure chart (shown when present).
+# Annotated quarters of the total-exposure and of the coverage chart (shown
+# when present).
 INFLECTIONS = {
     "2000-Q4": "Quarterly\nreporting begins",
     "2011-Q4": "New economies\nadded",
 }
+COVERAGE_EVENTS = {
+    "2000-Q4": "Quarterly\nreporting begins",
+    "2014-Q4": "New economies\nadded",
+}
 # ---------------------------------------------------------------------------
