@@ -60,8 +60,9 @@ def fold_sizes(spark, sf_dir):
     first, last = fr.agg(F.min(F.year(S.DS)), F.max(F.year(S.DS))).first()
     out = None
     for year, train, valid in TR.expanding_folds(fr, range(first + 1, last + 1)):
-        one = train.agg(F.count(F.lit(1)).alias("train_rows"), F.max(S.DS).alias("train_end")).join(
-            F.broadcast(valid.agg(F.count(F.lit(1)).alias("valid_rows"), F.min(S.DS).alias("valid_start"))))  # one row each
+        both = train.select(S.DS, F.lit(True).alias("t")).unionByName(valid.select(S.DS, F.lit(False).alias("t")))
+        one = both.agg(F.count_if("t").alias("train_rows"), F.max(F.when(F.col("t"), F.col(S.DS))).alias("train_end"),
+                       F.count_if(~F.col("t")).alias("valid_rows"), F.min(F.when(~F.col("t"), F.col(S.DS))).alias("valid_start"))
         one = one.withColumn("year", F.lit(year))
         out = one if out is None else out.unionByName(one)
     return out
