@@ -14,11 +14,14 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 
-_BLOCK = 8  # words of 64 bits between two counts
-_IN_BYTE = np.full((256, 8), 8, np.int64)  # place of the k-th one of a byte
+_BLOCK = 4  # words of 64 bits between two counts
+_IN_BYTE = np.full(256 * 8, 8, np.int64)  # place of the k-th one of a byte, at byte * 8 + k
 for _b in range(256):
     for _k, _i in enumerate(i for i in range(8) if _b >> i & 1):
-        _IN_BYTE[_b, _k] = _i
+        _IN_BYTE[_b * 8 + _k] = _i
+_U = [np.uint64(x) for x in range(65)]
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)  # one, or the top bit, in each byte
+_PAIR, _NIBBLE, _BYTE = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
 
 
 def _as_words(bits: np.ndarray, spare: int = 1) -> np.ndarray:
@@ -28,23 +31,39 @@ def _as_words(bits: np.ndarray, spare: int = 1) -> np.ndarray:
     return out
 
 
+def _in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) in each word, by sums over bytes."""
+    s = w - ((w >> _U[1]) & _PAIR)
+    s = (s & _NIBBLE) + ((s >> _U[2]) & _NIBBLE)
+    s = ((s + (s >> _U[4])) & _BYTE) * _EACH                 # ones up to the end of each byte
+    k = k.astype(np.uint64)
+    byte = np.bitwise_count((((k * _EACH) | _TOP) - s) & _TOP).astype(np.uint64)  # bytes that end before it
+    byte = np.minimum(byte, _U[7])
+    shift = byte << _U[3]
+    k = k - (((s << _U[8]) >> shift) & np.uint64(0xFF))
+    return (shift + _IN_BYTE[(((w >> shift) & np.uint64(0xFF)) * _U[8] + np.minimum(k, _U[7])).astype(np.int64)].astype(np.uint64)).astype(np.int64)
+
+
 def _select(words: np.ndarray, counts: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th (from 0) one, or zero with ``flip``; ``counts``: ones
     (zeros) before each block."""
     block = np.searchsorted(counts, k, "right") - 1
     left = k - counts[block]
-    at = block[:, None] * _BLOCK + np.arange(_BLOCK)
-    w = words[np.minimum(at, len(words) - 1)]
+    at = block * _BLOCK
+    w = words[at]
     w = ~w if flip else w
-    ones = np.cumsum(np.bitwise_count(w), axis=1, dtype=np.int64)
-    i = (ones <= left[:, None]).sum(axis=1).clip(max=_BLOCK - 1)
     rows = np.arange(len(k))
-    left = left - np.where(i > 0, ones[rows, i - 1], 0)
-    byte = np.ascontiguousarray(w[rows, i]).view(np.uint8).reshape(-1, 8)
-    ones = np.cumsum(np.bitwise_count(byte), axis=1, dtype=np.int64)
-    j = (ones <= left[:, None]).sum(axis=1).clip(max=7)
-    left = left - np.where(j > 0, ones[rows, j - 1], 0)
-    return (block * _BLOCK + i) * 64 + j * 8 + _IN_BYTE[byte[rows, j], left.clip(0, 7)]
+    for _ in range(_BLOCK - 1):  # on to the word that holds it
+        ones = np.bitwise_count(w[rows]).astype(np.int64)
+        on = left[rows] >= ones
+        if not on.any():
+            break
+        rows, ones = rows[on], ones[on]
+        left[rows] -= ones
+        at[rows] += 1
+        next_ = words[at[rows]]
+        w[rows] = ~next_ if flip else next_
+    return at * 64 + _in_word(w, left)
 
 
 class EliasFano:
@@ -103,8 +122,16 @@ class EliasFano:
         inside = high < int(self.zeros[-1])  # beyond: larger than any value
         h = np.where(inside, high, 0)
         lo = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) - (h - 1), 0)
-        hi = _select(self.high, self.zeros, h, True) - h
-        lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)  # values with this high part
+        # the values with this high part: the ones that follow in a row
+        bit = lo + h
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+        view = self.high[word] >> shift
+        view |= np.where(shift > 0, self.high[word + 1] << (np.uint64(64) - np.maximum(shift, _U[1])), _U[0])
+        run = np.bitwise_count(view & ~(view + _U[1])).astype(np.int64)
+        hi = lo + run
+        long = np.flatnonzero(run >= 64)
+        hi[long] = _select(self.high, self.zeros, h[long], True) - h[long]
+        lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
         if start is not None:
             lo, hi = np.maximum(lo, start), np.maximum(np.minimum(hi, end), np.maximum(lo, start))
         want = x & np.uint64((1 << self.low_bits) - 1)

@@ -118,13 +118,25 @@ def lookup_words(level: Level, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node (-1 if absent), discounted probability and back-off weight."""
+    """Node (-1 if absent), discounted probability and back-off weight.  Each
+    distinct pair is looked up once, and each context once; in their order, so
+    that neighbours are read one after the other."""
     node, p, back = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
     able = np.flatnonzero(context >= 0)
-    c, w = context[able], word[able]
+    if not len(able):
+        return node, p, back
+    base = words + 2
+    if level.contexts < (1 << 63) // base:
+        pairs, inverse = np.unique(context[able] * base + (word[able] + 1), return_inverse=True)
+        c, w = pairs // base, pairs % base - 1
+    else:
+        pairs, inverse = np.unique(np.stack([context[able], word[able]], 1), axis=0, return_inverse=True)
+        c, w = pairs[:, 0], pairs[:, 1]
+    own_node, own_p, own_back = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.ones(len(c))
     shard = shard_of(level, c, np.maximum(w, 0), words)
-    order = np.argsort(shard, kind="stable")
-    able, c, w, shard = able[order], c[order], w[order], shard[order]
+    order = np.argsort(shard, kind="stable") if len(level.hot) else None  # else sorted, as contexts are
+    if order is not None:
+        c, w, shard = c[order], w[order], shard[order]
     cut = np.searchsorted(shard, np.arange(len(level.files) + 1))
     offsets = level.offsets
     for s in range(len(level.files)):
@@ -132,22 +144,36 @@ def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int) -> t
             continue
         part = slice(cut[s], cut[s + 1])
         arrays = read_arrays(f"{level.path}/{s}")
-        j = EliasFano(arrays, "contexts").find(c[part].astype(np.uint64))
-        known = np.flatnonzero(j >= 0)
-        j, rows = j[known], able[part][known]
+        mine = c[part]
+        first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
+        j = EliasFano(arrays, "contexts").find(mine[first].astype(np.uint64))
+        got = np.flatnonzero(j >= 0)
+        if not len(got):
+            continue
         pointers, successors = EliasFano(arrays, "pointers"), EliasFano(arrays, "successors")
-        start, end = pointers.get(j).astype(np.int64), pointers.get(j + 1).astype(np.int64)
-        before = np.where(start > 0, successors.get(np.maximum(start - 1, 0)), np.uint64(0))
-        next_ = w[part][known]
-        at = successors.find(before + np.maximum(next_, 0).astype(np.uint64), start, end)
-        at[next_ < 0] = -1  # no word of the level, but the weight counts
-        back[rows] = _FROM_CODE[arrays["backoff"][j]]
+        start, end, before = (np.zeros(len(first), np.int64) for _ in range(3))
+        start[got], end[got] = pointers.get(j[got]), pointers.get(j[got] + 1)
+        last = got[start[got] > 0]
+        before[last] = successors.get(start[last] - 1)
+        weight = np.ones(len(first))
+        weight[got] = _FROM_CODE[arrays["backoff"][j[got]]]
+        rows = np.flatnonzero((j[run] >= 0) & (w[part] >= 0))
+        at = successors.find((before[run[rows]] + w[part][rows]).astype(np.uint64), start[run[rows]], end[run[rows]])
         hit = at >= 0
-        p[rows[hit]] = _FROM_CODE[arrays["code"][at[hit]]]
-        node[rows[hit]] = at[hit] + offsets[s]
+        rows, at = rows[hit] + cut[s], at[hit]
+        where = np.arange(cut[s], cut[s + 1])
+        if order is not None:
+            rows, where = order[rows], order[where]
+        own_back[where] = weight[run]
+        own_p[rows] = _FROM_CODE[arrays["code"][at]]
+        own_node[rows] = at + offsets[s]
     if len(level.hot):  # the weight of a context with several shards
-        at = np.minimum(np.searchsorted(level.hot, context), len(level.hot) - 1)
-        back = np.where((context >= 0) & (level.hot[at] == context), level.hot_backoff[at], back)
+        all_c = np.empty(len(c), np.int64)
+        all_c[order] = c
+        at = np.minimum(np.searchsorted(level.hot, all_c), len(level.hot) - 1)
+        own_back = np.where(level.hot[at] == all_c, level.hot_backoff[at], own_back)
+    node[able], p[able], back[able] = own_node[inverse], own_p[inverse], own_back[inverse]
     return node, p, back
 
 
