@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qpanel.llm.common import LOWER, UPPER, documents, whole_text
+from qpanel.llm.common import LOWER, UPPER, documents, whole_text, written
 
 BROADCAST_TEXTS = 100_000
 
@@ -48,42 +48,57 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"),
 ]
 
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright ([0-9(c]|by )|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright ([0-9(c]|by )|\(c\)|©|all rights reserved)"
 
 
-def canonical(text: Column) -> Column:
-    t = F.translate(text, UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
-    t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, "[^a-z0-9]+", " ")), F.lit(" "))
+def spelled(form: Column) -> Column:
+    """Blank-separated words with equivalent spellings replaced."""
+    t = F.concat(F.lit(" "), form, F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
     return F.trim(t)
 
 
-def digest(text: Column) -> Column:
-    """sha256 of the canonical text; NULL if nothing is left of it."""
-    c = canonical(text)
-    return F.when(F.length(c) > 0, F.sha2(c.cast("binary"), 256))
+def plain_lines(text: Column) -> Column:
+    """The lines in lower case, as words with single blanks; no copyright lines."""
+    lines = F.filter(F.split(F.translate(text, UPPER, LOWER), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
+    return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+
+
+def whole_form(lines: Column) -> Column:
+    return spelled(F.array_join(F.filter(lines, lambda x: x != ""), " "))
+
+
+def sha(form: Column) -> Column:
+    return F.when(F.length(form) > 0, F.sha2(form.cast("binary"), 256))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """(digest, license): of ``known`` (license_id, text), one row a digest."""
+    """(digest, license, size): of ``known`` (license_id, text), one row a digest."""
     known = spark.createDataFrame(KNOWN, "license_id string, text string") if known is None else known
-    return (known.select(digest(F.col("text")).alias("digest"), "license_id").filter("digest IS NOT NULL")
-            .groupBy("digest").agg(F.min("license_id").alias("license")))
+    form = known.select("license_id", whole_form(plain_lines(F.col("text"))).alias("form")).filter("form <> ''")
+    return form.groupBy(sha(F.col("form")).alias("digest")).agg(
+        F.min("license_id").alias("license"), F.max(F.length("form")).alias("size"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_digest, license_id (of the
-    whole text or NULL), notices (ids of licence lines, sorted, joined by ',')."""
-    table = known_digests(docs.sparkSession, known)
-    if known is None or known.count() <= BROADCAST_TEXTS:
+    whole text or NULL), notices (ids of licence lines, sorted, joined by ',').
+    A line's digest is taken only if some known text has its length."""
+    table = written(known_digests(docs.sparkSession, known), "licenses")
+    few = table.count() <= BROADCAST_TEXTS
+    lines = docs.select("doc_id", plain_lines(whole_text()).alias("lines"))
+    forms = F.transform("lines", spelled)
+    if few:
+        sizes = F.array(*[F.lit(r["size"]) for r in table.select("size").distinct().collect()]).cast("array<int>")
+        forms = F.filter(forms, lambda x: F.array_contains(sizes, F.length(x)))
         table = F.broadcast(table)
-    lines = docs.select("doc_id", F.explode(F.split(whole_text(), "\n")).alias("line"))
-    found = (lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest")
+    rows = written(lines.select("doc_id", sha(whole_form(F.col("lines"))).alias("digest"),
+                                F.array_distinct(F.transform(forms, sha)).alias("found")), "license-digests")
+    found = (rows.select("doc_id", F.explode("found").alias("digest")).join(table, "digest")
              .groupBy(F.col("doc_id").alias("_id"))
              .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")))
-    whole = docs.select("doc_id", digest(whole_text()).alias("digest")).join(table, "digest", "left")
+    whole = rows.select("doc_id", "digest").join(table, "digest", "left")
     return whole.join(found, whole["doc_id"].eqNullSafe(found["_id"]), "left").select(
         "doc_id", F.col("digest").alias("text_digest"), F.col("license").alias("license_id"),
         F.coalesce("notices", F.lit("")).alias("notices"))
@@ -99,8 +114,8 @@ def _quote(s: str) -> str:
 
 
 def canonical_sql(col: str) -> str:
-    t = f"translate({col}, '{UPPER}', '{LOWER}')"
-    t = f"regexp_replace({t}, {_quote(COPYRIGHT_LINE)}, chr(10), 'g')"
+    line = COPYRIGHT_LINE.replace("^[^a-z0-9]*", r"(^|\n)[^a-z0-9\n]*") + r"[^\n]*"
+    t = f"regexp_replace(translate({col}, '{UPPER}', '{LOWER}'), {_quote(line)}, chr(10), 'g')"
     t = f"(' ' || trim(regexp_replace({t}, '[^a-z0-9]+', ' ', 'g')) || ' ')"
     for a, b in SPELLINGS:
         t = f"replace({t}, ' {a} ', ' {b} ')"
