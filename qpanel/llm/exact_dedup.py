@@ -88,7 +88,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = build_index(docs, keys, text_col, capacity, id_col)
     # of repeated rows with the id that stays, one row number stays
     winner = keys.groupBy("h", "sha").agg(F.max_by("row", F.coalesce("id", F.lit(-(1 << 63)))).alias("winner"))
-    entry = index.join(winner, ["h", "sha"]).select("h", "sha", "keep_id", "group_size", "winner")
+    # written, so that the last join stands alone and a hot text's rows can be split
+    entry = written(index.join(winner, ["h", "sha"]).select("h", "sha", "keep_id", "group_size", "winner"), "dedup-entries")
     return keys.join(entry, ["h", "sha"]).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("winner")).alias("kept"),
         F.col("sha").alias("text_sha256"))
