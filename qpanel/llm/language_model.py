@@ -3,7 +3,7 @@
 Level 1 holds the words of the training texts: sorted 63-bit hashes and running
 sums of their counts (both monotone, both Elias-Fano), so a word's id is its
 place and its count is exact.  Level k > 1 holds the n-grams of length k that
-occur ``MIN_COUNT`` times at least: contexts (nodes of level k - 1) as a sorted
+occur ``MIN_COUNT`` times at least (1, so all of them): contexts (nodes of level k - 1) as a sorted
 sequence, a monotone pointer from each to its successors, the successors as
 word ids relative to their context (made monotone by adding the last value of
 the context before), and one byte each for the discounted probability of a
@@ -20,9 +20,8 @@ word's smoothed relative frequency (c + 0.1) / (N + 0.1 (V + 1)); at each level
 above, discounted frequency among the context's occurrences plus the back-off
 weight (all mass not given to the level's own n-grams) times the lower level.
 
-Pruning below ``MIN_COUNT`` is the usual cut-off of counts; counts themselves
-cover every training text.  An n-gram can only reach MIN_COUNT if its words and
-its first part do, so others are not even sent.
+Nothing is pruned: n-grams and words that occur once are kept and counted like
+any other, as what nearly repeats one training text has no others.
 
 Edge cases: a NULL or empty text is one end token; without training texts V and
 N are 0 and every probability is 1 / 1 (score 0); repeated rows count as often
@@ -43,7 +42,7 @@ from qpanel.llm.common import Words, bucket_of, chunks, documents, scratch
 from qpanel.llm.elias_fano import EliasFano, read_arrays, write_arrays
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD_TOKENS = 1 << 22
 PIECE = 1 << 22
