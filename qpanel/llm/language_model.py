@@ -3,7 +3,7 @@
 Level 1 holds the words of the training texts: sorted 63-bit hashes and running
 sums of their counts (both monotone, both Elias-Fano), so a word's id is its
 place and its count is exact.  Level k > 1 holds the n-grams of length k that
-occur ``MIN_COUNT`` times at least (1, so all of them): contexts (nodes of level k - 1) as a sorted
+occur in them, those that occur once too: contexts (nodes of level k - 1) as a sorted
 sequence, a monotone pointer from each to its successors, the successors as
 word ids relative to their context (made monotone by adding the last value of
 the context before), and one byte each for the discounted probability of a
@@ -42,7 +42,6 @@ from qpanel.llm.common import Words, bucket_of, chunks, documents, scratch
 from qpanel.llm.elias_fano import EliasFano, read_arrays, write_arrays
 
 ORDER = 3
-MIN_COUNT = 1
 DISCOUNT = 0.75
 SHARD_TOKENS = 1 << 22
 PIECE = 1 << 22
@@ -195,18 +194,17 @@ def shifted(values: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 def nodes_of(model: Model, raw: np.ndarray, offsets: np.ndarray):
-    """Per token: first-token index, word id, count, then for each level
-    (context, node, p, back)."""
+    """First-token indices; per token: word id, count, node of the last level;
+    the node before a text; for each level (context, node, p, back)."""
     hashes, first = tokens_of(raw, offsets)
     ids, count = lookup_words(model.words, hashes)
-    use = np.where(count >= MIN_COUNT, ids, -1)
-    steps, below, start = [], use, model.distinct  # the start of a text is a context of its own
+    steps, below, start = [], ids, model.distinct  # the start of a text is a context of its own
     for level in model.levels:
         context = shifted(below, first, start)
-        node, p, back = lookup(level, context, use, model.distinct)
+        node, p, back = lookup(level, context, ids, model.distinct)
         steps.append((context, node, p, back))
         below, start = node, -1
-    return first, use, count, below, start, steps
+    return first, ids, count, below, start, steps
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -322,10 +320,10 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
 
         for batch in batches:
             for _, _, raw, off in chunks(batch.column("text"), PIECE):
-                first, use, _, below, start, _ = nodes_of(known, raw, off)
+                first, ids, _, below, start, _ = nodes_of(known, raw, off)
                 context = shifted(below, first, start)
-                able = (context >= 0) & (use >= 0)
-                held.append((context[able], use[able]))
+                able = context >= 0              # all but a text's first tokens
+                held.append((context[able], ids[able]))
                 n += int(able.sum())
                 if n > RUN:
                     yield sent()
@@ -337,33 +335,24 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
         known, new = shared.value
         shard = table["shard"][0].as_py()
         context, word, count = _merged(table)
-        # all occurrences of a context, before pruning: exact unless its words were split over shards
-        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-        seen = np.add.reduceat(count, starts)
-        seen = np.repeat(seen, np.diff(np.append(starts, len(context))))
-        keep = count >= MIN_COUNT
-        context, word, count, seen = context[keep], word[keep], count[keep], seen[keep]
-        if not len(context):
-            return pa.table({"shard": [shard], "nodes": [0], "seen": [0], "kept": [0.0], "at": [[]], "count": [[]]}, schema=_grown)
         starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         kept = np.add.reduceat(count - DISCOUNT, starts)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context))))
         last = word[np.append(starts[1:], len(word)) - 1]
         base = np.concatenate([[0], np.cumsum(last)[:-1]])
-        is_hot = shard >= new.regular
-        whole = dict(hot)[int(context[0])] if is_hot else None
-        total = np.full(len(starts), whole) if is_hot else seen[starts]
+        # all occurrences of a context: its own count where its words are split over shards, else the sum over its words
+        total = np.full(1, dict(hot)[int(context[0])]) if shard >= new.regular else np.add.reduceat(count, starts)
         arrays = EliasFano.encode(context[starts], "contexts") | EliasFano.encode(np.append(starts, len(word)), "pointers")
         arrays |= EliasFano.encode(base[of] + word, "successors")
         arrays["code"] = to_code((count - DISCOUNT) / total[of])
         arrays["backoff"] = to_code(1 - kept / total)
         write_arrays(f"{path}/{shard}", arrays)
         large = np.flatnonzero(count > SHARD_TOKENS)
-        return pa.table({"shard": [shard], "nodes": [len(word)], "seen": [int(seen[0])], "kept": [float(kept[0])],
+        return pa.table({"shard": [shard], "nodes": [len(word)], "kept": [float(kept[0])],
                          "at": [large.tolist()], "count": [count[large].tolist()]}, schema=_grown)
 
     made = texts.select("text").mapInArrow(run, _BLOCK).groupBy("shard").applyInArrow(
-        own, "shard long, nodes long, seen long, kept double, at array<long>, count array<long>").collect()  # a row a shard
+        own, "shard long, nodes long, kept double, at array<long>, count array<long>").collect()  # a row a shard
     kept = np.zeros(len(hot))
     for r in made:
         level.files[r["shard"]] = r["nodes"]
@@ -374,7 +363,7 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
     return level
 
 
-_grown = pa.schema([("shard", pa.int64()), ("nodes", pa.int64()), ("seen", pa.int64()), ("kept", pa.float64()),
+_grown = pa.schema([("shard", pa.int64()), ("nodes", pa.int64()), ("kept", pa.float64()),
                     ("at", pa.list_(pa.int64())), ("count", pa.list_(pa.int64()))])
 
 

@@ -1,5 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
 from qpanel.llm import language_model
+from qpanel.llm.common import documents
+from tests_llm_helpers import words
 
 
 def scored(spark, train, held):
@@ -15,3 +23,30 @@ def test_a_text_that_nearly_repeats_one_training_text_scores_high(spark):
     got = scored(spark, [*train, once], [once + " today", " ".join(reversed(once.split()))])
     assert got[0].score > got[0].base_score + 0.5 * got[0].n_tokens   # known bigrams and trigrams, each seen once
     assert got[0].score > got[1].score + 0.5 * got[0].n_tokens        # the same words in no known order
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 300])
+def test_split_and_whole_contexts_share_one_formula(spark, small, shard, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", shard)
+    tokens = {r.doc_id: ["<s>", *words(r.text or ""), "</s>"] for r in documents(spark, small).collect()}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    c1 = Counter(w for t in train for w in t[1:])
+    c2 = Counter(x for t in train for x in zip(t, t[1:], strict=False))
+    c3 = Counter(((a, b), c) for t in train for a, b, c in zip(t, t[1:], t[2:], strict=False))
+    levels = []
+    for counts in (c2, c3):
+        seen, types = Counter(), Counter()
+        for (context, _), n in counts.items():
+            seen[context] += n
+            types[context] += 1
+        levels.append((counts, seen, types))
+    d, total = language_model.DISCOUNT, sum(c1.values())
+    for r in language_model.op2_language_model(spark, small).collect():
+        t, full = tokens[r.doc_id], 0.0
+        for j in range(1, len(t)):
+            p = (c1[t[j]] + 0.1) / (total + 0.1 * (len(c1) + 1))
+            for (counts, seen, types), context in zip(levels, (t[j - 1], tuple(t[j - 2:j]) if j > 1 else None), strict=True):
+                if context in seen:
+                    p = max(0, counts[context, t[j]] - d) / seen[context] + d * types[context] / seen[context] * p
+            full += math.log10(p)
+        assert abs(r.score - full) / (len(t) - 1) < 0.02   # a byte holds a probability to half a step of 9 / 255
