@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than its whole job."""
 import math
+import random
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from qpanel.llm import language_model
+from qpanel.llm import fingerprints, language_model
 from qpanel.llm.common import documents
 from tests_llm_helpers import words
 
@@ -13,7 +15,6 @@ from tests_llm_helpers import words
 def scored(spark, train, held):
     model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(2))
     rows = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
-    from pyspark.sql import functions as F
     return {r.doc_id: r for r in language_model.score_texts(rows, model, F.lit(True)).collect()}
 
 
@@ -50,3 +51,20 @@ def test_split_and_whole_contexts_share_one_formula(spark, small, shard, monkeyp
                     p = max(0, counts[context, t[j]] - d) / seen[context] + d * types[context] / seen[context] * p
             full += math.log10(p)
         assert abs(r.score - full) / (len(t) - 1) < 0.02   # a byte holds a probability to half a step of 9 / 255
+
+
+def test_pieces_meet_again_after_an_edit(spark):
+    draw = random.Random(5)
+    prose = [f"w{draw.randrange(997)}" for _ in range(6000)]
+    pairs = []
+    for n in (45, 50, 52, 54, 60, 200, 800, 6000):  # 200 characters and more, some around 256
+        line = " ".join(prose[:n])
+        pairs += [("front", f"Inserted {line}", line), ("end", f"{line} and some words more here", line)]
+    spread = [w + "x" if k % 375 == 7 else w for k, w in enumerate(prose)]
+    pairs.append(("spread", " ".join(spread), " ".join(prose)))   # one word in each sixteenth
+    df = spark.createDataFrame(pairs, "what string, a string, b string").select(
+        "what", F.length("b").alias("n"), fingerprints.paragraphs(F.col("a")).alias("a"), fingerprints.paragraphs(F.col("b")).alias("b"))
+    for r in df.collect():
+        a, b = set(r.a), set(r.b)
+        assert 1 - len(a ^ b) / (len(a) + len(b)) >= 0.5, (r.what, r.n)
+        assert len(b) >= r.n / 6 / fingerprints.LONGEST   # as many as the text needs
