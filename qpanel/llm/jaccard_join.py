@@ -34,9 +34,9 @@ the sketches.
 Edge cases: a NULL text, or one without words, has the empty set (n_shingles 0)
 and links with nothing; with 1 to 4 words the sequence of words is the one
 shingle; rows with equal sets link, repeated doc_ids included; a NULL doc_id is
-never the least id (NULL if a component has no other), and a set that only rows
-with a NULL doc_id have links with equal sets alone; an empty table gives an
-empty table; extra columns are ignored.
+never the least id (NULL if a component has no other); an empty table gives an
+empty table; extra columns are ignored.  Rows are known by doc_id and a hash of
+their text, so NULL and repeated ids are told apart.
 """
 from __future__ import annotations
 
@@ -44,10 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qpanel.llm.common import Words, chunks, documents, mix, written
+from qpanel.llm.common import Words, chunks, documents, mix, whole_text, written
 from qpanel.llm.components import components
 
 SHINGLE = 5
@@ -102,8 +102,17 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def text_hash() -> Column:
+    return F.xxhash64(whole_text())
+
+
+def row_key(doc_id: str, h: Column) -> Column:
+    """Equal for rows with one id (or none) and one text only."""
+    return F.concat_ws(":", h, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(doc_id).isNull())
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid, sketch of every row (sid and sketch NULL if n is 0)."""
+    """doc_id, h, n, sid, sketch of every row (sid and sketch NULL if n is 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sid, bits = [], [], []
@@ -111,10 +120,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 sid.append(digest(s) if len(s) else None)
                 bits.append(sketch(s) if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                                   pa.array(bits, pa.binary())], ["doc_id", "n", "sid", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
+                                   pa.array(bits, pa.binary())], ["doc_id", "h", "n", "sid", "sketch"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, sketch binary")
+    return docs.select("doc_id", "text", text_hash().alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n long, sid long, sketch binary")
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +262,9 @@ def compared(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``d``, the exact symmetric difference, and
     ``linked``."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    holders = written(sets.join(wanted, "sid").select("holder", "sid"), "jaccard-wanted")
+    holders = written(sets.join(wanted, "sid").select(row_key("holder.id", F.col("holder.h")).alias("key"), "sid"), "jaccard-wanted")
     few = holders.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(F.broadcast(holders) if few else holders, F.col("doc_id") == F.col("holder"))
+    rows = docs.select("text", row_key("doc_id", text_hash()).alias("key")).join(F.broadcast(holders) if few else holders, "key")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,11 +345,12 @@ def decided_by_pivot(pairs: DataFrame, answers: DataFrame) -> DataFrame:
         F.when(same, F.col("da") + F.col("db")).alias("high"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """document_sets, and (sid, head): of every set the first row of its
+    component (none: without a doc_id; these are last), id and h."""
     rows = written(document_sets(docs), "jaccard-rows")
     sets = written(rows.filter("n > 0").groupBy("sid").agg(
-        F.min("doc_id").alias("holder"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-distinct")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")).alias("holder"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-distinct")
     index = index_entries(docs, common_shingles(docs))
     answers = first_answers(docs, sets, index)
     links = answers.filter("linked").select("a", "b")
@@ -351,11 +361,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     open_ = pairs.filter("high IS NULL OR 7 * high > sizes").select("a", "b")
     rest = compared(docs, sets, written(sketched(open_, sets).select("a", "b"), "jaccard-open"))
     found = components(links.union(sure).union(rest.filter("linked").select("a", "b")))
-    # the least doc_id of each component, and back to the rows
+    # the first row of each component, and back to the sets
     least = sets.join(found.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "holder", F.coalesce("root", "sid").alias("root"))
-    ids = least.groupBy("root").agg(F.min("holder").alias("component_id"))
-    ids = written(least.join(ids, "root").select("sid", "component_id"), "jaccard-ids")
+    heads = least.groupBy("root").agg(F.min("holder").alias("head"))
+    return rows, written(least.join(heads, "root").select("sid", "head"), "jaccard-ids")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, ids = set_components(docs)
+    ids = ids.select("sid", F.col("head.id").alias("component_id"))
     full = rows.filter("n > 0").join(ids, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.union(empty)
@@ -363,9 +379,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the least doc_id
-    (rows without words stay)."""
-    least = jaccard_components(docs).filter("doc_id = component_id OR n_shingles = 0").select("doc_id").distinct()
-    return docs.join(least, docs["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")
+    (NULL last), then the least text hash; rows without words stay."""
+    _, ids = set_components(docs)
+    heads = ids.select(row_key("head.id", F.col("head.h")).alias("_key")).distinct()
+    has_words = whole_text().rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.filter(has_words).withColumn("_key", row_key("doc_id", text_hash()))
+    kept = rows.join(heads, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")  # of repeated rows one
+    return kept.unionByName(docs.filter(~has_words))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from qpanel.llm import fingerprints, language_model
+from qpanel.llm import fingerprints, jaccard_join, language_model
 from qpanel.llm.common import documents
 from tests_llm_helpers import words
 
@@ -68,3 +68,20 @@ def test_pieces_meet_again_after_an_edit(spark):
         a, b = set(r.a), set(r.b)
         assert 1 - len(a ^ b) / (len(a) + len(b)) >= 0.5, (r.what, r.n)
         assert len(b) >= r.n / 6 / fingerprints.LONGEST   # as many as the text needs
+
+
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    def text(tag):
+        return " ".join(f"{tag}{i}" for i in range(40))
+
+    rows = [(None, text("a")), (None, text("a") + " more"),      # near copies, no id at all
+            (None, text("b")),                                   # unique, no id
+            (None, None), (None, ""), (4, "  "),                 # without words: all stay
+            (7, text("c")), (7, text("c") + " more"), (7, text("c")),   # near copies and a repeated row under one id
+            (7, text("d")),                                      # another text under that id
+            (None, text("e")), (9, text("e") + " more")]         # the row with an id stays
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, F.coalesce("text", F.lit("")))
+    kept = [(r.doc_id, (r.text or "").strip()) for r in jaccard_join.one_per_component(docs).collect()]
+    letters = sorted((i is None, i or 0, t[:1]) for i, t in kept)
+    assert letters == sorted([(True, 0, "a"), (True, 0, "b"), (True, 0, ""), (True, 0, ""), (False, 4, ""),
+                              (False, 7, "c"), (False, 7, "d"), (False, 9, "e")])
