@@ -137,7 +137,8 @@ def integer_rows(vectors: DataFrame) -> DataFrame:
 
 def _vectors(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     kinds, vecs = rows.column("kind").to_pylist(), rows.column("vec").to_pylist()
-    return np.array([np.frombuffer(v, k) for k, v in zip(kinds, vecs, strict=True)], np.float64).reshape(len(kinds), -1)
+    each = [np.frombuffer(v, k).astype(np.float64) for k, v in zip(kinds, vecs, strict=True)]
+    return np.stack(each) if each else np.zeros((0, 0))
 
 
 def make_blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -151,8 +152,8 @@ def make_blocks(rows: DataFrame, count: int) -> DataFrame:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = (_vectors(batch) - mean) @ axes if batch.num_rows else np.zeros((0, 0))
-            cells = np.array([np.searchsorted(edges[:, i], at[:, i]) for i in range(at.shape[1])], np.int64).reshape(at.shape[1], -1).T
-            place = hilbert(cells, BITS) if at.shape[1] else np.zeros(batch.num_rows, np.int64)
+            cells = [np.searchsorted(edges[:, i], at[:, i]) for i in range(at.shape[1])]
+            place = hilbert(np.stack(cells, axis=1), BITS) if cells else np.zeros(batch.num_rows, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], names=[*batch.schema.names, "place"])
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
