@@ -63,11 +63,8 @@ def test_language_model(spark, small, shard, monkeypatch):
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
     c1 = Counter(w for i in train for w in tokens[i][1:])
     total, distinct = sum(c1.values()), len(c1)
-    able = lambda w: c1[w] >= 2
-    c2 = Counter((a, b) for i in train for a, b in zip(tokens[i], tokens[i][1:], strict=False) if (a == "<s>" or able(a)) and able(b))
-    k2 = {k: v for k, v in c2.items() if v >= 2}
-    c3 = Counter(((a, b), c) for i in train for a, b, c in zip(tokens[i], tokens[i][1:], tokens[i][2:], strict=False) if (a, b) in k2 and able(c))
-    k3 = {k: v for k, v in c3.items() if v >= 2}
+    k2 = c2 = Counter((a, b) for i in train for a, b in zip(tokens[i], tokens[i][1:], strict=False))
+    k3 = c3 = Counter(((a, b), c) for i in train for a, b, c in zip(tokens[i], tokens[i][1:], tokens[i][2:], strict=False))
 
     def mass(counts, kept):
         seen, given = Counter(), Counter()
@@ -90,8 +87,8 @@ def test_language_model(spark, small, shard, monkeypatch):
         r = got[i]
         assert (r.n_tokens, r.train_tokens, r.n_known) == (len(t) - 1, total, sum(c1[w] > 0 for w in t[1:]))
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        # bytes hold a probability to half a step of 9 / 255 in log10; split contexts count unsent n-grams too
-        assert abs(r.score - full) / (len(t) - 1) < (0.02 if shard > 3000 else 0.1)
+        # bytes hold a probability to half a step of 9 / 255 in log10
+        assert abs(r.score - full) / (len(t) - 1) < 0.02
 
 
 def test_packing(spark, small):
@@ -205,37 +202,9 @@ def test_sketches_bound_the_difference():
         assert jaccard_join.sketch_distance(jaccard_join.sketch(x), jaccard_join.sketch(y)) <= d
 
 
-def test_fingerprints(spark, small):
-    docs = sorted(texts(spark, small).items())
-    got = {r.doc_id: r for r in fingerprints.op9_fingerprints(spark, small).collect()}
-    for k, (i, text) in enumerate(docs):
-        after = docs[(k + 1) % len(docs)][1]
-        tail = len(text) // 4
-        edited = text[:len(text) - tail] + after[:tail]
-        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert sum(r.near_edited > r.near_next + 0.3 for r in got.values()) > 0.9 * len(got)
-
-
 def test_buckets_do_not_change_the_next_document(spark, small, monkeypatch):
     docs = documents(spark, small)
-    one = sorted(map(tuple, fingerprints.with_next(docs).collect()))
+    one = sorted(map(tuple, fingerprints.with_next(docs).drop("bucket", "k").collect()))
     monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 20_000)
     monkeypatch.setattr(fingerprints, "COARSE", 5)
-    assert sorted(map(tuple, fingerprints.with_next(docs).collect())) == one
-
-
-def test_sketch_comparison_recovers_the_difference(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for size, off in ((0, 0), (1, 0), (5, 2), (30, 10), (80, 80), (300, 40)):
-        a = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, size)]
-        b = a[off:] + [int(x) for x in rng.integers(-(1 << 62), 1 << 62, off)]
-        rows.append((a, b))
-    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
-    from pyspark.sql import functions as F
-    df = df.select("a", "b", *[F.transform(F.transform(c, fingerprints.digest), lambda x: fingerprints.item(x)).alias(d) for c, d in ("ax", "by")])
-    df = df.select("a", "x", "y", fingerprints.compare(F.col("x"), F.col("y"), fingerprints.sketch(F.col("x")), fingerprints.sketch(F.col("y"))).alias("r"))
-    for r in df.collect():
-        a, b = {i.x for i in r.x}, {i.x for i in r.y}
-        assert set(r.r.left) == a - b and set(r.r.right) == b - a and len(a) == len(r.a)
+    assert sorted(map(tuple, fingerprints.with_next(docs).drop("bucket", "k").collect())) == one
