@@ -84,13 +84,13 @@ class EliasFano:
         unary = np.zeros((n + (int(high[-1]) if n else 0) + 2), np.uint8)
         unary[high + np.arange(n)] = 1
         words = _as_words(unary, 1 + _BLOCK)
-        lows = [np.zeros(0, np.uint8)]
-        for k in range(0, n if bits else 0, 1 << 16):  # a multiple of 8: parts join on whole bytes
-            part = values[k:k + (1 << 16)]
-            lows.append(np.packbits((part[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little"))
-        raw = np.concatenate(lows)
-        low = np.zeros((len(raw) + 7) // 8 + 2, np.uint64)
-        low.view(np.uint8)[:len(raw)] = raw
+        low = np.zeros((n * bits + 63) // 64 + 2, np.uint64)
+        if n and bits:  # low parts do not overlap, so a word is the sum of its shares
+            part, bit = values & np.uint64((1 << bits) - 1), np.arange(n) * bits
+            word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+            for at, share in ((word, part << shift), (word + 1, np.where(shift > 0, part >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))):
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                low[at[first]] += np.add.reduceat(share, first)
         count = np.bitwise_count(words[:len(words) // _BLOCK * _BLOCK]).reshape(-1, _BLOCK).sum(axis=1, dtype=np.int64)
         ones = np.concatenate([[0], np.cumsum(count)])
         return {f"{name}.meta": np.array([n, bits], np.int64), f"{name}.low": low, f"{name}.high": words,

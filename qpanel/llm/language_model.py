@@ -30,10 +30,11 @@ columns are ignored; an empty table gives an empty table.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,9 +95,26 @@ def shard_of(level: Level, context: np.ndarray, word: np.ndarray, words: int) ->
     return out
 
 
+def uniques(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and each value's place among them; only the
+    distinct ones are sorted."""
+    codes, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[codes]
+
+
+def pair_keys(major: np.ndarray, minor: np.ndarray, base: int) -> np.ndarray | None:
+    """Pairs as single numbers in the same order (minor below ``base``), if they fit."""
+    if base == 1:
+        return major
+    return major * base + minor if not len(major) or int(major.max()) < (1 << 63) // base - 1 else None
+
+
 def lookup_words(level: Level, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Id (-1 if unknown) and training count of each word."""
-    unique, back = np.unique(hashes, return_inverse=True)
+    unique, back = uniques(hashes)
     ids, count = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
     shard = unique >> (63 - (level.regular.bit_length() - 1))
     offsets = level.offsets
@@ -125,7 +143,7 @@ def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int) -> t
         return node, p, back
     base = words + 2
     if level.contexts < (1 << 63) // base:
-        pairs, inverse = np.unique(context[able] * base + (word[able] + 1), return_inverse=True)
+        pairs, inverse = uniques(context[able] * base + (word[able] + 1))
         c, w = pairs // base, pairs % base - 1
     else:
         pairs, inverse = np.unique(np.stack([context[able], word[able]], 1), axis=0, return_inverse=True)
@@ -222,15 +240,27 @@ _BLOCK_NAMES = ["shard", "n", "major", "minor", "counts"]
 _BLOCK = "shard long, n long, major binary, minor binary, counts binary"
 
 
-def _blocks(shard: np.ndarray, major: np.ndarray, minor: np.ndarray) -> pa.RecordBatch:
+def _counted(major: np.ndarray, minor: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs and how often each occurs."""
+    key = pair_keys(major, minor, base)
+    if key is None:
+        order = np.lexsort((minor, major))
+        major, minor = major[order], minor[order]
+        at = np.flatnonzero(np.append(True, (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])))
+        return major[at], minor[at], np.diff(np.append(at, len(major)))
+    key = np.sort(key)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    counts, key = np.diff(np.append(at, len(key))), key[at]
+    return (key, np.zeros(len(key), np.int64), counts) if base == 1 else (key // base, key % base, counts)
+
+
+def _blocks(major: np.ndarray, minor: np.ndarray, base: int, shard_of_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
     """Counted (major, minor) pairs, one row a shard."""
-    order = np.lexsort((minor, major, shard))
-    shard, major, minor = shard[order], major[order], minor[order]
-    new = np.ones(len(major), bool)
-    new[1:] = (major[1:] != major[:-1]) | (minor[1:] != minor[:-1]) | (shard[1:] != shard[:-1])
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(major)))
-    shard, major, minor = shard[at], major[at], minor[at]
+    major, minor, counts = _counted(major, minor, base)
+    shard = shard_of_pairs(major, minor)
+    if (shard[1:] < shard[:-1]).any():      # contexts with shards of their own
+        order = np.argsort(shard, kind="stable")
+        shard, major, minor, counts = shard[order], major[order], minor[order], counts[order]
     cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(shard))
     delta = lambda x: np.diff(x, prepend=x[:1] * 0)
@@ -240,22 +270,23 @@ def _blocks(shard: np.ndarray, major: np.ndarray, minor: np.ndarray) -> pa.Recor
                             pa.array([_packed(counts[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], _BLOCK_NAMES)
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(table: pa.Table, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct pairs of a shard's blocks with their summed counts,
     joined two runs at a time."""
     runs = []
     for n, a, b, c in zip(*(table[k].to_pylist() for k in ("n", "major", "minor", "counts")), strict=True):
-        runs.append((np.cumsum(_unpacked(a, n)), _unpacked(b, n), _unpacked(c, n)))
+        runs.append(tuple(x.view(np.int64) for x in (np.cumsum(_unpacked(a, n)), _unpacked(b, n), _unpacked(c, n))))
         while len(runs) > 1 and len(runs[-1][0]) * 2 >= len(runs[-2][0]):
-            runs.append(_joined(runs.pop(), runs.pop()))
+            runs.append(_joined(runs.pop(), runs.pop(), base))
     while len(runs) > 1:
-        runs.append(_joined(runs.pop(), runs.pop()))
-    return tuple(x.astype(np.int64) for x in runs[0])
+        runs.append(_joined(runs.pop(), runs.pop(), base))
+    return runs[0]
 
 
-def _joined(x: tuple, y: tuple) -> tuple:
+def _joined(x: tuple, y: tuple, base: int) -> tuple:
     major, minor, count = (np.concatenate(p) for p in zip(x, y, strict=True))
-    order = np.lexsort((minor, major))
+    key = pair_keys(major, minor, base)
+    order = np.lexsort((minor, major)) if key is None else np.argsort(key, kind="stable")  # two sorted runs: merged
     major, minor, count = major[order], minor[order], count[order]
     new = np.ones(len(major), bool)
     new[1:] = (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])
@@ -275,14 +306,14 @@ def count_words(texts: DataFrame, path: str, shards: int) -> tuple[Level, int]:
                 size += len(held[-1])
                 if size > RUN:
                     h = np.concatenate(held)
-                    yield _blocks(h >> (63 - bits), h, np.zeros(len(h), np.int64))
+                    yield _blocks(h, h, 1, lambda h, _: h >> (63 - bits))
                     held, size = [], 0
         if size:
             h = np.concatenate(held)
-            yield _blocks(h >> (63 - bits), h, np.zeros(len(h), np.int64))
+            yield _blocks(h, h, 1, lambda h, _: h >> (63 - bits))
 
     def own(table: pa.Table) -> pa.Table:
-        h, _, count = _merged(table)
+        h, _, count = _merged(table, 1)
         sums = np.concatenate([[0], np.cumsum(count)])
         write_arrays(f"{path}/{table['shard'][0].as_py()}", EliasFano.encode(h, "hash") | EliasFano.encode(sums, "sums"))
         large = np.flatnonzero(count > SHARD_TOKENS)
@@ -316,7 +347,7 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
 
         def sent() -> pa.RecordBatch:
             context, word = (np.concatenate(x) for x in zip(*held, strict=True))
-            return _blocks(shard_of(new, context, word, known.distinct), context, word)
+            return _blocks(context, word, known.distinct + 1, lambda c, w: shard_of(new, c, w, known.distinct))
 
         for batch in batches:
             for _, _, raw, off in chunks(batch.column("text"), PIECE):
@@ -334,7 +365,7 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
     def own(table: pa.Table) -> pa.Table:
         known, new = shared.value
         shard = table["shard"][0].as_py()
-        context, word, count = _merged(table)
+        context, word, count = _merged(table, known.distinct + 1)
         starts = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         kept = np.add.reduceat(count - DISCOUNT, starts)
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context))))
