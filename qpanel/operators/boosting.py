@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,8 +85,10 @@ class Tree:
         return len(self.feature) - 1
 
     def node_of(self, bins: np.ndarray) -> np.ndarray:
-        feature, at, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
         node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        if len(self.feature) == 1:
+            return node
+        feature, at, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
         while True:
             f = feature[node]
             inner = f >= 0
@@ -220,10 +223,10 @@ def _level(rows: DataFrame, fits: list[Fit], live: list[int], pending: list[list
                 at = place[growing[i].node_of(b[use])]
                 use, at = use[at >= 0], at[at >= 0]
                 g = pred[use, i] - y[use]
-                for f in range(features):
-                    cell = at * bins + b[use, f]
-                    hist[i][:, f, :, 0] += np.bincount(cell, g, len(open_[i]) * bins).reshape(-1, bins)
-                    hist[i][:, f, :, 1] += np.bincount(cell, minlength=len(open_[i]) * bins).reshape(-1, bins)
+                cell = ((at[:, None] * features + np.arange(features)) * bins + b[use]).ravel()
+                size = len(open_[i]) * features * bins
+                hist[i][..., 0] += np.bincount(cell, np.repeat(g, features), size).reshape(hist[i].shape[:3])
+                hist[i][..., 1] += np.bincount(cell, minlength=size).reshape(hist[i].shape[:3])
         yield pa.RecordBatch.from_arrays(
             [pa.array(live, pa.int32()), pa.array([np.array(open_[i], np.int64).tobytes() for i in live], pa.binary()),
              pa.array([hist[i].tobytes() for i in live], pa.binary()), pa.array([sums[i].tobytes() for i in live], pa.binary())],
@@ -351,13 +354,17 @@ def predict(frame: DataFrame, model: Model, out: str = "prediction") -> DataFram
 
 
 def search(frame: DataFrame, candidates: list[Params], years: list[int], features: list[str], label: str, period: str, key: list[str],
-           rounds: int = 500, patience: int = 20, together: int = 256) -> DataFrame:
+           rounds: int = 500, patience: int = 20, together: int = 32, parallelism: int = 8) -> DataFrame:
     """M3-M5: candidate, fold, rounds, rmse (levels); and a row without fold for
-    each candidate's mean.  At most ``together`` fits share a table."""
+    each candidate's mean.  ``together`` fits share a table and its jobs; the jobs
+    of ``parallelism`` such tables are submitted at a time."""
     fits = [Fit(c, p, y) for c, p in enumerate(candidates) for y in years]
-    told: list[dict] = []
-    for a in range(0, len(fits), together):
-        told += train(frame, fits[a:a + together], features, label, period, key, rounds, patience)[1]
+
+    def some(a: int) -> list[dict]:
+        return train(frame, fits[a:a + together], features, label, period, key, rounds, patience)[1]
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        told = [t for part in pool.map(some, range(0, len(fits), together)) for t in part]
     rows = [(t["candidate"], t["valid"], t["rounds"], t["level_rmse"]) for t in told]
     res = frame.sparkSession.createDataFrame(rows, "candidate int, fold int, rounds int, rmse double")
     return res.groupingSets([["candidate", "fold"], ["candidate"]], "candidate", "fold").agg(

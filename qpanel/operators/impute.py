@@ -12,15 +12,12 @@ same partitioning, one series per group.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index, quarter_label
 from qpanel.plans.ordered import cut_lineage, ecdf_distances, ecdf_distances_by
-from qpanel.plans.series_map import map_series
 
 
 def calendar_bounds(panel: DataFrame, ds: str = S.DS):
@@ -101,35 +98,41 @@ def impute_linear(df: DataFrame, value: str = S.Y, key: str = S.UID,
     return df.withColumn(value, filled).drop("_v0", "_q0", "_v1", "_q1")
 
 
-def _poly_fill_series(order: int, value: str):
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[value].to_numpy(dtype=float)
-        known = ~np.isnan(y)
-        if known.all():
-            return pdf
-        if not known.any():
-            return pdf.assign(**{value: 0.0})
-        x = np.arange(len(y), dtype=float)
-        if known.sum() >= order + 1:
-            # centred and scaled axis keeps the normal equations well posed
-            c, s = x[known].mean(), max(x[known].std(), 1.0)
-            coef = np.polyfit((x[known] - c) / s, y[known], order)
-            y = np.where(known, y, np.polyval(coef, (x - c) / s))
-        else:
-            y = np.interp(x, x[known], y[known])
-        return pdf.assign(**{value: y})
-    return fill
-
-
 def impute_poly(df: DataFrame, order: int = 3, value: str = S.Y, key: str = S.UID,
                 ds: str = S.DS) -> DataFrame:
     """I4: per-series least-squares polynomial through the known quarters
     (>= order+1 known), else linear; a series with no value becomes 0.
 
-    Runs as a per-series map (``plans.series_map``): whole series, sorted
-    by date, many series per Python call.
+    The fit is written in the polynomials that are orthogonal on the known
+    quarters, p_0 = 1 and p_{k+1} = (u - a_k) p_k - b_k p_{k-1}, where u is the
+    centred and scaled place of the quarter in its series; then each coefficient
+    is one quotient of sums, and nothing has to be inverted.  All sums are window
+    aggregates over the same partitioning: one shuffle, no Python.
     """
-    return map_series(df, key, [ds], _poly_fill_series(order, value), df.schema)
+    own = Window.partitionBy(key)
+    y, known = F.col("_y"), F.col("_y").isNotNull()
+    line = impute_linear(df.withColumn("_line", F.when(~F.isnan(F.col(value).cast("double")), F.col(value))), "_line", key, ds)
+    rows = line.withColumns({"_y": F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")),
+                             "_x": F.row_number().over(own.orderBy(ds)).cast("double")})
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(known, c)).over(own)
+
+    rows = rows.withColumns({"_n": F.count(y).over(own), "_mean": F.avg(F.when(known, F.col("_x"))).over(own),
+                             "_width": F.greatest(F.stddev_pop(F.when(known, F.col("_x"))).over(own), F.lit(1.0)), "_p0": F.lit(1.0)})
+    rows = rows.withColumn("_u", (F.col("_x") - F.col("_mean")) / F.col("_width"))
+    u, fit = F.col("_u"), None
+    for k in range(order + 1):
+        if k:
+            step = (u - F.col(f"_a{k - 1}")) * F.col(f"_p{k - 1}")
+            rows = rows.withColumn(f"_p{k}", step if k == 1 else step - F.try_divide(f"_q{k - 1}", f"_q{k - 2}") * F.col(f"_p{k - 2}"))
+        p = F.col(f"_p{k}")
+        rows = rows.withColumns({f"_q{k}": total(p * p), f"_t{k}": total(y * p), f"_m{k}": total(u * p * p)})
+        rows = rows.withColumn(f"_a{k}", F.try_divide(f"_m{k}", f"_q{k}"))
+        term = F.try_divide(f"_t{k}", f"_q{k}") * p
+        fit = term if fit is None else fit + term
+    filled = (F.when(known, y).when(F.col("_n") == 0, 0.0).when(F.col("_n") >= order + 1, fit).otherwise(F.col("_line")))
+    return rows.withColumn(value, filled).select(*df.columns)
 
 
 def _knn(k):
