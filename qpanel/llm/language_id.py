@@ -11,8 +11,8 @@ Calibration: a quarter of the training sample is kept out of the fit; on it a
 temperature is fitted (least log loss), and the rejection threshold is the
 smallest confidence above which accuracy is at least ``ACCURACY``.
 
-Training reads a sample of at most ``SAMPLE`` labelled rows, the first by a
-hash of doc_id.  Prediction covers every row and whole texts, in pieces of
+Training reads a sample of at most ``SAMPLE`` labelled rows of each language,
+the first by a hash of doc_id, so a rare language is learned too.  Prediction covers every row and whole texts, in pieces of
 bounded size.
 
 Edge cases: lang_pred is ``und`` with score 0 and accepted false for a NULL
@@ -27,14 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qpanel.llm.common import bucket_of, chunks, documents, grams, slices, sums_by_doc
 
 BUCKETS, DIM = 1 << 15, 16
 SIZES = (2, 3, 4)
-SAMPLE = 4000
+SAMPLE = 1000               # rows a language
 EPOCHS, RATE = 12, 1.0
 ACCURACY = 0.99
 PIECE = 1 << 18
@@ -159,11 +159,15 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on at most ``sample`` rows with a language, first by hash."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    picked = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", key.alias("_key"))
-    picked = picked.orderBy("_key", "doc_id").limit(sample).select("doc_id").distinct()
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(picked), "doc_id", "left_semi")
+    """Fits on at most ``sample`` rows a language, first by hash; repeated rows
+    (same id and text) count once."""
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    rows = rows.withColumns({"_id": F.coalesce("doc_id", F.lit("")), "_text": F.xxhash64("text")})
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", "_text")
+    keys = ["lang", "_id", "_text"]
+    # ranks are cut in each partition before the shuffle; equal rows share one
+    picked = rows.select(*keys).withColumn("_n", F.dense_rank().over(first)).filter(F.col("_n") <= sample).select(*keys).distinct()
+    rows = rows.join(picked, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text")).orderBy(*keys)
     rows = bags(rows).toArrow()
     return fit(list(zip(rows["lang"].to_pylist(), rows["ids"].to_numpy(), rows["counts"].to_numpy(), strict=True)))
 

@@ -20,8 +20,8 @@ split, so a retried task makes the same sequences.  sequence_id is the
 partition's number times 2**32 plus a running number.
 
 Ids are those of the byte-level BPE vocabulary ``byte_bpe_50k`` (read as ranks;
-a test compares them with the json form), special strings as ordinary text,
-then id 0 after each document.
+a test compares them with the json form), then id 0 after each document.  The
+json form's added tokens are cut out of a text first and give their own ids.
 
 Edge cases: a NULL or empty text is the one id 0; NULL and repeated doc_ids are
 rows like others; an empty table gives an empty table; extra columns are
@@ -30,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -44,20 +45,28 @@ from qpanel.llm.common import documents, whole_text
 TOKENS, SEGMENTS, LOSS = 1024, 32, 1024
 POOL = 256
 END = 0
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, str], object] = {}
 
 
-def encoder(ranks: str | None = None):
-    """The byte-level BPE from a file of ranks; loaded once a process."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Texts of the json form's added tokens, with their ids."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+
+
+def encoder(ranks: str | None = None, vocabulary: str | None = None):
+    """The byte-level BPE from a file of ranks and the added tokens of its json
+    form; loaded once a process."""
     import public_tokenizers
     import tiktoken
 
-    path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _loaded:
+    path, whole = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    if (path, whole) not in _loaded:
         with open(path, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return _loaded[path]
+        _loaded[path, whole] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
+                                                 special_tokens=added_tokens(whole))
+    return _loaded[path, whole]
 
 
 class Packer:
@@ -141,7 +150,7 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, with_ids: bool = F
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        bpe = encoder(ranks)
         base, made = TaskContext.get().partitionId() << 32, 0
         rows: list[tuple] = []
 
@@ -166,7 +175,7 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, with_ids: bool = F
             ids_column = batch.column("doc_id")
             id_type = ids_column.type
             for doc, text in zip(ids_column.to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py()), END], "<u4")
+                ids = np.array([*bpe.encode(text.as_py(), allowed_special="all"), END], "<u4")
                 whole = len(ids) // limits[0] * limits[0]
                 if whole:  # full sequences at once; the tail is copied, so that the rest can go
                     packer.add((doc, ids, 0, len(ids)), 0, whole, whole - 1)

@@ -25,6 +25,17 @@ def test_language_of_held_out_documents(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_a_rare_language_is_learned_and_repeated_ids_stay_bounded(spark):
+    rows = [(i, f"the quick dogs and cats number {i} went over the hill to the town", "en") for i in range(4000)]
+    rows += [(10**6 + i, f"žluťoučký kůň číslo {i} pěl ďábelské ódy u řeky", "cs") for i in range(8)]
+    rows += [(7, "the same row comes again and again", "en")] * 3000
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=200)
+    assert model.langs == ["cs", "en"]
+    new = spark.createDataFrame([(1, "kůň pěl ódy"), (2, "over the town and the hill")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(new, model, language_id.bucket_of("doc_id", 4) == 2).collect()}
+    assert got == {1: "cs", 2: "en"}
+
+
 def test_quality_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     rows = quality.op10_quality(spark, d).join(table(spark, d, "labels"), "doc_id").collect()
@@ -96,8 +107,11 @@ def test_packing(spark, small):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in texts(spark, small).items()}
-    docs = documents(spark, small).repartition(3, "doc_id")
+    odd = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", " <|ENDOFTEXT|> <|endoftext|>\n"]
+    odd = {10**9 + k: t for k, t in enumerate(odd)}     # added tokens are matched in texts
+    ids = {i: np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4") for i, t in (texts(spark, small) | odd).items()}
+    more = spark.createDataFrame(list(odd.items()), "doc_id long, text string")
+    docs = documents(spark, small).select("doc_id", "text").unionByName(more).repartition(3, "doc_id")
     pieces = packing.pack_documents(docs).toPandas()
     for i, mine in pieces.sort_values("start").groupby("doc_id"):
         assert (mine.doc_tokens == len(ids[i])).all() and mine.length.sum() == len(ids[i])
