@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qpanel.llm.common import documents, scratch, whole_text, written
+from qpanel.llm.common import documents, scratch, unused, whole_text, written
 
 CAPACITY = 8192                 # distinct hashes a bucket holds before it splits
 MAX_DEPTH = 40
@@ -100,9 +100,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     one of those if rows with that id and text repeat."""
     def key(ident: str, sha: Column) -> Column:
         return F.concat_ws(":", sha, F.coalesce(F.col(ident).cast("string"), F.lit("null")))
-    keep = exact_dedup(docs).filter("kept").select(key("doc_id", F.col("text_sha256")).alias("_key"))
-    rows = docs.withColumn("_key", key("doc_id", F.sha2(whole_text().cast("binary"), 256)))
-    return rows.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    name = unused(docs, "_key")
+    keep = exact_dedup(docs).filter("kept").select(key("doc_id", F.col("text_sha256")).alias(name))
+    rows = docs.withColumn(name, key("doc_id", F.sha2(whole_text().cast("binary"), 256)))
+    return rows.join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

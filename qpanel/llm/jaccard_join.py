@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qpanel.llm.common import Words, chunks, documents, mix, whole_text, written
+from qpanel.llm.common import Words, chunks, documents, mix, unused, whole_text, written
 from qpanel.llm.components import components
 
 SHINGLE = 5
@@ -380,11 +380,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the least doc_id
     (NULL last), then the least text hash; rows without words stay."""
+    name = unused(docs, "_key")
     _, ids = set_components(docs)
-    heads = ids.select(row_key("head.id", F.col("head.h")).alias("_key")).distinct()
+    heads = ids.select(row_key("head.id", F.col("head.h")).alias(name)).distinct()
     has_words = whole_text().rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.filter(has_words).withColumn("_key", row_key("doc_id", text_hash()))
-    kept = rows.join(heads, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")  # of repeated rows one
+    rows = docs.filter(has_words).withColumn(name, row_key("doc_id", text_hash()))
+    kept = rows.join(heads, name, "left_semi").dropDuplicates([name]).drop(name)  # of repeated rows one
     return kept.unionByName(docs.filter(~has_words))
 
 

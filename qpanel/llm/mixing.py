@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qpanel.llm.common import documents, written
+from qpanel.llm.common import documents, unused, written
 
 SEED = "mix-1"
 PART = 16.0
@@ -74,17 +74,18 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, total: int |
     (1, 2, ...), n_copies, rate and shuffle_key, dealt out by shuffle_key."""
     rows = docs.drop(*ADDED)
     rates = written(source_rates(rows, weights, total), "mix-rates")
+    source, parts, cdf, salt, own_salt = (unused(docs, c) for c in ("_source", "_parts", "_cdf", "_salt", "_salt0"))
     few = rates.count() <= BROADCAST_SOURCES
-    right = rates.select(F.col("source").alias("_source"), "rate", F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
+    right = rates.select(F.col("source").alias(source), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     if few:
-        joined = rows.join(F.broadcast(right), rows["source"].eqNullSafe(right["_source"]))
+        joined = rows.join(F.broadcast(right), rows["source"].eqNullSafe(right[source]))
     else:
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt0", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
-        joined = rows.join(right, rows["source"].eqNullSafe(right["_source"]) & (rows["_salt0"] == right["_salt"])).drop("_salt", "_salt0")
-    draw = lambda j: F.size(F.filter("_cdf", lambda c: c < uniform(F.lit(seed), ident, j.cast("string"))))
-    n = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, j: acc + draw(j))
+        right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(own_salt, F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
+        joined = rows.join(right, rows["source"].eqNullSafe(right[source]) & (rows[own_salt] == right[salt])).drop(salt, own_salt)
+    draw = lambda j: F.size(F.filter(cdf, lambda c: c < uniform(F.lit(seed), ident, j.cast("string"))))
+    n = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, j: acc + draw(j))
     copies = (joined.withColumn("n_copies", F.when(F.col("rate") > 0, n).otherwise(0).cast("long"))
               .filter("n_copies > 0")
               .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))

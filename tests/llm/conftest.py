@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that operators add or use inside
-CLASH = ("score", "kept", "keep_id", "component_id", "copy", "rate", "sid", "h", "row", "n", "_text", "held_out", "rank", "token")
+CLASH = ("score", "kept", "keep_id", "component_id", "copy", "rate", "sid", "h", "row", "n", "_text", "held_out", "rank", "token",
+         "_key", "_source", "_parts", "_cdf", "_salt", "_salt0", "bucket", "k", "info", "digests")
 
 PROSE = ("The quick brown fox jumps over the lazy dog and runs far away into the green forest near the old river bank "
          "where many other animals live together in peace until the winter comes and covers everything with white snow")
