@@ -165,9 +165,12 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = rows.withColumns({"_id": F.coalesce("doc_id", F.lit("")), "_text": F.xxhash64("text")})
     first = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", "_text")
     keys = ["lang", "_id", "_text"]
-    # ranks are cut in each partition before the shuffle; equal rows share one
-    picked = rows.select(*keys).withColumn("_n", F.dense_rank().over(first)).filter(F.col("_n") <= sample).select(*keys).distinct()
-    rows = rows.join(picked, keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text")).orderBy(*keys)
+    # the first by hash lie below four times their expected share, so a language's window sees few rows
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    share = F.shiftrightunsigned(F.xxhash64("_id"), 1).cast("double") / float(1 << 63)
+    near = rows.select(*keys).join(sizes, "lang").filter(share * F.col("_rows") < 4 * sample + 100)
+    picked = near.select(*keys).distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select(*keys)
+    rows = rows.join(F.broadcast(picked), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text")).orderBy(*keys)
     rows = bags(rows).toArrow()
     return fit(list(zip(rows["lang"].to_pylist(), rows["ids"].to_numpy(), rows["counts"].to_numpy(), strict=True)))
 
