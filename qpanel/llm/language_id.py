@@ -35,6 +35,7 @@ from qpanel.llm.common import bucket_of, chunks, documents, grams, slices, sums_
 BUCKETS, DIM = 1 << 15, 16
 SIZES = (2, 3, 4)
 SAMPLE = 1000               # rows a language
+BROADCAST_LANGS = 10_000
 EPOCHS, RATE = 12, 1.0
 ACCURACY = 0.99
 PIECE = 1 << 18
@@ -167,6 +168,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     keys = ["lang", "_id", "_text"]
     # the first by hash lie below four times their expected share, so a language's window sees few rows
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    if sizes.count() <= BROADCAST_LANGS:    # else a shuffled join
+        sizes = F.broadcast(sizes)
     share = F.shiftrightunsigned(F.xxhash64("_id"), 1).cast("double") / float(1 << 63)
     near = rows.select(*keys).join(sizes, "lang").filter(share * F.col("_rows") < 4 * sample + 100)
     picked = near.select(*keys).distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample).select(*keys)
