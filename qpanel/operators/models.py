@@ -6,8 +6,9 @@
   ``block_size`` series at a time;
 * all forecasters count steps from one cutoff quarter, and return every
   series with a status;
-* the global recursive linear model is fitted with ``pyspark.ml`` on the
-  supervised windows of all series and forecast with one higher-order
+* the global recursive linear model is fitted on the supervised windows of
+  all series by one pass of covariances and a solve over columns
+  (``functions.least_squares``) and forecast with one higher-order
   ``aggregate`` expression per series (no loop of jobs).
 """
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from qpanel import schema as S
 from qpanel.functions.dates import quarter_index
+from qpanel.functions.least_squares import least_squares
 from qpanel.plans.ordered import global_rank
 from qpanel.plans.series_map import map_series
 
@@ -209,15 +211,15 @@ def series_fit_report(forecasts: DataFrame, test: DataFrame, key: str = S.UID) -
 # global linear autoregression on scaled windows, recursive forecast.
 
 def fit_window_regression(windows: DataFrame, x: str = "x", target: str = "target",
-                          reg: float = 0.0):
-    """Fit target ~ x[0..n-1] with ``pyspark.ml`` LinearRegression (one
-    distributed fit over all windows).  Returns (intercept, coefficients)."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-    data = windows.select(array_to_vector(x).alias("features"), F.col(target).alias("label"))
-    model = LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False,
-                             solver="normal").fit(data)
-    return float(model.intercept), [float(c) for c in model.coefficients]
+                          reg: float = 0.0, n_steps: int = 4):
+    """Fit target ~ x[0..n_steps-1] over all windows: one distributed pass of
+    covariances and a solve in column expressions (``least_squares``).
+    Returns (intercept, coefficients), the only values that reach the driver;
+    (None, []) without windows."""
+    row = least_squares(windows, n_steps, x, target, reg).first()
+    if not row["n"]:
+        return None, []
+    return row["intercept"], list(row["coefs"])
 
 
 def recursive_linear_expr(history: Column, intercept: float, coefs: list[float], h: int | Column) -> Column:
@@ -255,8 +257,9 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
     whole table; n_steps later for ``test_head``); a series whose seed ends
     earlier is first carried to it by its own predictions.  Every series of
     ``train`` returns all its steps: ``status`` is ok, too_short (fewer than
-    n_steps seed values) or late_seed (the seed ends after the cutoff), the
-    latter two with a NULL forecast.
+    n_steps seed values), late_seed (the seed ends after the cutoff) or no_model
+    (no series has n_steps + 1 values to fit), the latter three with a NULL
+    forecast.
     Returns (forecasts, (intercept, coefs))."""
     from qpanel.operators.features import supervised_windows
     # K6 as windows over the series partitioning the supervised windows use
@@ -268,7 +271,7 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
           .withColumn("sigma", F.when(sd == 0, 1.0).otherwise(sd))
           .withColumn("z", (F.col(value) - F.col("mu")) / F.col("sigma")))
     win = supervised_windows(tr, n_steps, value="z", key=key, order=ds)
-    b0, b = fit_window_regression(win, reg=reg)
+    b0, b = fit_window_regression(win, reg=reg, n_steps=n_steps)
     stats = ["mu", "sigma", "is_constant"]
     end = cutoff_index(train, cutoff, ds)
     sc = tr.groupBy(key).agg(*[F.first(c).alias(c) for c in stats])
@@ -289,9 +292,9 @@ def recursive_linear_forecast(train: DataFrame, h: int, n_steps: int = 4, key: s
                                        F.max(quarter_index(ds)).alias("_last"))
     hist = sc.join(seeds, key, "left").withColumn("_gap", F.lit(end) - F.col("_last"))
     hist = hist.withColumn("status", F.when(F.coalesce(F.size("_s"), F.lit(0)) < n_steps, "too_short")
-                           .when(F.col("_gap") < 0, "late_seed").otherwise("ok"))
-    pred = F.when(F.col("status") == "ok",
-                  recursive_linear_expr(F.col("_s")["z"], b0, b, F.greatest(F.col("_gap"), F.lit(0)) + steps))
+                           .when(F.col("_gap") < 0, "late_seed").when(F.lit(b0 is None), "no_model").otherwise("ok"))
+    pred = F.lit(None).cast("array<double>") if b0 is None else F.when(
+        F.col("status") == "ok", recursive_linear_expr(F.col("_s")["z"], b0, b, F.greatest(F.col("_gap"), F.lit(0)) + steps))
     out = (hist.select(key, "status", *stats, F.greatest("_gap", F.lit(0)).alias("_gap"), pred.alias("_pred"))
            .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
            .withColumn("_z", F.try_element_at("_pred", F.col("_gap") + F.col("step")))

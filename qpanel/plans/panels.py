@@ -133,6 +133,7 @@ def fine_panel(spark, sf_dir) -> DataFrame:
 
 # Train / test split of the test mapping: 1995-1999 train, 2000-2001 test.
 TRAIN_END = "1999-12-31"
+TRAIN_END_INDEX = 1999 * 4 + 3  # its quarter index
 TEST_START = "2000-01-01"
 TEST_END = "2001-12-31"
 

@@ -72,3 +72,28 @@ def rounded_select(cols: list[tuple[str, bool]], src: str, digits: int = 4) -> s
     parts = [f'{r(chr(34) + n + chr(34), digits)} AS "{n}"' if d else f'"{n}"'
              for n, d in cols]
     return f"SELECT {', '.join(parts)} FROM {src}"
+
+
+def solve_sql(src: str, name: str, keys: str) -> str:
+    """Recursive CTE ``name`` (keys, k, m): Gauss-Jordan elimination of the
+    augmented systems ``m`` (rows of numbers, as many as unknowns) of ``src``;
+    the rows with k = len(m) hold the solutions in the last columns."""
+    k = keys + ", " if keys else ""
+    return f"""{name} AS (SELECT {k}0 AS k, m FROM {src} UNION ALL
+  SELECT {k}k + 1 AS k, [[CASE WHEN i = k + 1 THEN m[k + 1][j] / m[k + 1][k + 1]
+      ELSE m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] END FOR j IN range(1, len(m[1]) + 1)]
+      FOR i IN range(1, len(m) + 1)] AS m FROM {name} WHERE k < len(m))"""
+
+
+def normal_equations_sql(src: str, unknowns: str, keys: str, ridge: float = 0.0) -> str:
+    """SELECT of (keys, m): augmented normal equations of the rows ``e`` of
+    ``src``, each [1, regressors..., targets...] with ``unknowns`` leading
+    entries to solve for; ``ridge`` is added to all pivots but the first."""
+    k = keys + ", " if keys else ""
+    by = f"GROUP BY {keys}" if keys else ""
+    return f"""SELECT {k}list(row_i ORDER BY i) AS m FROM (
+    SELECT {k}i, list(v ORDER BY j) AS row_i FROM (
+      SELECT {k}i, j, sum(e[i] * e[j]) + CASE WHEN i = j AND i > 1 THEN {ridge} ELSE 0 END AS v
+      FROM (SELECT {k}e, i, unnest(range(1, len(e) + 1)) AS j
+            FROM (SELECT {k}e, unnest(range(1, {unknowns} + 1)) AS i FROM {src}))
+      GROUP BY {k}i, j) GROUP BY {k}i) {by}"""
