@@ -25,5 +25,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from qpanel.plans import (  # noqa: F401
-        queries_evaluate, queries_features, queries_files, queries_forecast, queries_impute, queries_misc, queries_models,
+        queries_edges, queries_evaluate, queries_features, queries_files, queries_forecast, queries_impute, queries_misc, queries_models,
         queries_prepare, queries_profile, queries_rules, queries_runtimes, queries_trees)

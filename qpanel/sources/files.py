@@ -110,6 +110,25 @@ def read_predictions(spark: SparkSession, path: str, layout: str, sep: str = "_"
         .select(S.DS, S.UID, "key1", "key2", "key3", "actual", "forecast")
 
 
+def check_files(spark: SparkSession, files: dict[str, tuple[str, list[str]]], fmt: str = "csv") -> DataFrame:
+    """P21 as data: for each file (name -> (path, required columns)) whether it
+    is refused, its missing columns in the stated order (comma-joined, NULL if
+    none) and the rows of those accepted.  Headers are read on the driver, rows
+    are counted by Spark; a path that does not exist raises."""
+    out = None
+    for name, (path, required) in files.items():
+        df = spark.read.option("header", True).format(fmt).load(path)
+        missing = [c for c in required if c not in df.columns]
+        count = F.lit(None).cast("long") if missing else F.count(F.lit(1))
+        one = (spark.range(1) if missing else df).agg(count.alias("rows")).select(
+            F.lit(name).alias("file"), F.lit(bool(missing)).alias("refused"),
+            F.lit(",".join(missing) or None).cast("string").alias("missing"), "rows")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return spark.createDataFrame([], "file string, refused boolean, missing string, rows long")
+    return out
+
+
 def attach_keys(row_preds: DataFrame, meta: DataFrame, row: str = "row") -> DataFrame:
     """Row-indexed predictions get (unique_id, ds) from a metadata
     table by an explicit row key column (never by file position, Q11)."""
@@ -149,6 +168,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
+def write_text(path: str, text: str) -> None:
+    """One small text file of a given name on any file system (a report or a
+    timing file; Spark names its own files)."""
+    from pyarrow import fs
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(text.encode())
+
+
 def save_model(model, path: str) -> None:
     """Persist a fitted ``pyspark.ml`` model or pipeline."""
     model.write().overwrite().save(path)
