@@ -126,18 +126,26 @@ def class_counts(rows: DataFrame) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, size: int) -> list[tuple[int, np.ndarray]]:
-    """(y, buckets) of at most ``size`` texts a class, first by hash."""
+    """(y, buckets) of at most ``size`` texts a class, first by a hash of
+    doc_id, in that order.  Of rows with one id the text with the least hash
+    counts, so repeated ids cannot grow the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kept = [batch.column(c) for c in names[:-1]]
             for a, b, raw, off in chunks(batch.column("text"), PIECE):
                 ids = [x.astype(np.int32) for x in indicators(raw, off)]
-                yield pa.record_batch([batch.column("y").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["y", "ids"])
-    key = F.xxhash64(F.col("doc_id").cast("string"))
+                yield pa.record_batch([*[c.slice(a, b - a) for c in kept], pa.array(ids, pa.list_(pa.int32()))], names)
+    names = ["doc_id", "y", "_key", "_text", "ids"]
+    keyed = rows.select(F.col("doc_id").cast("string"), "y", F.xxhash64(F.col("doc_id").cast("string")).alias("_key"),
+                        F.xxhash64("text").alias("_text"), "text")
     ids = None
     for y in (0, 1):
-        one = rows.filter(F.col("y") == y).select("doc_id", key.alias("_key")).orderBy("_key", "doc_id").limit(size).select("doc_id")
+        one = keyed.filter(F.col("y") == y).select("doc_id", "_key").distinct().orderBy("_key", "doc_id").limit(size).select("doc_id")
         ids = one if ids is None else ids.union(one)
-    got = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "y").mapInArrow(run, "y int, ids array<int>").toArrow()
+    got = (keyed.join(F.broadcast(ids), "doc_id", "left_semi").select(*names[:-1], "text")
+           .mapInArrow(run, "doc_id string, y int, _key long, _text long, ids array<int>")
+           .groupBy("_key", "doc_id").agg(F.min(F.struct("_text", "y", "ids")).alias("one"))
+           .select("_key", "doc_id", "one.y", "one.ids").toArrow().sort_by([("_key", "ascending"), ("doc_id", "ascending")]))
     return list(zip(got["y"].to_pylist(), got["ids"].to_numpy(), strict=True))
 
 
