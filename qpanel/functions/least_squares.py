@@ -47,8 +47,13 @@ def least_squares(rows: DataFrame, size: int, x: str = "x", target: str = "targe
     sums += [F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)]
     sums += [F.covar_pop(names[i], names[j]).alias(f"_c{i}_{j}") for i in range(size) for j in range(i + 1)]
     sums += [F.covar_pop(c, "_y").alias(f"_s{i}") for i, c in enumerate(names)]
-    d = known.groupBy(*by).agg(*sums) if by else known.agg(*sums)
+    return solve(known.groupBy(*by).agg(*sums) if by else known.agg(*sums), size, reg, by)
 
+
+def solve(d: DataFrame, size: int, reg: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The fits from their moments, a row each: n, means ``_m0..`` and ``_my``,
+    covariances ``_c{i}_{j}`` (j <= i) and ``_s{i}`` (with the target), and the
+    target's variance ``_vy``.  Returns (by..., n, intercept, coefs, mse)."""
     def low(i, j):
         return F.col(f"_l{i}_{j}")
 

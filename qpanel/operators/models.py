@@ -140,7 +140,7 @@ def _sar_forecast(y: np.ndarray, m: int, p: int, coef: np.ndarray, h: int) -> np
 AR_SCHEMA = T.StructType([
     T.StructField(S.UID, T.StringType()), T.StructField("step", T.IntegerType()),
     T.StructField("forecast", T.DoubleType()), T.StructField("order_p", T.IntegerType()),
-    T.StructField("status", T.StringType())])
+    T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def _quarter_end_of_index(qi):
@@ -156,6 +156,22 @@ def cutoff_index(train: DataFrame, cutoff: str | None, ds: str = S.DS) -> int |
     return end.select(quarter_index("d")).first()[0]
 
 
+def ar_values(qi: np.ndarray, y: np.ndarray, end: int, h: int, m: int, max_p: int, min_points: int):
+    """(forecasts or None, order, status, error) for the h quarters after ``end``
+    from known values ``y`` at increasing quarters ``qi``."""
+    if len(y) < min_points:
+        return None, None, "too_short", None
+    try:
+        y = np.interp(np.arange(qi[0], qi[-1] + 1), qi, y)
+        p, coef = _fit_sar(y, m, max_p)
+        fc = _sar_forecast(y, m, p, coef, int(end - qi[-1]) + h)[-h:]
+    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+        return None, None, "failed", str(e) or type(e).__name__
+    if not np.all(np.isfinite(fc)):
+        return None, None, "failed", "forecast is not finite"
+    return fc, p, "ok", None
+
+
 def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
                            min_points: int = 12, key: str = S.UID, ds: str = S.DS,
                            value: str = S.Y, cutoff: str | None = None) -> DataFrame:
@@ -168,29 +184,15 @@ def forecast_ar_per_series(train: DataFrame, h: int, m: int = 4, max_p: int = 3,
     table); a series that ends earlier is forecast across its missing
     quarters first, so step k has the same date for every series.
     Every series returns h rows; short or failing series carry a NULL
-    forecast and their ``status`` (F6) instead of being dropped."""
+    forecast and their ``status`` (F6) instead of being dropped, a failed one
+    its message in ``error``."""
     end = cutoff_index(train, cutoff, ds)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        uid = pdf[key].iloc[0]
-        pdf = pdf.dropna(subset=[value]).sort_values("_qi")
-        steps = np.arange(1, h + 1, dtype=np.int32)
-        try:
-            if len(pdf) < min_points:
-                raise ValueError("too_short")
-            qi = pdf["_qi"].to_numpy()
-            full = np.arange(qi[0], qi[-1] + 1)
-            y = np.interp(full, qi, pdf[value].to_numpy(dtype=float))
-            p, coef = _fit_sar(y, m, max_p)
-            fc = _sar_forecast(y, m, p, coef, int(end - qi[-1]) + h)[-h:]
-            if not np.all(np.isfinite(fc)):
-                raise ValueError("failed")
-            return pd.DataFrame({key: uid, "step": steps, "forecast": fc,
-                                 "order_p": np.int32(p), "status": "ok"})
-        except Exception as e:  # noqa: BLE001 - reported per series
-            st = str(e) if str(e) in ("too_short", "failed") else "failed"
-            return pd.DataFrame({key: uid, "step": steps, "forecast": np.nan,
-                                 "order_p": None, "status": st}).astype({"order_p": "Int32"})
+        rows = pdf.dropna(subset=[value]).sort_values("_qi")
+        fc, p, status, error = ar_values(rows["_qi"].to_numpy(), rows[value].to_numpy(dtype=float), end, h, m, max_p, min_points)
+        return pd.DataFrame({key: pdf[key].iloc[0], "step": np.arange(1, h + 1, dtype=np.int32), "forecast": np.nan if fc is None else fc,
+                             "order_p": p, "status": status, "error": error}).astype({"order_p": "Int32"})
     base = train.select(key, quarter_index(ds).alias("_qi"), F.col(value).cast("double").alias(value)) \
         .filter(F.col("_qi") <= F.lit(end))
     out = map_series(base, key, ["_qi"], fit, AR_SCHEMA)
@@ -314,6 +316,37 @@ def series_blocks(panel: DataFrame, size: int, key: str = S.UID) -> DataFrame:
     return rk.select(key, F.floor((F.col("rank") - 1) / size).cast("int").alias("block"))
 
 
+def var_rows(pdf: pd.DataFrame, end: int, h: int, lags: int, ridge: float, key: str = S.UID) -> pd.DataFrame:
+    """The h forecasts after quarter ``end`` of one block of series (key, _qi, _y)."""
+    last_qi = pdf.dropna(subset=["_y"]).groupby(key)["_qi"].max()
+    mat = pdf.pivot_table(index="_qi", columns=key, values="_y", aggfunc="first", dropna=False)
+    mat = mat.reindex(np.arange(mat.index.min(), end + 1))
+    mat = mat.interpolate(limit_direction="both").fillna(0.0)
+    mu = mat.mean()
+    sd = mat.std(ddof=0).replace(0.0, 1.0)
+    z = ((mat - mu) / sd).to_numpy()
+    t, k = z.shape
+    steps = np.arange(1, h + 1, dtype=np.int32)
+    cols = list(mat.columns)
+    if t <= lags + 1:
+        lev, status = np.full((h, k), np.nan), ["too_short"] * k
+    else:
+        X = np.hstack([z[lags - j - 1:t - j - 1] for j in range(lags)])
+        X = np.hstack([np.ones((X.shape[0], 1)), X])
+        Y = z[lags:]
+        pen = ridge * np.eye(X.shape[1])
+        pen[0, 0] = 0.0
+        W = np.linalg.solve(X.T @ X + pen, X.T @ Y)
+        hist = list(z[-lags:])
+        for _ in range(h):
+            xv = np.concatenate([[1.0]] + [hist[-j - 1] for j in range(lags)])
+            hist.append(xv @ W)
+        lev = np.array(hist[lags:]) * sd.to_numpy() + mu.to_numpy()
+        status = ["ok" if last_qi.get(c, -1) == end else "filled_to_cutoff" for c in cols]
+    return pd.DataFrame({key: np.repeat(cols, h), "step": np.tile(steps, k),
+                         "forecast": lev.T.reshape(-1), "status": np.repeat(status, h)})
+
+
 def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4,
                     ridge: float = 1.0, key: str = S.UID, ds: str = S.DS,
                     value: str = S.Y, cutoff: str | None = None) -> DataFrame:
@@ -333,33 +366,7 @@ def forecast_blocks(train: DataFrame, h: int, block_size: int = 8, lags: int = 4
                            T.StructField("forecast", T.DoubleType()), T.StructField("status", T.StringType())])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        last_qi = pdf.dropna(subset=["_y"]).groupby(key)["_qi"].max()
-        mat = pdf.pivot_table(index="_qi", columns=key, values="_y", aggfunc="first", dropna=False)
-        mat = mat.reindex(np.arange(mat.index.min(), end + 1))
-        mat = mat.interpolate(limit_direction="both").fillna(0.0)
-        mu = mat.mean()
-        sd = mat.std(ddof=0).replace(0.0, 1.0)
-        z = ((mat - mu) / sd).to_numpy()
-        t, k = z.shape
-        steps = np.arange(1, h + 1, dtype=np.int32)
-        cols = list(mat.columns)
-        if t <= lags + 1:
-            lev, status = np.full((h, k), np.nan), ["too_short"] * k
-        else:
-            X = np.hstack([z[lags - j - 1:t - j - 1] for j in range(lags)])
-            X = np.hstack([np.ones((X.shape[0], 1)), X])
-            Y = z[lags:]
-            pen = ridge * np.eye(X.shape[1])
-            pen[0, 0] = 0.0
-            W = np.linalg.solve(X.T @ X + pen, X.T @ Y)
-            hist = list(z[-lags:])
-            for _ in range(h):
-                xv = np.concatenate([[1.0]] + [hist[-j - 1] for j in range(lags)])
-                hist.append(xv @ W)
-            lev = np.array(hist[lags:]) * sd.to_numpy() + mu.to_numpy()
-            status = ["ok" if last_qi.get(c, -1) == end else "filled_to_cutoff" for c in cols]
-        return pd.DataFrame({key: np.repeat(cols, h), "step": np.tile(steps, k),
-                             "forecast": lev.T.reshape(-1), "status": np.repeat(status, h)})
+        return var_rows(pdf, end, h, lags, ridge, key)
     out = data.groupBy("block").applyInPandas(fit, schema)
     return (out.withColumn(ds, _quarter_end_of_index(F.lit(end) + F.col("step")))
             .withColumn("forecast", F.when(~F.isnan("forecast"), F.col("forecast"))))

@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qpanel import schema as S
+from qpanel.operators import backtests as BT
 from qpanel.operators import forecast as fc
 from qpanel.operators import metrics as M
 from qpanel.operators import models as MD
 from qpanel.plans import panels as P
 from qpanel.plans.catalog import register
 from qpanel.plans.output import round_doubles
+from qpanel.plans.queries_forecast import _FOLDS
 from qpanel.plans.sql import metric_cols, normal_equations_sql, panel_sql, qidx, r, solve_sql
 
 H = 8
@@ -85,12 +87,9 @@ FROM forecasts JOIN te USING (unique_id, ds) WHERE forecast IS NOT NULL GROUP BY
 
 # F5 in SQL: quarters between a series' first and last are interpolated; AR(p)
 # on the lag-4 differences for p = 0..3, AICc from the residuals, then the walk.
-def _ar_sql(level: str) -> str:
-    return f"""WITH RECURSIVE panel AS ({panel_sql(level)}),
-{_TEST},
-tr0 AS (SELECT unique_id, {qidx('ds')} AS qi, y, count(y) OVER (PARTITION BY unique_id) AS points FROM panel
-        WHERE ds <= DATE '{P.TRAIN_END}' AND y IS NOT NULL),
-tr1 AS (SELECT *, lead(qi) OVER w AS qn, lead(y) OVER w AS yn FROM tr0 WHERE points >= 12 WINDOW w AS (PARTITION BY unique_id ORDER BY qi)),
+def _ar_walk_sql(end: int, h: int) -> str:
+    """From ``tr0`` (unique_id, qi, y, points) to ``walk``, h quarters beyond ``end``."""
+    return f"""tr1 AS (SELECT *, lead(qi) OVER w AS qn, lead(y) OVER w AS yn FROM tr0 WHERE points >= 12 WINDOW w AS (PARTITION BY unique_id ORDER BY qi)),
 tr AS (SELECT unique_id, qi + o AS qi, CASE WHEN o = 0 THEN y ELSE y + (yn - y) * o / (qn - qi) END AS y
        FROM (SELECT *, unnest(range(0, coalesce(qn - qi, 1))) AS o FROM tr1)),
 df AS (SELECT unique_id, qi, y - lag(y, 4) OVER (PARTITION BY unique_id ORDER BY qi) AS d FROM tr),
@@ -111,7 +110,15 @@ walk AS (SELECT unique_id, p, b, last AS qi, ys, ds3, NULL::DOUBLE AS f
          FROM pick JOIN co USING (unique_id, p) JOIN seed USING (unique_id) JOIN dseed USING (unique_id)
   UNION ALL SELECT unique_id, p, b, qi + 1, list_append(ys[2:], ys[1] + dn), list_prepend(dn, ds3)[1:3], ys[1] + dn
   FROM (SELECT *, b[1] + coalesce(list_sum([b[i + 1] * ds3[i] FOR i IN range(1, p + 1)]), 0) AS dn FROM walk
-        WHERE qi < {P.TRAIN_END_INDEX} + {H})),
+        WHERE qi < {end} + {h}))"""
+
+
+def _ar_sql(level: str) -> str:
+    return f"""WITH RECURSIVE panel AS ({panel_sql(level)}),
+{_TEST},
+tr0 AS (SELECT unique_id, {qidx('ds')} AS qi, y, count(y) OVER (PARTITION BY unique_id) AS points FROM panel
+        WHERE ds <= DATE '{P.TRAIN_END}' AND y IS NOT NULL),
+{_ar_walk_sql(P.TRAIN_END_INDEX, H)},
 forecasts AS (SELECT unique_id, CAST(qi - {P.TRAIN_END_INDEX} AS INTEGER) AS step,
                      {_step_ds(f'qi - {P.TRAIN_END_INDEX}')} AS ds, f AS forecast, CAST(p AS INTEGER) AS order_p
               FROM walk WHERE qi > {P.TRAIN_END_INDEX})
@@ -221,12 +228,9 @@ register("recursive_linear_scores", _linear_sql("region") + _score_sql("linear_r
 
 # F14 in SQL, for a panel without gaps (the coarse one): vectors of a block's
 # scaled series by quarter, ridge normal equations on four lags, then the walk.
-_VAR_SQL = f"""WITH RECURSIVE panel AS ({panel_sql('region')}),
-{_TEST},
-tr0 AS (SELECT unique_id, {qidx('ds')} AS qi, y, avg(y) OVER u AS mu, stddev_pop(y) OVER u AS sd,
-               (dense_rank() OVER (ORDER BY unique_id) - 1) // 8 AS block FROM panel
-        WHERE ds <= DATE '{P.TRAIN_END}' WINDOW u AS (PARTITION BY unique_id)),
-tr AS (SELECT *, CASE WHEN sd = 0 THEN 1 ELSE sd END AS s FROM tr0),
+def _var_walk_sql(end: int, h: int) -> str:
+    """From ``tr0`` (unique_id, qi, y, mu, sd, block) to ``walk`` and the series' places ``sid``."""
+    return f"""tr AS (SELECT *, CASE WHEN sd = 0 THEN 1 ELSE sd END AS s FROM tr0),
 vec AS (SELECT block, qi, list((y - mu) / s ORDER BY unique_id) AS v FROM tr GROUP BY block, qi),
 lagged AS (SELECT block, qi, v, list_concat(lag(v, 1) OVER w, lag(v, 2) OVER w, lag(v, 3) OVER w, lag(v, 4) OVER w) AS x,
                   row_number() OVER w AS t FROM vec WINDOW w AS (PARTITION BY block ORDER BY qi)),
@@ -234,13 +238,21 @@ ex AS (SELECT block, len(x) + 1 AS p, list_concat([1.0::DOUBLE], x, v) AS e FROM
 ne AS ({normal_equations_sql('ex', 'p', 'block, p', 1.0)}),
 {solve_sql('ne', 'sol', 'block, p')},
 seed AS (SELECT block, p, m, qi, list_concat(v, x)[1:p - 1] AS h FROM lagged JOIN sol USING (block)
-         WHERE k = len(m) AND qi = {P.TRAIN_END_INDEX}),
+         WHERE k = len(m) AND qi = {end}),
 walk AS (SELECT block, p, m, 0 AS step, h, []::DOUBLE[] AS f FROM seed
   UNION ALL SELECT block, p, m, step + 1, list_concat(n, h)[1:p - 1], n
   FROM (SELECT *, [m[1][p + c] + list_sum([h[i] * m[i + 1][p + c] FOR i IN range(1, p)])
-                   FOR c IN range(1, len(m[1]) - p + 1)] AS n FROM walk WHERE step < {H})),
+                   FOR c IN range(1, len(m[1]) - p + 1)] AS n FROM walk WHERE step < {h})),
 sid AS (SELECT unique_id, block, any_value(mu) AS mu, any_value(s) AS s, row_number() OVER (PARTITION BY block ORDER BY unique_id) AS c
-        FROM tr GROUP BY unique_id, block),
+        FROM tr GROUP BY unique_id, block)"""
+
+
+_VAR_SQL = f"""WITH RECURSIVE panel AS ({panel_sql('region')}),
+{_TEST},
+tr0 AS (SELECT unique_id, {qidx('ds')} AS qi, y, avg(y) OVER u AS mu, stddev_pop(y) OVER u AS sd,
+               (dense_rank() OVER (ORDER BY unique_id) - 1) // 8 AS block FROM panel
+        WHERE ds <= DATE '{P.TRAIN_END}' WINDOW u AS (PARTITION BY unique_id)),
+{_var_walk_sql(P.TRAIN_END_INDEX, H)},
 forecasts AS (SELECT unique_id, CAST(step AS INTEGER) AS step, {_step_ds('step')} AS ds, f[c] * s + mu AS forecast
               FROM walk JOIN sid USING (block) WHERE step > 0)
 """
@@ -338,3 +350,75 @@ def block_var_grid(spark, sf_dir):
 
 register("block_var_grid", _grid_sql(
     f"CASE WHEN last = DATE '{P.TRAIN_END}' THEN 'ok' ELSE 'filled_to_cutoff' END"))(block_var_grid)
+
+
+# ---------------------------------------------------------------------------
+# F4 of the fitted models: three training years, one validation year, every fold.
+# In the oracles each fold is fitted anew on its own rows; quarters are numbered
+# from the fold's cutoff.
+
+BACKTEST_H = 4
+
+
+def _backtest(b):
+    return b.select("fold", S.UID, S.DS, "step", F.round("forecast", 1).alias("forecast"), F.round("actual", 2).alias("actual"), "status")
+
+
+def _backtest_sql(status: str) -> str:
+    """Cells of the folds' validation quarters with ``forecasts`` (fold, unique_id, step, f)."""
+    return f"""seen AS (SELECT fold, unique_id, count(y) AS n, max(step) AS last FROM rows WHERE role = 'train' GROUP BY fold, unique_id)
+SELECT v.fold, v.unique_id, v.ds, CAST(v.step AS INTEGER) AS step, {r('f', 1)} AS forecast, {r('v.y', 2)} AS actual, {status} AS status
+FROM valid v JOIN seen USING (fold, unique_id) LEFT JOIN forecasts x ON x.fold = v.fold AND x.unique_id = v.unique_id AND x.step = v.step"""
+
+
+def backtest_linear_forecasts(spark, sf_dir):
+    """F4 of F13: every fold's forecasts of the gappy fine panel, all folds from
+    one pass of prefix sums."""
+    return _backtest(BT.backtest_linear(P.shared(P.fine_panel(spark, sf_dir))))
+
+
+register("backtest_linear_forecasts", f"""WITH RECURSIVE panel AS ({panel_sql('nation')}), {_FOLDS},
+tr0 AS (SELECT fold, unique_id, step, y, avg(y) OVER u AS mu, stddev_pop(y) OVER u AS sd FROM rows
+        WHERE role = 'train' WINDOW u AS (PARTITION BY fold, unique_id)),
+tr AS (SELECT *, (y - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS z FROM tr0),
+win AS (SELECT fold, z, list(z) OVER (PARTITION BY fold, unique_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS x FROM tr),
+ex AS (SELECT fold, list_concat([1.0::DOUBLE], x, [z]) AS e FROM win WHERE len(x) = 4),
+ne AS ({normal_equations_sql('ex', '5', 'fold')}),
+{solve_sql('ne', 'sol', 'fold')},
+co AS (SELECT fold, [x[6] FOR x IN m] AS b FROM sol WHERE k = len(m)),
+seed AS (SELECT fold, unique_id, any_value(mu) AS mu, any_value(sd) AS sd, max(step) AS last, list(z ORDER BY step)[-4:] AS w
+         FROM tr GROUP BY fold, unique_id),
+walk AS (SELECT fold, unique_id, b, mu, sd, last AS step, w, NULL::DOUBLE AS z FROM seed JOIN co USING (fold) WHERE len(w) = 4
+  UNION ALL SELECT fold, unique_id, b, mu, sd, step + 1, list_append(w[2:], p), p
+  FROM (SELECT *, b[1] + w[1] * b[2] + w[2] * b[3] + w[3] * b[4] + w[4] * b[5] AS p FROM walk WHERE step < {BACKTEST_H})),
+forecasts AS (SELECT fold, unique_id, step, CASE WHEN sd < 1e-6 THEN mu ELSE z * CASE WHEN sd = 0 THEN 1 ELSE sd END + mu END AS f
+              FROM walk WHERE step > 0),
+{_backtest_sql("CASE WHEN n < 4 THEN 'too_short' ELSE 'ok' END")}""")(backtest_linear_forecasts)
+
+
+def backtest_ar_forecasts(spark, sf_dir):
+    """F4 of F5: every fold's forecasts of the gappy fine panel."""
+    return _backtest(BT.backtest_ar(P.shared(P.fine_panel(spark, sf_dir))))
+
+
+register("backtest_ar_forecasts", f"""WITH RECURSIVE panel AS ({panel_sql('nation')}), {_FOLDS},
+tr0 AS (SELECT unique_id || '#' || fold AS unique_id, step AS qi, y, count(y) OVER (PARTITION BY fold, unique_id) AS points FROM rows
+        WHERE role = 'train' AND y IS NOT NULL),
+{_ar_walk_sql(0, BACKTEST_H)},
+forecasts AS (SELECT CAST(split_part(unique_id, '#', 2) AS INTEGER) AS fold, split_part(unique_id, '#', 1) AS unique_id, qi AS step, f
+              FROM walk WHERE qi > 0),
+{_backtest_sql("CASE WHEN n < 12 THEN 'too_short' ELSE 'ok' END")}""")(backtest_ar_forecasts)
+
+
+def backtest_block_var_forecasts(spark, sf_dir):
+    """F4 of F14 + K8: every fold's forecasts of the coarse panel in blocks of 8."""
+    return _backtest(BT.backtest_blocks(P.shared(P.coarse_panel(spark, sf_dir))))
+
+
+register("backtest_block_var_forecasts", f"""WITH RECURSIVE panel AS ({panel_sql('region')}), {_FOLDS},
+bk AS (SELECT unique_id, (dense_rank() OVER (ORDER BY unique_id) - 1) // 8 AS block0 FROM (SELECT DISTINCT unique_id FROM panel)),
+tr0 AS (SELECT unique_id, step AS qi, y, avg(y) OVER u AS mu, stddev_pop(y) OVER u AS sd, block0 * 1000 + fold AS block
+        FROM rows JOIN bk USING (unique_id) WHERE role = 'train' WINDOW u AS (PARTITION BY fold, unique_id)),
+{_var_walk_sql(0, BACKTEST_H)},
+forecasts AS (SELECT CAST(block % 1000 AS INTEGER) AS fold, unique_id, step, f[c] * s + mu AS f FROM walk JOIN sid USING (block) WHERE step > 0),
+{_backtest_sql("CASE WHEN last = 0 THEN 'ok' ELSE 'filled_to_cutoff' END")}""")(backtest_block_var_forecasts)
