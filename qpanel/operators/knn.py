@@ -36,6 +36,13 @@ CAND_SCHEMA = T.StructType([
     T.StructField("dz", T.DoubleType())])
 
 
+def _no_candidates() -> pd.DataFrame:
+    """A tile without gaps.  The columns keep their types: of an untyped empty
+    frame Arrow cannot build the string columns."""
+    return pd.DataFrame({"target": np.empty(0, object), "qpos": np.empty(0, np.int32),
+                         "donor": np.empty(0, object), "dist": np.empty(0), "dz": np.empty(0)})
+
+
 def _nan_distances(za: np.ndarray, zb: np.ndarray, n_quarters: int) -> np.ndarray:
     """NaN-Euclidean distances between the rows of two z matrices
     (NaN where two series share no known quarter)."""
@@ -59,7 +66,7 @@ def _select(tid, zt, did, zd, dist, k: int) -> pd.DataFrame:
     dist = np.where(np.isnan(dist), np.inf, dist)
     ii, qq = np.nonzero(~pt)
     if ii.size == 0 or len(did) == 0:
-        return pd.DataFrame({c: [] for c in CAND_SCHEMA.names})
+        return _no_candidates()
     sub = np.where(pdn.T[qq, :], dist[ii, :], np.inf)      # cells x donors
     kk = min(k, sub.shape[1])
     idx = np.argsort(sub, axis=1, kind="stable")[:, :kk]
@@ -76,7 +83,7 @@ def _tile_candidates(k: int, n_quarters: int):
     targets of db from donors of tb)."""
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in CAND_SCHEMA.names})
+            return _no_candidates()
         tb, db = key
         zl = np.array([np.asarray(v, dtype=float) for v in left["z"]])
         zr = np.array([np.asarray(v, dtype=float) for v in right["z"]])

@@ -142,6 +142,20 @@ def test_knn_matches_brute_force_across_tiles(spark):
             assert abs(pos[(ids[i], qend(1995 + q // 4, q % 4 + 1))] - exp[i, q]) < 1e-9
 
 
+def test_knn_tiles_without_gaps(spark):
+    """Gaps in one block only, then none at all: tiles without a gap have no
+    candidates to return."""
+    mat = np.random.default_rng(8).normal(100, 20, (6, 4))
+    full = mat.copy()
+    mat[0, 1] = mat[1, 3] = np.nan
+    for m in (mat, full):
+        p = panel(spark, {f"s{i}": [None if np.isnan(v) else v for v in m[i]] for i in range(6)})
+        pos = {(r[S.UID], r[S.DS]): r[S.Y] for r in impute_knn(p, k=2, block=2).collect()}
+        exp = _knn_brute(m, 2)
+        assert len(pos) == 24
+        assert all(abs(pos[(f"s{i}", qend(1995, q + 1))] - exp[i, q]) < 1e-9 for i in range(6) for q in range(4))
+
+
 def test_exact_quantile_and_ecdf(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(0, 1, 500).round(2)
