@@ -156,6 +156,17 @@ def test_knn_tiles_without_gaps(spark):
         assert all(abs(pos[(f"s{i}", qend(1995, q + 1))] - exp[i, q]) < 1e-9 for i in range(6) for q in range(4))
 
 
+def test_knn_uniform_tiles_without_gaps(spark):
+    """One gap: the mean of the donors' z values there, on the series' own scale."""
+    rows = {"a": [1, 3, None], "b": [2, 4, 9], "c": [5, 1, 3], "d": [7, 7, 1]}
+    donors = [(v[2] - np.mean(v)) / np.std(v) for k, v in rows.items() if k != "a"]
+    got = impute_knn(panel(spark, rows), k=3, block=2, weights="uniform").collect()
+    pos = {(r[S.UID], r[S.DS]): r[S.Y] for r in got}
+    assert len(pos) == 12
+    assert abs(pos[("a", qend(1995, 3))] - (np.mean(donors) + 2)) < 1e-9
+    assert [pos[("d", qend(1995, q))] for q in (1, 2, 3)] == [7, 7, 1]
+
+
 def test_exact_quantile_and_ecdf(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(0, 1, 500).round(2)
