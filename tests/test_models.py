@@ -167,6 +167,16 @@ def test_knn_uniform_tiles_without_gaps(spark):
     assert [pos[("d", qend(1995, q))] for q in (1, 2, 3)] == [7, 7, 1]
 
 
+def test_knn_unscaled_tiles_without_gaps(spark):
+    """One gap, values as they are: the donors' distances are 1 : 2 : 4."""
+    rows = {"a": [0, 0, None], "b": [3, 4, 10], "c": [6, 8, 40], "d": [12, 16, 80]}
+    got = impute_knn(panel(spark, rows), k=5, block=2, scale=False).collect()
+    pos = {(r[S.UID], r[S.DS]): r[S.Y] for r in got}
+    assert len(pos) == 12
+    assert abs(pos[("a", qend(1995, 3))] - (4 * 10 + 2 * 40 + 80) / 7) < 1e-9
+    assert [pos[("d", qend(1995, q))] for q in (1, 2, 3)] == [12, 16, 80]
+
+
 def test_exact_quantile_and_ecdf(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(0, 1, 500).round(2)
