@@ -48,22 +48,24 @@ def _select(words: np.ndarray, counts: np.ndarray, k: np.ndarray, flip: bool) ->
     """Place of the k-th (from 0) one, or zero with ``flip``; ``counts``: ones
     (zeros) before each block."""
     block = np.searchsorted(counts, k, "right") - 1
-    left = k - counts[block]
-    at = block * _BLOCK
+    left = (k - counts[block]).astype(np.uint8)              # a block has 256 bits
+    ones = np.bitwise_count(words[:len(words) // _BLOCK * _BLOCK].reshape(-1, _BLOCK)[block])
+    if flip:
+        ones = 64 - ones
+    at, before, sums = block * _BLOCK, np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
+    for i in range(_BLOCK - 1):  # on to the word that holds it
+        sums += ones[:, i]
+        on = left >= sums
+        at += on
+        before += ones[:, i] * on
     w = words[at]
-    w = ~w if flip else w
-    rows = np.arange(len(k))
-    for _ in range(_BLOCK - 1):  # on to the word that holds it
-        ones = np.bitwise_count(w[rows]).astype(np.int64)
-        on = left[rows] >= ones
-        if not on.any():
-            break
-        rows, ones = rows[on], ones[on]
-        left[rows] -= ones
-        at[rows] += 1
-        next_ = words[at[rows]]
-        w[rows] = ~next_ if flip else next_
-    return at * 64 + _in_word(w, left)
+    return at * 64 + _in_word(~w if flip else w, left - before)
+
+
+def _bits_from(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The 64 bits that begin at place ``bit``."""
+    word, shift = bit >> 6, (bit & 63).astype(np.uint64)
+    return (words[word] >> shift) | (words[word + 1] << _U[1] << (_U[63] - shift))
 
 
 class EliasFano:
@@ -99,54 +101,77 @@ class EliasFano:
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
-        bit = i * self.low_bits
-        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        out = self.low[word] >> shift
-        carry = np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return (out | carry) & np.uint64((1 << self.low_bits) - 1)
+        return _bits_from(self.low, i * self.low_bits) & np.uint64((1 << self.low_bits) - 1)
+
+    def value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Values at positions ``i``, whose ones stand at ``place``."""
+        return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(i)
+
+    def place(self, i: np.ndarray) -> np.ndarray:
+        """Places of the ones that stand for positions ``i``."""
+        return _select(self.high, self.ones, i, False)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions ``i``."""
-        if not len(i):
-            return np.zeros(0, np.uint64)
-        high = _select(self.high, self.ones, i, False) - i
-        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(i)
-
-    def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        return self.value(self.place(i), i) if len(i) else np.zeros(0, np.uint64)
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions ``i`` and at the positions after them: the next
+        one is looked for in the 64 bits that follow."""
+        place = self.place(i)
+        view = _bits_from(self.high, place + 1)
+        after = place + 1 + np.bitwise_count(~view & (view - _U[1]))
+        far = np.flatnonzero(view == 0)
+        after[far] = self.place(i[far] + 1)
+        return self.value(place, i), self.value(after, i + 1)
+
+    def find(self, x: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None,
+             bit: np.ndarray | None = None) -> np.ndarray:
         """Successor search: first position in [start, end) whose value is at
         least x, given that x is at least all values before start; -1 if the
-        value there is not x."""
+        value there is not x.  ``bit``: the place after the one of position
+        start - 1 (0 at the start), from where the search goes on if x is near."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = high < int(self.zeros[-1])  # beyond: larger than any value
+        inside = (high >= 0) & (high < int(self.zeros[-1]) - 64)  # beyond: larger than any value
         h = np.where(inside, high, 0)
-        lo = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) - (h - 1), 0)
-        # the values with this high part: the ones that follow in a row
-        bit = lo + h
-        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        view = self.high[word] >> shift
-        view |= np.where(shift > 0, self.high[word + 1] << (np.uint64(64) - np.maximum(shift, _U[1])), _U[0])
+        # the place after the h-th zero: the values with this high part follow
+        if bit is None:
+            place, far = np.zeros(len(x), np.int64), np.flatnonzero(h > 0)
+        else:
+            skip = h - (bit - start)                          # zeros still to pass
+            gaps = ~_bits_from(self.high, bit)
+            near = skip <= np.bitwise_count(gaps)
+            place = bit + np.where(skip > 0, _in_word(gaps, np.where(near, np.maximum(skip, 1) - 1, 0)) + 1, 0)
+            far = np.flatnonzero(~near)
+        place[far] = _select(self.high, self.zeros, h[far] - 1, True) + 1
+        lo = place - h
+        view = _bits_from(self.high, place)
         run = np.bitwise_count(view & ~(view + _U[1])).astype(np.int64)
         hi = lo + run
         long = np.flatnonzero(run >= 64)
         hi[long] = _select(self.high, self.zeros, h[long], True) - h[long]
-        lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
         if start is not None:
-            lo, hi = np.maximum(lo, start), np.maximum(np.minimum(hi, end), np.maximum(lo, start))
-        want = x & np.uint64((1 << self.low_bits) - 1)
-        stop = hi.copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._lows(mid) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        hit = inside & (lo < stop)
-        hit[hit] = self._lows(lo[hit]) == want[hit]
-        return np.where(hit, lo, -1)
+            lo = np.maximum(lo, start)
+            hi = np.minimum(hi, end)
+        out = np.full(len(x), -1, np.int64)
+        open_ = np.flatnonzero(inside & (lo < hi))
+        if not self.low_bits:
+            out[open_] = lo[open_]
+            return out
+        lo, hi = lo[open_], hi[open_]
+        want = x[open_] & np.uint64((1 << self.low_bits) - 1)
+        while len(open_):
+            mid = (lo + hi) >> 1
+            low = self._lows(mid)
+            same = low == want
+            out[open_[same]] = mid[same]
+            less = low < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            on = np.flatnonzero(lo < hi)
+            open_, lo, hi, want = open_[on], lo[on], hi[on], want[on]
+        return out
 
 
 def _local(uri: str) -> str | None:
@@ -197,7 +222,7 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     if uri not in _open:
         path = _local(uri)
         if path is not None:
-            raw = np.memmap(path, np.uint8, "r")
+            raw = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain array: indexing a memmap costs more
         else:
             from pyarrow import fs
 

@@ -133,18 +133,18 @@ def lookup_words(level: Level, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[back], count[back]
 
 
-def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node (-1 if absent), discounted probability and back-off weight.  Each
-    distinct pair is looked up once, and each context once; in their order, so
-    that neighbours are read one after the other."""
-    node, p, back = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.ones(len(word))
+def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int, nodes: bool = True,
+           weights: bool = True) -> tuple[np.ndarray | None, np.ndarray | None, np.ndarray | None]:
+    """Node (-1 if absent), discounted probability and back-off weight; None for
+    what is not asked for (``nodes``, ``weights``).  Each distinct pair is looked
+    up once, and each context once; in their order, so that neighbours are read
+    one after the other."""
     able = np.flatnonzero(context >= 0)
-    if not len(able):
-        return node, p, back
     base = words + 2
     if level.contexts < (1 << 63) // base:
         pairs, inverse = uniques(context[able] * base + (word[able] + 1))
-        c, w = pairs // base, pairs % base - 1
+        c = pairs // base
+        w = pairs - c * base - 1
     else:
         pairs, inverse = np.unique(np.stack([context[able], word[able]], 1), axis=0, return_inverse=True)
         c, w = pairs[:, 0], pairs[:, 1]
@@ -163,34 +163,45 @@ def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int) -> t
         mine = c[part]
         first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
         run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
-        j = EliasFano(arrays, "contexts").find(mine[first].astype(np.uint64))
+        j = EliasFano(arrays, "contexts").find((mine[first] - arrays["base"][0]).astype(np.uint64))
         got = np.flatnonzero(j >= 0)
         if not len(got):
             continue
         pointers, successors = EliasFano(arrays, "pointers"), EliasFano(arrays, "successors")
-        start, end, before = (np.zeros(len(first), np.int64) for _ in range(3))
-        start[got], end[got] = pointers.get(j[got]), pointers.get(j[got] + 1)
+        start, end, before, bit = (np.zeros(len(first), np.int64) for _ in range(4))
+        start[got], end[got] = pointers.get_two(j[got])
         last = got[start[got] > 0]
-        before[last] = successors.get(start[last] - 1)
-        weight = np.ones(len(first))
-        weight[got] = _FROM_CODE[arrays["backoff"][j[got]]]
+        place = successors.place(start[last] - 1)
+        before[last], bit[last] = successors.value(place, start[last] - 1), place + 1
         rows = np.flatnonzero((j[run] >= 0) & (w[part] >= 0))
-        at = successors.find((before[run[rows]] + w[part][rows]).astype(np.uint64), start[run[rows]], end[run[rows]])
+        of = run[rows]
+        at = successors.find((before[of] + w[part][rows]).astype(np.uint64), start[of], end[of], bit[of])
         hit = at >= 0
         rows, at = rows[hit] + cut[s], at[hit]
-        where = np.arange(cut[s], cut[s + 1])
         if order is not None:
-            rows, where = order[rows], order[where]
-        own_back[where] = weight[run]
-        own_p[rows] = _FROM_CODE[arrays["code"][at]]
-        own_node[rows] = at + offsets[s]
+            rows = order[rows]
+        if nodes:
+            own_node[rows] = at + offsets[s]
+        if weights:
+            weight = np.ones(len(first))
+            weight[got] = _FROM_CODE[arrays["backoff"][j[got]]]
+            own_back[part if order is None else order[part]] = weight[run]
+            own_p[rows] = _FROM_CODE[arrays["code"][at]]
     if len(level.hot):  # the weight of a context with several shards
         all_c = np.empty(len(c), np.int64)
         all_c[order] = c
         at = np.minimum(np.searchsorted(level.hot, all_c), len(level.hot) - 1)
         own_back = np.where(level.hot[at] == all_c, level.hot_backoff[at], own_back)
-    node[able], p[able], back[able] = own_node[inverse], own_p[inverse], own_back[inverse]
-    return node, p, back
+
+    def spread(own: np.ndarray, other: float) -> np.ndarray:
+        if len(able) == len(word):
+            return own[inverse]
+        out = np.full(len(word), other, own.dtype)
+        out[able] = own[inverse]
+        return out
+
+    return (spread(own_node, -1) if nodes else None,
+            *((spread(own_p, 0), spread(own_back, 1)) if weights else (None, None)))
 
 
 def tokens_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,16 +222,17 @@ def shifted(values: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def nodes_of(model: Model, raw: np.ndarray, offsets: np.ndarray):
-    """First-token indices; per token: word id, count, node of the last level;
-    the node before a text; for each level (context, node, p, back)."""
+def nodes_of(model: Model, raw: np.ndarray, offsets: np.ndarray, scored: bool):
+    """First-token indices; per token: word id, count, node of the last level
+    (None if ``scored``); the node before a text; for each level p and back
+    (None unless ``scored``)."""
     hashes, first = tokens_of(raw, offsets)
     ids, count = lookup_words(model.words, hashes)
     steps, below, start = [], ids, model.distinct  # the start of a text is a context of its own
-    for level in model.levels:
+    for k, level in enumerate(model.levels, 1):
         context = shifted(below, first, start)
-        node, p, back = lookup(level, context, ids, model.distinct)
-        steps.append((context, node, p, back))
+        node, p, back = lookup(level, context, ids, model.distinct, not scored or k < len(model.levels), scored)
+        steps.append((p, back))
         below, start = node, -1
     return first, ids, count, below, start, steps
 
@@ -251,7 +263,7 @@ def _counted(major: np.ndarray, minor: np.ndarray, base: int) -> tuple[np.ndarra
     key = np.sort(key)
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     counts, key = np.diff(np.append(at, len(key))), key[at]
-    return (key, np.zeros(len(key), np.int64), counts) if base == 1 else (key // base, key % base, counts)
+    return (key, np.zeros(len(key), np.int64), counts) if base == 1 else ((major := key // base), key - major * base, counts)
 
 
 def _blocks(major: np.ndarray, minor: np.ndarray, base: int, shard_of_pairs: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
@@ -351,7 +363,7 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
 
         for batch in batches:
             for _, _, raw, off in chunks(batch.column("text"), PIECE):
-                first, ids, _, below, start, _ = nodes_of(known, raw, off)
+                first, ids, _, below, start, _ = nodes_of(known, raw, off, False)
                 context = shifted(below, first, start)
                 able = context >= 0              # all but a text's first tokens
                 held.append((context[able], ids[able]))
@@ -373,7 +385,7 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
         base = np.concatenate([[0], np.cumsum(last)[:-1]])
         # all occurrences of a context: its own count where its words are split over shards, else the sum over its words
         total = np.full(1, dict(hot)[int(context[0])]) if shard >= new.regular else np.add.reduceat(count, starts)
-        arrays = EliasFano.encode(context[starts], "contexts") | EliasFano.encode(np.append(starts, len(word)), "pointers")
+        arrays = {"base": context[:1]} | EliasFano.encode(context[starts] - context[0], "contexts") | EliasFano.encode(np.append(starts, len(word)), "pointers")
         arrays |= EliasFano.encode(base[of] + word, "successors")
         arrays["code"] = to_code((count - DISCOUNT) / total[of])
         arrays["backoff"] = to_code(1 - kept / total)
@@ -427,9 +439,9 @@ def score_texts(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         for batch in batches:
             parts = []
             for _, _, raw, off in chunks(batch.column("text"), PIECE):
-                first, _, count, _, _, steps = nodes_of(m, raw, off)
+                first, _, count, _, _, steps = nodes_of(m, raw, off, True)
                 base = p = m.p1(count) if m.total else np.ones(len(count))
-                for _, _, discounted, back in steps:
+                for discounted, back in steps:
                     p = discounted + back * p
                 sums = [np.add.reduceat(x, first[:-1]) for x in (np.log10(base), np.log10(p), (count > 0).astype(np.int64))]
                 parts.append((np.diff(first), *sums))

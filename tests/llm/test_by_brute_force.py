@@ -66,6 +66,28 @@ def test_elias_fano_round_trip(n, top):
     assert (ef.find(wanted) == right).all()
 
 
+@pytest.mark.parametrize(("n", "top"), [(2, 5), (1000, 1 << 62), (5000, 6000), (4000, 1 << 20)])
+def test_elias_fano_from_a_known_place(n, top):
+    """The value after a position, and a search that goes on from the one
+    before its range, near (within 64 bits) or far."""
+    rng = np.random.default_rng(n)
+    values = np.unique(rng.integers(0, top, n, dtype=np.uint64))
+    values[len(values) // 2:] += np.uint64(top // 2)         # a gap
+    ef = elias_fano.EliasFano(elias_fano.EliasFano.encode(values, "x"), "x")
+    i = np.arange(len(values) - 1)
+    one, two = ef.get_two(i)
+    assert (one == values[:-1]).all() and (two == values[1:]).all()
+    start = np.concatenate([[0] * 200, rng.integers(1, len(values), 600)])
+    end = np.minimum(start + rng.integers(1, 300, 800), len(values))
+    bit = np.zeros(800, np.int64)
+    bit[200:] = ef.place(start[200:] - 1) + 1
+    for x in (values[rng.integers(start, end)], values[start] + rng.integers(0, top, 800, dtype=np.uint64), values[end - 1]):
+        at = np.searchsorted(values, x)
+        right = np.where((at < end) & (values[np.minimum(at, len(values) - 1)] == x), at, -1)
+        assert (ef.find(x, start, end, bit) == right).all()
+        assert (ef.find(x, start, end) == right).all()
+
+
 @pytest.mark.parametrize("shard", [1 << 22, 3000])
 def test_language_model(spark, small, shard, monkeypatch):
     monkeypatch.setattr(language_model, "SHARD_TOKENS", shard)  # small shards: hot contexts are split
