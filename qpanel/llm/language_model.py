@@ -3,10 +3,10 @@
 Level 1 holds the words of the training texts: sorted 63-bit hashes and running
 sums of their counts (both monotone, both Elias-Fano), so a word's id is its
 place and its count is exact.  Level k > 1 holds the n-grams of length k that
-occur in them, those that occur once too: contexts (nodes of level k - 1) as a sorted
-sequence, a monotone pointer from each to its successors, the successors as
-word ids relative to their context (made monotone by adding the last value of
-the context before), and one byte each for the discounted probability of a
+occur in them, those that occur once too: a monotone pointer from each context
+(node of level k - 1, those without successors too) to its successors, the
+successors as word ids relative to their context (made monotone by adding the
+last value of the context before), and one byte each for the discounted probability of a
 successor and the back-off weight of a context, on a logarithmic scale.
 
 A level is cut into shards of about ``SHARD_TOKENS`` training tokens by ranges
@@ -163,7 +163,8 @@ def lookup(level: Level, context: np.ndarray, word: np.ndarray, words: int, node
         mine = c[part]
         first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
         run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(mine))))
-        j = EliasFano(arrays, "contexts").find((mine[first] - arrays["base"][0]).astype(np.uint64))
+        j = mine[first] - arrays["first"][0]
+        j[(j < 0) | (j >= len(arrays["backoff"]))] = -1
         got = np.flatnonzero(j >= 0)
         if not len(got):
             continue
@@ -385,10 +386,14 @@ def count_ngrams(texts: DataFrame, model: Model, path: str, shards: int, context
         base = np.concatenate([[0], np.cumsum(last)[:-1]])
         # all occurrences of a context: its own count where its words are split over shards, else the sum over its words
         total = np.full(1, dict(hot)[int(context[0])]) if shard >= new.regular else np.add.reduceat(count, starts)
-        arrays = {"base": context[:1]} | EliasFano.encode(context[starts] - context[0], "contexts") | EliasFano.encode(np.append(starts, len(word)), "pointers")
+        place = context[starts] - context[0]             # contexts between them have no successors here
+        size = np.zeros(place[-1] + 1, np.int64)
+        size[place] = np.diff(np.append(starts, len(word)))
+        arrays = {"first": context[:1]} | EliasFano.encode(np.concatenate([[0], np.cumsum(size)]), "pointers")
         arrays |= EliasFano.encode(base[of] + word, "successors")
         arrays["code"] = to_code((count - DISCOUNT) / total[of])
-        arrays["backoff"] = to_code(1 - kept / total)
+        arrays["backoff"] = np.zeros(len(size), np.uint8)  # a weight of 1
+        arrays["backoff"][place] = to_code(1 - kept / total)
         write_arrays(f"{path}/{shard}", arrays)
         large = np.flatnonzero(count > SHARD_TOKENS)
         return pa.table({"shard": [shard], "nodes": [len(word)], "kept": [float(kept[0])],
